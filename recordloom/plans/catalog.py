@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, jsonx, text
+from ..functions import code, hashing, jsonx, text
 from ..operators import analytics, records, sampling, tags
+from ..streaming import flows
+from . import configgen, evolution, generator, sample_to_dataset
+from . import nl2code as nl2code_plan
+from .config import AutoConfig, DataField, DataModel, DataSource, Evolution, Tag, Tags
+from .model import OfflineModel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -438,3 +445,119 @@ def success_counters(labels):
 @query("lint_code_sets", "events", sql="SELECT user_id, list_sort(list(DISTINCT event_type)) AS codes FROM events GROUP BY user_id")
 def lint_code_sets(events):
     return events.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("codes"))
+
+
+# Code checks
+
+@query("decimal_scale_lint", "part", sql="SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Custom Check: Found DECIMAL definitions without a scale, which may be incorrect.' END AS error FROM part")
+def decimal_scale_lint(part):
+    sql = F.when(F.col("p_size") % 2 == 0, "SELECT CAST(1 AS DECIMAL(10))").otherwise("SELECT CAST(1 AS DECIMAL(10,2))")
+    return code.sql_errors(part.sparkSession, part.select("p_partkey", sql.alias("q")), "q").select("p_partkey", "error")
+
+
+@query("sql_syntax", "nation", sql="SELECT n_nationkey, n_nationkey % 3 <> 1 AS valid FROM nation")
+def sql_syntax(nation):
+    k = F.col("n_nationkey")
+    sql = F.when(k % 3 == 0, F.concat(F.lit("SELECT a FROM t WHERE k = "), k)).when(k % 3 == 1, F.concat(F.lit("SELEC a FRM t "), k)).otherwise(F.concat(F.lit("SELECT ';' AS x; SELECT "), k))
+    return code.sql_errors(nation.sparkSession, nation.select("n_nationkey", sql.alias("q")), "q").select("n_nationkey", F.col("error").isNull().alias("valid"))
+
+
+@query("query_and_schema_pairs", "nation", sql="SELECT n_nationkey, concat_ws(chr(10), CASE WHEN n_nationkey % 2 = 0 THEN 'Schema: bad' END, CASE WHEN n_nationkey % 3 = 0 THEN 'Query: worse' END) AS error FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0")
+def query_and_schema_pairs(nation):
+    k = F.col("n_nationkey")
+    return nation.select("n_nationkey", code.pair_error(F.when(k % 2 == 0, "bad"), F.when(k % 3 == 0, "worse")).alias("error")).where("error IS NOT NULL")
+
+
+@query("python_syntax", "part", sql="SELECT p_partkey, p_size % 2 = 0 AS valid, CASE WHEN p_size % 2 = 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS n_messages FROM part")
+def python_syntax(part):
+    good = F.concat(F.lit('"""Doc."""\nx = '), F.col("p_partkey"))
+    source = F.when(F.col("p_size") % 2 == 0, good).otherwise(F.concat(F.lit("def (x:\n  "), F.col("p_partkey")))
+    return part.select("p_partkey", code.python_error(source).isNull().alias("valid"), code.semantic_score(source).alias("score"), F.coalesce(F.regexp_count(code.lint(source), F.lit("error")), F.lit(0)).cast("int").alias("n_messages"))
+
+
+@query("sqlite_execution", "part", sql="SELECT p_partkey, p_size % 3 <> 0 AS ok FROM part")
+def sqlite_execution(part):
+    schema = F.concat(F.lit("CREATE TABLE t (k INT); INSERT INTO t VALUES ("), F.col("p_partkey"), F.lit(");"))
+    asked = F.when(F.col("p_size") % 3 == 0, "SELECT missing FROM t").otherwise("SELECT k FROM t WHERE k > 0")
+    return part.select("p_partkey", code.run_in_sqlite(schema, asked)["ok"].alias("ok"))
+
+
+# Streams
+
+@query("tumbling_windows", "events", sql="SELECT time_bucket(INTERVAL '1 hour', ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_windows(events):
+    return flows.windowed(events, "ts", "event_type", "1 hour").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("first_seen_users", "events", sql="SELECT DISTINCT user_id FROM events")
+def first_seen_users(events):
+    return flows.first_seen(events.select("user_id", "ts"), "ts", ["user_id"]).select("user_id")
+
+
+def _stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, for the table may be a file or a folder
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="recordloom-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stream_valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that aren't errors, through a stream that ends when all have come."""
+    out = _folder(spark, "stream")
+    flows.valid_records(_stream_of(spark, sf_dir).select("event_id", "event_type"), F.col("event_type") != "error", f"{out}/rows", f"{out}/progress").awaitTermination()
+    return spark.read.schema("event_id long, event_type string").json(f"{out}/rows")
+
+
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each batch of a stream, added up."""
+    out = _folder(spark, "batches")
+    counts = flows.each_batch(_stream_of(spark, sf_dir), lambda df, n: df.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/rows/batch={n}"), f"{out}/progress")
+    counts.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+QUERIES["stream_valid_records"], SQL["stream_valid_records"] = stream_valid_records, "SELECT event_id, event_type FROM events WHERE event_type <> 'error'"
+QUERIES["stream_batches"], SQL["stream_batches"] = stream_batches, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
+
+
+# Pipelines, with the offline model: no SQL can express them
+
+def record_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each document, with a repairable field and a judge that fails some."""
+    path = f"{sf_dir}/documents.parquet"
+    job = DataModel(
+        fields=[DataField("question", description="what is asked"), DataField("answer", description="Python code", validator="python")], generation_instructions="Write a question about the text, and its answer.",
+        data_source=DataSource(path, "huggingface", ["doc_id", "lang", "source"]), num_examples=spark.read.parquet(path).count(), evolution=Evolution(rate=0.1),
+    )
+    return generator.run(spark, job, OfflineModel(fail_rate=0.1, missing_rate=0.05)).records
+
+
+def tag_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each order, from tags, field by field."""
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    job = DataModel(fields=[DataField("title"), DataField("body", validator="prose")], contextual_tags=Tags([Tag("level", ["low", "high"], [0.3, None]), Tag("topic", ["a", "b", "c"], [None] * 3)]), num_examples=n, generation_strategy="field")
+    return generator.run(spark, job, OfflineModel(fail_rate=0.1)).records
+
+
+def nl2code(lang: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        config = AutoConfig(code_lang=lang, num_domains=3, num_topics_per_domain=3, semantic_validation=True)
+        return nl2code_plan.run(spark, config, OfflineModel(), spark.read.parquet(f"{sf_dir}/supplier.parquet").count())
+
+    return run
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text", F.lit(None).cast("string").alias("context"))
+
+
+QUERIES["record_pipeline"] = record_pipeline
+QUERIES["tag_pipeline"] = tag_pipeline
+QUERIES["nl2code_sql"], QUERIES["nl2code_python"] = nl2code("sql"), nl2code("python")
+QUERIES["sample_to_dataset"] = lambda spark, sf_dir: sample_to_dataset.run(spark, spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("Title"), F.col("c_mktsegment").alias("body")), OfflineModel())[1]
+QUERIES["evolution_generations"] = lambda spark, sf_dir: evolution.evolve(_texts(spark, sf_dir), OfflineModel())
+QUERIES["aaa_pipeline"] = lambda spark, sf_dir: evolution.align(_texts(spark, sf_dir), OfflineModel())
+QUERIES["config_generator"] = lambda spark, sf_dir: spark.createDataFrame([(t.name, t.values) for t in configgen.expand_tags("questions about gardens", OfflineModel(), 1000).tags], "name string, vals array<string>")

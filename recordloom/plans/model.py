@@ -66,6 +66,10 @@ class OfflineModel:
             return f"```sql\nSELECT '{say}' AS answer;\n```"
         if kind == "python":
             return f'```python\ndef answer():\n    """Give a phrase."""\n    return "{say}"\n```'
+        if kind == "fix_sql":
+            return f"SELECT '{say}' AS answer"
+        if kind == "fix_python":
+            return f'answer = "{say}"'
         if kind == "list":
             return json.dumps([f"{a}" for a in dict.fromkeys(say.split())])
         return say
