@@ -54,10 +54,12 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def with_text(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with another ``text`` and, where it has that column, its ``n_chars``."""
-    df = df.withColumn("text", text)
-    return df.withColumn("n_chars", F.char_length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else df
+def with_text(df: DataFrame, changed: Column, text: Column) -> DataFrame:
+    """``df`` with another ``text``, and ``n_chars`` where it has that column, in the rows that are ``changed``."""
+    out = {"text": F.when(changed, text).otherwise(F.col("text"))}
+    if "n_chars" in df.columns:
+        out["n_chars"] = F.when(changed, F.char_length(text).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return df.withColumns(out)
 
 
 def like(df: DataFrame, columns: list[str]) -> DataFrame:

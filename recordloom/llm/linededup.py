@@ -88,9 +88,8 @@ def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LO
     blank = lambda line: _strip(line) == ""
     solid = F.filter(lines, lambda line: ~blank(line))
     left = F.filter(solid, lambda line, n: ~F.array_contains(F.col(numbers), n))
-    text = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     whole = F.col(numbers).isNull() | (F.size(F.array_distinct(numbers)) < F.size(solid))
-    return like(with_text(joined.where(whole), text), docs.columns)
+    return like(with_text(joined.where(whole), F.col(numbers).isNotNull(), F.array_join(left, "\n")), docs.columns)
 
 
 #: DuckDB SQL for :func:`line_dedup` with its defaults; ``{docs}`` is the table.

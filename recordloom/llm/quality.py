@@ -14,8 +14,8 @@ MAX_REMOVED = 0.5
 
 
 def normalised(line: Column) -> Column:
-    """A line in lower case, without white space at its ends, and with digits made equal."""
-    return F.regexp_replace(F.lower(F.regexp_replace(line, r"^\s+|\s+$", "")), r"[0-9]", "0")
+    """A line in lower case, without white space at its ends."""
+    return F.lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -59,10 +59,10 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     kept = F.filter(split, lambda line: ~is_bad(line))
     whole = F.col(hashes).isNull()
     fine = whole | (sizes(kept) >= F.lit(1 - max_removed) * sizes(split))
-    return like(with_text(joined.where(fine), F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n"))), docs.columns)
+    return like(with_text(joined.where(fine), ~whole, F.array_join(kept, "\n")), docs.columns)
 
 
-_NORMAL = r"regexp_replace(lower(regexp_replace(line, '^\s+|\s+$', '', 'g')), '[0-9]', '0', 'g')"
+_NORMAL = r"lower(regexp_replace(line, '^\s+|\s+$', '', 'g'))"
 
 #: DuckDB SQL for :func:`quality_rules` with its defaults; ``{docs}`` is the table.
 SQL = rf"""

@@ -170,6 +170,8 @@ def warc_round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFra
     """
     spark = pages.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    system, path = open_fs(where)
+    system.create_dir(path, recursive=True)  # a table without partitions writes no file
     write_warc(pages, where).agg(F.sum("records")).first()
     return read_warc(spark, where, split_bytes).select("page_id", "url", "html")
 

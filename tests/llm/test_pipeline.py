@@ -30,7 +30,7 @@ def test_pipeline_is_brute_force_stage_by_stage(spark, tmp_path):
     assert rows(first) == sorted(duck(quality.SQL.format(docs="documents"), documents=docs), key=repr)
     pairs = [(r.doc_id, r.text) for r in first.orderBy("doc_id").collect()]
     assert len(pairs) < len(texts)
-    pairs = brute_dedup(pairs)
+    pairs = sorted(brute_dedup(pairs))
     gone = {pairs[i][0] for i, _ in brute_groups([t for _, t in pairs], simhash.RADIUS)}
     pairs = [p for p in pairs if p[0] not in gone]
     finder = decontaminate.Finder(list(enumerate(items)))

@@ -39,7 +39,7 @@ def brute(texts, radius):
             if n[i] and n[j] and d.sum() <= radius and d[0] <= simhash.FIRST_RADIUS:
                 a, b = sorted((of[i], of[j]))
                 of = [a if x == b else x for x in of]
-    return sorted((i, g) for i, g in enumerate(of) if i != g)
+    return sorted(((i, g) for i, g in enumerate(of) if i != g), key=repr)
 
 
 @pytest.mark.parametrize(("block", "local"), [(1 << 17, 10**6), (16, 0)])
