@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, like, need, with_text
+from .common import fresh, like, need, saved, with_text
 
-#: A passage is a run of so many lines, or one line of so many words.
-RUN_LINES, LONG_WORDS = 2, 50
+#: A passage is a run of so many lines, or one line of so many characters (some 50 words).
+RUN_LINES, LONG_CHARS = 2, 250
+_BLANKS = " \t\v\f\r"
 
 
-def _strip(line):  # noqa: ANN001, ANN202
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+def _strip(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANKS))
 
 
-def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
     """Winnowed lines: ``id``, ``n`` (the number among the lines that are not blank), ``h``, ``long`` and ``around``.
 
     Of each window of ``run_lines`` line hashes the rightmost least one is selected, so two equal runs of that many lines
-    select the same line. Lines of at least ``long_words`` words are always selected. ``around`` has the hashes of
+    select the same line. Lines of at least ``long_chars`` characters are always selected. ``around`` has the hashes of
     ``run_lines`` - 1 lines on either side, null beyond the ends.
     """
     w = run_lines
-    lines = F.filter(F.split("text", "\n"), lambda line: _strip(line) != "")
-    hashed = F.transform(lines, lambda line: F.struct(F.xxhash64(_strip(line)).alias("h"), (F.char_length(_strip(line)) >= 2 * long_words - 1).alias("can"), F.when(F.char_length(_strip(line)) >= 2 * long_words - 1, F.size(F.split(_strip(line), r"\s+"))).otherwise(0).alias("words")))
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), hashed.alias("lines"))
-    rows = rows.where(F.size("lines") > 0).select("id", F.col("lines.h").alias("hs"), F.transform("lines", lambda x: x["words"] >= long_words).alias("longs"))
+    lines = F.filter(F.transform(F.split("text", "\n"), _strip), lambda line: line != "")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("h"), (F.char_length(line) >= long_chars).alias("long"))).alias("lines"))
+    rows = rows.where(F.size("lines") > 0).select("id", F.col("lines.h").alias("hs"), F.col("lines.long").alias("longs"))
     size = F.size("hs")
 
     def pick(n):  # noqa: ANN001, ANN202
@@ -49,10 +49,10 @@ def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int =
     return rows.select("id", F.explode(at).alias("f")).select("id", "f.*").where("long or won")
 
 
-def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
-    """``id`` and ``ns``: the numbers of the lines to delete of each document that has any."""
+def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+    """``id``, ``marks`` (for the lines that are not blank, in order, whether to delete them) and ``n_gone``, of each document that has any."""
     w = run_lines
-    prints = fingerprints(docs, run_lines, long_words)
+    prints = saved(fingerprints(docs, run_lines, long_chars))  # read twice: the texts are not
     twice = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     # A fingerprint that occurs once is in no repeated run: only the others are extended, both ways, to every run through them.
     found = prints.join(twice, "h")
@@ -65,13 +65,17 @@ def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int
     first = runs.groupBy("key").agg(F.min(F.struct("id", "start")).alias("first"))
     later = runs.join(first, "key").where(F.struct("id", "start") > F.col("first"))
     numbers = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("n")
-    return later.select("id", numbers).groupBy("id").agg(F.collect_set("n").alias("ns"))
+    gone = later.select("id", numbers).groupBy("id").agg(F.collect_set("n").alias("ns"))
+    # By the line's number, so that a text is cut in time linear in its lines.
+    others = F.array_except(F.sequence(F.lit(0), F.array_max("ns")), F.col("ns"))
+    marks = F.concat(F.transform("ns", lambda n: F.struct(n.alias("n"), F.lit(True).alias("gone"))), F.transform(others, lambda n: F.struct(n.alias("n"), F.lit(False).alias("gone"))))
+    return gone.select("id", F.array_sort(marks)["gone"].alias("marks"), F.size("ns").alias("n_gone"))
 
 
-def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LONG_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
     """``docs`` without the passages that occurred before; documents of which no line is left go.
 
-    A passage is a run of ``run_lines`` lines or more, or one line of ``long_words`` words or more. Lines are compared
+    A passage is a run of ``run_lines`` lines or more, or one line of ``long_chars`` characters or more. Lines are compared
     without white space at their ends; blank lines are passed over. The first occurrence, by ``doc_id`` and place in the
     text, stays; the lines of every later one are deleted. ``n_chars`` follows the text.
 
@@ -80,35 +84,31 @@ def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_words: int = LO
     columns are kept.
     """
     need(docs, "doc_id", "text")
-    id_, numbers = fresh(docs, "id", "ns")
-    gone = repeated_lines(docs, run_lines, long_words).select(F.col("id").alias(id_), F.col("ns").alias(numbers))
+    id_, marks, n_gone = fresh(docs, "id", "marks", "n_gone")
+    gone = repeated_lines(docs, run_lines, long_chars).toDF(id_, marks, n_gone)
     joined = docs.join(gone, F.col("doc_id") == F.col(id_), "left")
-    # Fold over the lines: the number of lines so far that are not blank, and the lines kept.
-    lines = F.split("text", "\n")
-    blank = lambda line: _strip(line) == ""
-    solid = F.filter(lines, lambda line: ~blank(line))
-    left = F.filter(solid, lambda line, n: ~F.array_contains(F.col(numbers), n))
-    whole = F.col(numbers).isNull() | (F.size(F.array_distinct(numbers)) < F.size(solid))
-    return like(with_text(joined.where(whole), F.col(numbers).isNotNull(), F.array_join(left, "\n")), docs.columns)
+    solid = F.filter(F.split("text", "\n"), lambda line: _strip(line) != "")
+    left = F.filter(solid, lambda line, n: ~F.coalesce(F.get(F.col(marks), n), F.lit(False)))
+    whole = F.col(n_gone).isNull() | (F.col(n_gone) < F.size(solid))
+    return like(with_text(joined.where(whole), F.col(n_gone).isNotNull(), F.array_join(left, "\n")), docs.columns)
 
 
 #: DuckDB SQL for :func:`line_dedup` with its defaults; ``{docs}`` is the table.
-SQL = rf"""
+SQL = f"""
 WITH src AS (SELECT * FROM {{docs}}),
 raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM src WHERE doc_id IS NOT NULL
 ),
 lines AS (
   SELECT doc_id, line, norm, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS n
-  FROM (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS norm FROM raw) WHERE norm <> ''
+  FROM (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS norm FROM raw) WHERE norm <> ''
 ),
 pairs AS (SELECT doc_id, n, norm, lead(norm) OVER (PARTITION BY doc_id ORDER BY n) AS norm2 FROM lines),
 later AS (
   SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY norm, norm2 ORDER BY doc_id, n) AS k FROM pairs WHERE norm2 IS NOT NULL) WHERE k > 1
 ),
 long AS (
-  SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY norm ORDER BY doc_id, n) AS k FROM lines
-    WHERE length(norm) >= {2 * LONG_WORDS - 1} AND len(regexp_split_to_array(norm, '\s+')) >= {LONG_WORDS}) WHERE k > 1
+  SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY norm ORDER BY doc_id, n) AS k FROM lines WHERE length(norm) >= {LONG_CHARS}) WHERE k > 1
 ),
 gone AS (SELECT doc_id, n FROM later UNION SELECT doc_id, n + 1 FROM later UNION SELECT doc_id, n FROM long),
 found AS (

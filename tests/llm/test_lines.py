@@ -17,7 +17,7 @@ def texts():
     return out
 
 
-def brute_dedup(pairs, run=linededup.RUN_LINES, words=linededup.LONG_WORDS):
+def brute_dedup(pairs, run=linededup.RUN_LINES, chars=linededup.LONG_CHARS):
     docs = {i: [x for x in t.split("\n") if x.strip()] for i, t in pairs}
     seen, gone = set(), {i: set() for i in docs}
     for i in sorted(docs):
@@ -25,7 +25,7 @@ def brute_dedup(pairs, run=linededup.RUN_LINES, words=linededup.LONG_WORDS):
         for n in range(len(lines)):
             for k in (run, 1):
                 key = tuple(lines[n : n + k])
-                if len(key) < k or (k == 1 and len(key[0].split()) < words):
+                if len(key) < k or (k == 1 and len(key[0]) < chars):
                     continue
                 if (k, key) in seen:
                     gone[i] |= set(range(n, n + k))
