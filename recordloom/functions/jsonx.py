@@ -11,9 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .binding import bind
 from .text import strip
 
-OBJECT = r"\{(?:[^{}]|\{[^{}]*\})*\}"
+OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
 
 
 @F.pandas_udf(StringType())
@@ -170,7 +171,7 @@ def fenced_json(c: Column) -> Column:
 
 def objects_in(c: Column) -> Column:
     """The objects in a text that parse, braces nested once at most."""
-    return F.filter(F.regexp_extract_all(c, F.lit(OBJECT), F.lit(0)), lambda x: F.try_parse_json(x).isNotNull())
+    return F.filter(F.regexp_extract_all(c, F.lit(OBJECT), F.lit(0)), lambda x: x.rlike(r'^\{\s*["}]') & F.try_parse_json(x).isNotNull())  # the parser is slow to fail
 
 
 def is_jsonl(c: Column) -> Column:
@@ -181,8 +182,8 @@ def is_jsonl(c: Column) -> Column:
 def largest_object(c: Column) -> Column:
     """The longest object that parses, the first of equals; ``{}`` if none does. A closing TERMINATE is passed over."""
     found = objects_in(F.regexp_replace(c, r"\s*TERMINATE\s*$", ""))
-    top = F.array_max(F.transform(found, F.char_length))
-    return F.coalesce(F.get(F.filter(found, lambda x: F.char_length(x) == top), F.lit(0)), F.lit("{}"))
+    longest = F.aggregate(found, F.lit(""), lambda best, x: F.when(F.char_length(x) > F.char_length(best), x).otherwise(best))
+    return bind(longest, lambda x: F.when(x == "", F.lit("{}")).otherwise(x))
 
 
 def values_list(c: Column) -> Column:
@@ -192,8 +193,12 @@ def values_list(c: Column) -> Column:
 
 def rank_texts(order: Column, texts: Column) -> Column:
     """Texts in the order of 0-based ``order``; places out of range are passed over, texts left out follow. Null order: as they are."""
-    ranked = F.transform(F.filter(F.array_distinct(order), lambda i: (i >= 0) & (i < F.size(texts))), lambda i: F.get(texts, i.cast("int")))
-    return F.coalesce(F.concat(ranked, F.filter(texts, lambda x: ~F.array_contains(ranked, x))), texts)
+
+    def place(t: Column) -> Column:
+        ranked = F.transform(F.filter(F.array_distinct(t["order"]), lambda i: (i >= 0) & (i < F.size(t["texts"]))), lambda i: F.get(t["texts"], i.cast("int")))
+        return bind(ranked, lambda r: F.concat(r, F.filter(t["texts"], lambda x: ~F.array_contains(r, x))))
+
+    return F.coalesce(bind(F.struct(order.alias("order"), texts.alias("texts")), place), texts)
 
 
 def choose_option(c: Column, options: Column) -> Column:

@@ -8,6 +8,8 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 FIELD = r"<<FIELD:\s*(\w+)>>([\s\S]*?)<<END_FIELD>>"
 FENCE_TAGS = ("sql", "python", "json", "markdown", "text", "bash", "javascript", "html", "css")
 
@@ -19,11 +21,12 @@ def strip(c: Column) -> Column:
 
 def parse_fields(response: Column) -> Column:
     """All delimited fields as a map; of equal names the last counts."""
-    found = F.regexp_extract_all(response, F.lit(FIELD), F.lit(1))
-    bodies = F.regexp_extract_all(response, F.lit(FIELD), F.lit(2))
-    entries = F.transform(found, lambda name, i: F.struct(name.alias("k"), strip(F.get(bodies, i)).alias("v"), i.alias("i")))
-    last = F.filter(entries, lambda e: e["i"] == F.size(found) - F.array_position(F.reverse(found), e["k"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    pairs = F.zip_with(F.regexp_extract_all(response, F.lit(FIELD), F.lit(1)), F.regexp_extract_all(response, F.lit(FIELD), F.lit(2)), lambda k, v: F.struct(k.alias("k"), strip(v).alias("v")))
+
+    def last(found: Column) -> Column:
+        return F.filter(found, lambda e, i: i == F.size(found) - F.array_position(F.reverse(found["k"]), e["k"]))
+
+    return F.map_from_entries(bind(pairs, last))
 
 
 def parse_first_field(response: Column) -> Column:
@@ -77,10 +80,8 @@ _THINKING = r"(?s)<thinking>(.*?)</?thinking>.*?<output>|<thinking>(.*?)<output>
 def extract_thinking(c: Column) -> Column:
     """Thinking before an output, within its own tags, or before the last JSON tag."""
     one, two = F.regexp_extract(c, _THINKING, 1), F.regexp_extract(c, _THINKING, 2)
-    before = strip(F.substring_index(c, "<json>", -1))
     cut = strip(F.left(c, F.char_length(c) - F.char_length(F.substring_index(c, "<json>", -1)) - len("<json>")))
     own = r"(?s)<thinking>(.*?)</thinking>"
-    del before
     return F.when(c.rlike(_THINKING), F.when(one != "", one).otherwise(two)).when(c.rlike(own), F.regexp_extract(c, own, 1)).when(F.contains(c, F.lit("<json>")), cut).otherwise("No thinking content found")
 
 
