@@ -165,6 +165,6 @@ def sql_errors(spark: SparkSession, df: DataFrame, column: str, limit: int = 10_
 
 
 def pair_error(schema_error: Column, query_error: Column) -> Column:
-    """The errors of a schema and a query, with what each is of; null if both are fine."""
-    parts = [F.concat(F.lit("Schema: "), schema_error), F.concat(F.lit("Query: "), query_error)]
-    return F.nullif(F.concat_ws("\n", *parts), F.lit(""))
+    """The errors of a schema and a query, with what each is of; empty if both are fine."""
+    parts = [F.concat(F.lit("***Schema error: "), schema_error), F.concat(F.lit("***Query error: "), query_error)]
+    return F.concat_ws("", *parts)

@@ -215,3 +215,9 @@ def exactly(c: Column, k: int, filler: str) -> Column:
 def as_cell(c: Column, kind: str) -> Column:
     """A cell as text: arrays, maps and structs as JSON, all else as it prints."""
     return F.to_json(c) if kind.startswith(("array", "map", "struct")) else c.cast("string")
+
+
+def valid_against(c: Column, schema: str, required: list[str]) -> Column:
+    """``ok`` and ``value``: JSON text as a struct of the schema; not ok if it can't be read or a required field is null."""
+    parsed = F.from_json(c, schema)
+    return bind(F.struct(parsed.alias("v")), lambda s: F.struct(F.coalesce(F.try_parse_json(c).isNotNull() & F.forall(F.array(*[s["v"][r].isNotNull() for r in required] or [F.lit(True)]), lambda there: there), F.lit(False)).alias("ok"), s["v"].alias("value")))

@@ -131,16 +131,16 @@ def split_statements(script: Column) -> Column:
 
 
 def repair_ddl_newlines(c: Column) -> Column:
-    """Keywords that lost the white space before or after them."""
-    for wrong, right in (("CREATETABLE", "CREATE TABLE"), ("INSERTINTO", "INSERT INTO"), (");CREATE", ");\nCREATE")):
-        c = F.replace(c, F.lit(wrong), F.lit(right))
+    """Keywords of definitions that a line break parts, on one line."""
+    for first, second in (("CREATE", "TABLE"), ("CREATE", "VIEW"), ("INSERT", "INTO")):
+        c = F.replace(c, F.lit(f"{first}\n{second}"), F.lit(f"{first} {second}"))
     return c
 
 
 def qualify_ddl(c: Column, dataset: str) -> Column:
-    """Table names after CREATE TABLE, CREATE VIEW and INSERT INTO with the data set before them."""
-    c = F.regexp_replace(c, r"(?i)\b(CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW)(?:\s+IF\s+NOT\s+EXISTS)?\s+)(\w+)", f"$1{dataset}.$2")
-    return F.regexp_replace(c, r"(?i)\b(INSERT\s+INTO\s+)(\w+)", f"$1{dataset}.$2")
+    """Names of new tables with a column list, of views, and of tables to insert into, as one quoted name with the data set."""
+    named = f"$1`{dataset}.$2`$3"
+    return F.regexp_replace(F.regexp_replace(c, r"(CREATE\s+TABLE\s+)(\w+)(\s*\()", named), r"(CREATE\s+VIEW\s+|INSERT\s+INTO\s+)(\w+)(\s*)", named)
 
 
 def qualify_query(c: Column, dataset: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import code, hashing, jsonx, text
 from ..operators import analytics, records, sampling, tags
 from ..streaming import flows
-from . import configgen, evolution, generator, sample_to_dataset
+from . import configgen, evolution, generator, sample_to_dataset, validation
 from . import nl2code as nl2code_plan
 from .config import AutoConfig, DataField, DataModel, DataSource, Evolution, Tag, Tags
 from .model import OfflineModel
@@ -225,11 +225,11 @@ def split_statements(part):
 
 
 @query("qualify_tables", "nation", sql="""
-SELECT n_nationkey, 'SELECT EXTRACT(YEAR FROM d) FROM ds.t_' || n_nationkey || ' JOIN ds.u ON 1 = 1' AS q, 'CREATE TABLE ds.t (a INT); INSERT INTO ds.t VALUES (' || n_nationkey || ')' AS ddl FROM nation""")
+SELECT n_nationkey, 'SELECT EXTRACT(YEAR FROM d) FROM ds.t_' || n_nationkey || ' JOIN ds.u ON 1 = 1' AS q, 'CREATE TABLE `ds.t` (a INT); INSERT INTO `ds.t` VALUES (' || n_nationkey || ')' AS ddl FROM nation""")
 def qualify_tables(nation):
     key = F.col("n_nationkey").cast("string")
     q = F.concat(F.lit("SELECT EXTRACT(YEAR FROM d) FROM t_"), key, F.lit(" JOIN u ON 1 = 1"))
-    return nation.select("n_nationkey", text.qualify_query(q, "ds").alias("q"), text.qualify_ddl(F.concat(F.lit("CREATE TABLE t (a INT); INSERT INTO t VALUES ("), key, F.lit(")")), "ds").alias("ddl"))
+    return nation.select("n_nationkey", text.qualify_query(q, "ds").alias("q"), text.qualify_ddl(text.repair_ddl_newlines(F.concat(F.lit("CREATE\nTABLE t (a INT); INSERT\nINTO t VALUES ("), key, F.lit(")"))), "ds").alias("ddl"))
 
 
 @query("render_template", "orders", sql="SELECT o_orderkey, 'Order {' || o_orderkey || '} is ' || o_orderstatus || ' / ' || o_orderpriority AS prompt FROM orders")
@@ -462,10 +462,10 @@ def sql_syntax(nation):
     return code.sql_errors(nation.sparkSession, nation.select("n_nationkey", sql.alias("q")), "q").select("n_nationkey", F.col("error").isNull().alias("valid"))
 
 
-@query("query_and_schema_pairs", "nation", sql="SELECT n_nationkey, concat_ws(chr(10), CASE WHEN n_nationkey % 2 = 0 THEN 'Schema: bad' END, CASE WHEN n_nationkey % 3 = 0 THEN 'Query: worse' END) AS error FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0")
+@query("query_and_schema_pairs", "nation", sql="SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '***Schema error: bad' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN '***Query error: worse' ELSE '' END AS error FROM nation")
 def query_and_schema_pairs(nation):
     k = F.col("n_nationkey")
-    return nation.select("n_nationkey", code.pair_error(F.when(k % 2 == 0, "bad"), F.when(k % 3 == 0, "worse")).alias("error")).where("error IS NOT NULL")
+    return nation.select("n_nationkey", code.pair_error(F.when(k % 2 == 0, "bad"), F.when(k % 3 == 0, "worse")).alias("error"))
 
 
 @query("python_syntax", "part", sql="SELECT p_partkey, p_size % 2 = 0 AS valid, CASE WHEN p_size % 2 = 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS n_messages FROM part")
@@ -482,6 +482,27 @@ def sqlite_execution(part):
     return part.select("p_partkey", code.run_in_sqlite(schema, asked)["ok"].alias("ok"))
 
 
+@query("schema_validation", "events", sql="SELECT event_id, event_id % 2 = 0 AS ok FROM events")
+def schema_validation(events):
+    made = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"column_name": "a", "quality_rank": 1, "x": '), "props", F.lit("}"))).otherwise('{"quality_rank": 1}')
+    return events.select("event_id", jsonx.valid_against(made, "struct<column_name:string,quality_rank:string>", ["column_name"])["ok"].alias("ok"))
+
+
+@query("python_methods", "part", sql="SELECT p_partkey, p_size % 2 = 0 AS is_valid_python_with_ast, p_size % 4 = 0 AS is_valid_python_with_names, p_size % 4 = 0 AS is_valid_python_with_policy FROM part")
+def python_methods(part):
+    k = F.col("p_size") % 4
+    source = F.when(k == 0, "x = 1").when(k == 2, "x = surely_undefined").otherwise("def (")
+    checked = validation.python_checks(part.select("p_partkey", source.alias("code")), "code")
+    return checked.select("p_partkey", *[f"is_valid_python_with_{m}" for m in ("ast", "names", "policy")])
+
+
+@query("sql_methods", "nation", sql="SELECT n_nationkey, n_nationkey % 2 = 0 AS is_valid_sql_with_parser, n_nationkey % 2 = 0 AS is_valid_sql_with_sqlite FROM nation")
+def sql_methods(nation):
+    asked = F.when(F.col("n_nationkey") % 2 == 0, "SELECT a FROM t").otherwise("SELEC a FROM t")
+    df = nation.select("n_nationkey", F.lit("CREATE TABLE t (a INT)").alias("schema"), asked.alias("query"))
+    return validation.sql_checks(df, "schema", "query").select("n_nationkey", "is_valid_sql_with_parser", "is_valid_sql_with_sqlite")
+
+
 # Streams
 
 @query("tumbling_windows", "events", sql="SELECT time_bucket(INTERVAL '1 hour', ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -101,3 +101,27 @@ def _choose(df: DataFrame, client: ModelClient, name: str) -> DataFrame:
     asked = apply_model(df.withColumn("__prompt", prompt), "__prompt", "__answer", client, "judge")
     option = F.get_json_object(jsonx.largest_object(F.col("__answer")), "$.selected_option")
     return asked.withColumn(name, jsonx.choose_option(option, F.col("__options"))).drop("__prompt", "__answer", "__options")
+
+
+def _table(df: DataFrame, id_: str) -> tuple[DataFrame, str]:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != id_)
+    items = df.select(F.col(id_).alias("id"), F.to_json(F.struct(*[f.name for f in df.schema if f.name != id_])).alias("text"), F.lit(None).cast("string").alias("context"))
+    return items, schema
+
+
+def evolve_table(df: DataFrame, id_: str, client: ModelClient, options: EvolutionOptions = EvolutionOptions()) -> DataFrame:
+    """Rows of a table evolved as lines of JSON; a row whose line can't be read any more stays as it was."""
+    items, schema = _table(df, id_)
+    return _rows_back(items, evolve(items, client, options).select("id", "text"), schema, id_)
+
+
+def align_table(df: DataFrame, id_: str, client: ModelClient, teachers: int = 2, suggestions: int = 3) -> DataFrame:
+    """Rows of a table improved as lines of JSON; a row whose line can't be read any more stays as it was."""
+    items, schema = _table(df, id_)
+    return _rows_back(items, align(items, client, teachers, suggestions).select("id", F.col("final").alias("text")), schema, id_)
+
+
+def _rows_back(items: DataFrame, changed: DataFrame, schema: str, id_: str) -> DataFrame:
+    both = items.select("id", F.col("text").alias("was")).join(changed, "id")
+    line = F.when(F.try_parse_json("text").isNotNull() & F.startswith(F.ltrim("text"), F.lit("{")), F.col("text")).otherwise(F.col("was"))
+    return both.select(F.col("id").alias(id_), F.from_json(line, schema).alias("r")).select(id_, "r.*")

@@ -55,7 +55,7 @@ class OfflineModel:
                 fields = fields[1:]
             return "\n".join(f"<<FIELD: {f}>>\n{self._phrase(prompt, f)}\n<<END_FIELD>>" for f in fields)
         made = {
-            "mutate": {"mutated_text": say}, "improve": {"improved_text": say}, "select": {"selected_option": f"option_{1 + int(self._u(prompt, 'o') * 2)}"}, "suggest": {"suggestions": [say, self._phrase(prompt, "2")]},
+            "mutate": {"mutated_text": say}, "improve": {"improved_text": say}, "select": {"selected_option": f"option_{1 + int(self._u(prompt, 'o') * 2)}"}, "describe": {"dataset_description": say}, "prompt": {"prompt": say}, "suggest": {"suggestions": [say, self._phrase(prompt, "2")]},
             "rank": {"ranking": [{"text_index": 1}, {"text_index": 0}]}, "columns": {"columns": [{"column_name": f"{say.split()[i]}_{say.split()[i + 1]}", "quality_rank": i, "description": say, "all_values": say.split()} for i in range(4)]},
             "rubric": {k: {"score": int(self._u(prompt, k) * 5), "reasoning": say} for k in ("relevance", "correctness", "readability", "scalability", "standards", "efficiency", "pythonic")},
             "tags": [{"name": say.split()[i], "values": sorted(set(say.split()))} for i in range(3)], "rows": [dict(zip(("title", "body"), (say, self._phrase(prompt, f"r{i}")), strict=True)) for i in range(2)],

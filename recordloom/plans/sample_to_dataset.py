@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,10 @@ COLUMNS = "Which columns, not in the sample, would make its rows differ?\nTASK:
 ROWS = "Write {k} rows like the sample.\nTASK: rows\nPROMPT: {prompt}\nSEEDS: {seeds}\nCOLUMNS: {columns}\nTRY: {attempt}\nSAMPLE:\n{sample}"
 
 
+DESCRIBE = "Describe this data set.\nTASK: describe\nCONTEXT: {context}\nCOLUMNS: {columns}\nSAMPLE:\n{sample}"
+PROMPT = "Write a prompt that makes rows of this data set.\nTASK: prompt\nDESCRIPTION: {description}\nSEEDS: {seeds}"
+
+
 @dataclass(frozen=True)
 class Options:
     """How many workers propose columns, how many are kept, rows for each seed, rows in all, and tries for each seed."""
@@ -51,8 +57,32 @@ def propose(spark: SparkSession, sample: DataFrame, client: ModelClient, o: Opti
     return {r["column_name"]: r["v"] for r in best.select("column_name", values.alias("v")).collect() if r["v"]}
 
 
-def run(spark: SparkSession, sample: DataFrame, client: ModelClient, options: Options = Options(), prompt: str = "Keep to the style of the sample.") -> tuple[DataFrame, DataFrame]:
-    """The generated rows, and the same with the seed columns. Answers without rows, or with other columns, are asked for again."""
+def _ask(client: ModelClient, prompt: str, key: str, tries: int) -> str:
+    """A text under ``key`` in the answer's JSON; raises after so many tries without one."""
+    for k in range(tries):
+        answer = client.generate([f"{prompt}\nTRY: {k}"], "nl", {})[0]
+        body = re.search(r"<json>(.*?)</json>", answer, re.S)
+        try:
+            found = json.loads(jsonx.repair(body.group(1) if body else answer) or "{}")
+        except json.JSONDecodeError:
+            continue
+        if isinstance(found, dict) and str(found.get(key) or "").strip():
+            return str(found[key])
+    raise RuntimeError(f"no {key} after {tries} tries")
+
+
+def generation_prompt(sample: DataFrame, seeds: dict[str, list[str]], client: ModelClient, o: Options, context: str = "") -> str:
+    """A prompt template from the model, with the seeds, some rows and the columns of the sample put after it; braces of rows are doubled."""
+    shown = _sample_text(sample, o.sample_rows, o.seed)
+    about = _ask(client, DESCRIBE.format(context=context, columns=sample.columns, sample=shown), "dataset_description", o.retries)
+    prompt = _ask(client, PROMPT.format(description=about, seeds=", ".join(seeds)), "prompt", o.retries)
+    rows = shown.replace("{", "{{").replace("}", "}}")
+    wanted = "\n".join(f"{name.replace('_', ' ')}: {{{name}}}" for name in seeds)
+    return f"{prompt}\nUse this context:\n{wanted}\nExamples of the format:\n{rows}\nThere are only these columns: {sample.columns}"
+
+
+def run(spark: SparkSession, sample: DataFrame, client: ModelClient, options: Options = Options(), prompt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The generated rows, and the same with the seed columns; the prompt template comes from the model if none is given. Answers without rows, or with other columns, are asked for again."""
     o = options
     new = tags.scrub_names(sample.columns)
     sample = tags.zip_rename(sample, [new[c] for c in sample.columns])
@@ -62,10 +92,11 @@ def run(spark: SparkSession, sample: DataFrame, client: ModelClient, options: Op
     each = sampling.seed_permutations(spark, seeds, o.max_permutations, o.seed)
     each = saved(each.where(F.col("id") < -(-o.num_records // o.rows_per_seed)))
     shown = _sample_text(sample, o.sample_rows, o.seed)
+    prompt = prompt or generation_prompt(sample, seeds, client, o)
     todo, made = each, None
     for attempt in range(o.retries):
         seed_text = F.to_json(F.struct(*names)) if names else F.lit("{}")
-        ask = text.render(ROWS, {"k": str(o.rows_per_seed), "prompt": prompt, "seeds": seed_text, "columns": ", ".join(columns), "attempt": str(attempt), "sample": shown})
+        ask = text.render(ROWS, {"k": str(o.rows_per_seed), "prompt": text.render(prompt, {n: F.col(f"`{n}`") for n in names}), "seeds": seed_text, "columns": ", ".join(columns), "attempt": str(attempt), "sample": shown})
         answers = saved(apply_model(todo.withColumn("__prompt", ask), "__prompt", "__answer", client, "nl"))
         body = answers.select("id", jsonx.tagged_json(text.extract_output(F.col("__answer"))).alias("__json"))
         rows = saved(rows_of_json(body, "__json", columns, ["id"]))

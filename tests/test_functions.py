@@ -59,7 +59,7 @@ def test_names_and_scripts(spark):
     assert one(spark, text.database_name(X), "1 Data-base") == "db_1_data_base"
     assert one(spark, text.split_statements(X), " a; ;b ") == ["a;", "b;"]
     assert one(spark, text.qualify_query(X, "d"), "SELECT EXTRACT(YEAR FROM x) FROM t JOIN u") == "SELECT EXTRACT(YEAR FROM x) FROM d.t JOIN d.u"
-    assert one(spark, text.qualify_ddl(X, "d"), "create view v AS SELECT 1; insert into t values (1)") == "create view d.v AS SELECT 1; insert into d.t values (1)"
+    assert one(spark, text.qualify_ddl(X, "d"), "CREATE VIEW v AS SELECT 1; INSERT INTO t VALUES (1)") == "CREATE VIEW `d.v` AS SELECT 1; INSERT INTO `d.t` VALUES (1)"
     assert one(spark, text.render("{{{a}}} {b}", {"a": X, "b": "c"}), None) == "{None} c"
     assert statements("a; 'b;c'; -- d;\n e /* ; */;") == ["a", "'b;c'", "-- d;\n e /* ; */"]
 

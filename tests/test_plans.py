@@ -96,3 +96,31 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     assert flows.windowed(df, "ts", "ok", "1 hour").agg(F.sum("n")).first()[0] == 50
     assert flows.sessions(df, "ts", "ok", "5 minutes").count() == 50
     assert flows.recent(df, "k", 3).count() == 3
+
+
+def test_tables_through_evolution_and_alignment(spark):
+    table = spark.createDataFrame([(1, "a", 2), (2, None, 3)], "k long, v string, n int")
+    for f in (evolution.evolve_table, evolution.align_table):
+        got = f(table, "k", OfflineModel())
+        assert got.columns == ["k", "v", "n"] and sorted(map(tuple, got.collect())) == [(1, "a", 2), (2, None, 3)]
+
+
+def test_generation_prompts(spark):
+    sample = spark.createDataFrame([("t1", "b1")], ["title", "body"])
+    prompt = sample_to_dataset.generation_prompt(sample, {"my_seed": ["x"]}, OfflineModel(), sample_to_dataset.Options())
+    assert "my seed: {my_seed}" in prompt and '{{"title":"t1","body":"b1"}}' in prompt
+    with pytest.raises(RuntimeError):
+        sample_to_dataset.generation_prompt(sample, {}, OfflineModel(bad_json_rate=1.0), sample_to_dataset.Options())
+
+
+def test_validation_columns(spark):
+    from recordloom.plans import validation
+
+    df = spark.createDataFrame([("CREATE TABLE t (a INT)", "SELECT a FROM t"), ("CREATE TABLE t (a INT)", "SELECT b FROM t"), ("CREATE nothing", "SELECT 1")], "s string, q string")
+    got = {(r.s[-1], r.q): r for r in validation.sql_checks(df, "s", "q").collect()}
+    fine, missing, broken = (got[k] for k in ((")", "SELECT a FROM t"), (")", "SELECT b FROM t"), ("g", "SELECT 1")))
+    assert fine.is_valid_sql_with_sqlite and fine.error_msgs_sqlite == ""
+    assert missing.is_valid_sql_with_parser and not missing.is_valid_query_with_sqlite and "***Query error" in missing.error_msgs_sqlite
+    assert not broken.is_valid_schema_with_parser and broken.is_valid_query_with_sqlite is None and "***Schema error" in broken.error_msgs_parser
+    assert validation.seconds(df) > 0
+    assert df.select(validation.only(F.lit("Post gres"), "postgres", F.lit(1)).alias("x")).first().x == 1
