@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +48,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def need(df: DataFrame, *names: str) -> None:
     """Raise if ``df`` lacks one of the columns ``names``."""
     if missing := [n for n in names if n not in df.columns]:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, like, need, with_text
+from .common import bind, fresh, like, need, saved, with_text
 
 #: A line is boilerplate of its host if it is in more distinct documents than both of these allow.
 MIN_DOCS, MAX_SHARE = 10, 0.01
+#: Frequent lines up to which they are broadcast by host; beyond, they are joined to each document's lines.
+BROADCAST_LINES = 500_000
 #: A document is depleted if more than this share of its characters was in removed lines.
-MAX_REMOVED = 0.5
+MAX_REMOVED = 0.75
 
 
 def normalised(line: Column) -> Column:
     """A line in lower case, without white space at its ends."""
-    return F.lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(line, F.lit(" \t\v\f\r")))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -34,7 +36,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("id", "host", "at", F.xxhash64("line").alias("h"), F.char_length("line").alias("size"))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` without boilerplate lines, and without the documents that these leave depleted.
 
     A line is hashed after normalising. It is removed from the documents of a host (``source``) if more than
@@ -46,26 +48,40 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     decision. An empty table gives no rows. Further columns are kept.
     """
     need(docs, "doc_id", "text", "source")
-    frequent = frequent_lines(docs, min_docs, max_share)
-    lines = _lines(docs)
-    # Lines of one document are aggregated together with the mark of the lines to remove; the texts themselves move only once.
-    marked = lines.join(frequent.withColumnsRenamed({"host": "bad_host", "h": "bad_h"}), F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("h") == F.col("bad_h")), "inner")
-    id_, hashes = fresh(docs, "id", "bad")
-    bad = marked.groupBy(F.col("id").alias(id_), F.col("host").alias(id_ + "h")).agg(F.collect_set("h").alias(hashes))
-    joined = docs.join(bad, (F.col("doc_id") == F.col(id_)) & F.col("source").eqNullSafe(F.col(id_ + "h")), "left")
-    split = F.split("text", "\n")
-    is_bad = lambda line: F.array_contains(F.col(hashes), F.xxhash64(normalised(line))) & (normalised(line) != "")
-    sizes = lambda lines_: F.aggregate(lines_, F.lit(0).cast("long"), lambda acc, line: acc + F.char_length(normalised(line)))
-    kept = F.filter(split, lambda line: ~is_bad(line))
-    whole = F.col(hashes).isNull()
-    fine = whole | (sizes(kept) >= F.lit(1 - max_removed) * sizes(split))
-    return like(with_text(joined.where(fine), ~whole, F.array_join(kept, "\n")), docs.columns)
-
-
-_NORMAL = r"lower(regexp_replace(line, '^\s+|\s+$', '', 'g'))"
+    host, hashes = fresh(docs, "host", "bad")
+    frequent = saved(frequent_lines(docs, min_docs, max_share))
+    if frequent.count() <= broadcast_lines:
+        bad = frequent.groupBy(F.col("host").alias(host)).agg(F.collect_set("h").alias(hashes))
+        joined = docs.join(F.broadcast(bad), F.col("source").eqNullSafe(F.col(host)), "left")
+    else:
+        (id_,) = fresh(docs, "id")
+        marked = _lines(docs).join(frequent.toDF("bad_host", "bad_h", "n_docs"), F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("h") == F.col("bad_h")))
+        bad = marked.groupBy(F.col("id").alias(id_), F.col("host").alias(host)).agg(F.collect_set("h").alias(hashes))
+        joined = docs.join(bad, (F.col("doc_id") == F.col(id_)) & F.col("source").eqNullSafe(F.col(host)), "left")
+
+    def judged(s: Column) -> Column:
+        own = F.array_intersect(s["h"], F.col(hashes))
+        marks = F.zip_with(s["h"], s["line"], lambda h, line: F.struct(h.alias("h"), line.alias("line")))
+        return bind(F.struct(own.alias("own"), marks.alias("marks")), cut)
+
+    def cut(s: Column) -> Column:
+        size = lambda marks: F.aggregate(marks, F.lit(0).cast("long"), lambda n, m: n + F.char_length(normalised(m["line"])))
+        kept = F.filter(s["marks"], lambda m: ~F.coalesce(F.array_contains(s["own"], m["h"]), F.lit(False)))
+        return bind(kept, lambda k: F.struct((F.size(s["own"]) > 0).alias("changed"), (size(k) >= F.lit(1 - max_removed) * size(s["marks"])).alias("fine"), F.array_join(k["line"], "\n").alias("text")))
+
+    lines = F.split("text", "\n")
+    # Blank lines have no hash: they are never removed.
+    result = bind(F.struct(F.transform(lines, lambda x: F.when(normalised(x) != "", F.xxhash64(normalised(x)))).alias("h"), lines.alias("line")), judged)
+    candidate = F.col(hashes).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    (out,) = fresh(joined, "result")
+    joined = joined.withColumn(out, F.when(candidate, result)).where(F.col(out).isNull() | F.col(out)["fine"])
+    return like(with_text(joined, F.coalesce(F.col(out)["changed"], F.lit(False)), F.col(out)["text"]), docs.columns)
+
+
+_NORMAL = "lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))"
 
 #: DuckDB SQL for :func:`quality_rules` with its defaults; ``{docs}`` is the table.
-SQL = rf"""
+SQL = f"""
 WITH src AS (SELECT * FROM {{docs}}),
 lines AS (
   SELECT doc_id, source, place, line, {_NORMAL} AS norm

@@ -68,6 +68,7 @@ def test_quality_rules_are_their_sql(spark):
     many = [(i, f"Boiler plate\nunique text number of document {'x' * i}") for i in range(30)] + [(50 + i, "BOILER plate \nok") for i in range(4)]
     docs = docs_of(spark, many).union(docs_of(spark, [(100 + i, f"Boiler plate\nelse {i}") for i in range(5)], source="t"))
     got = quality.quality_rules(docs)
+    assert rows(quality.quality_rules(docs, broadcast_lines=0)) == rows(got)
     assert rows(got) == sorted(duck(quality.SQL.format(docs="documents"), documents=docs), key=repr)
     found = {r.doc_id: r.text for r in got.collect()}
     assert set(found) == set(range(30)) | {100, 101, 102, 103, 104}
