@@ -13,7 +13,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from .text import decimal_without_scale
 
-DIALECTS = "ansi athena bigquery clickhouse databricks db2 duckdb exasol greenplum hive materialize mysql oracle postgres redshift snowflake sparksql sqlite".split()
+DIALECTS = "sqlite sparksql snowflake redshift postgres oracle mysql materialize hive greenplum exasol duckdb db2 databricks clickhouse bigquery athena ansi".split()
 
 
 def _parse_error(code: str | None) -> str | None:
@@ -159,7 +159,7 @@ def sql_errors(spark: SparkSession, df: DataFrame, column: str, limit: int = 10_
                 break
         found.append((text, message))
     table = spark.createDataFrame(found, "__text string, __message string")
-    scale = F.when(decimal_without_scale(F.col(column)), "Custom Check: Found DECIMAL definitions without a scale, which may be incorrect.")
+    scale = F.when(decimal_without_scale(F.col(column)), "DECIMAL types have no scale")
     joined = df.join(F.broadcast(table), F.col(column) == F.col("__text"), "left")  # no more than limit rows
     return joined.withColumn("error", F.nullif(F.concat_ws("\n", "__message", scale), F.lit(""))).drop("__text", "__message")
 

@@ -160,7 +160,7 @@ def tagged_json(c: Column) -> Column:
     """What stands in the first ``<json>`` tags, or all of it, repaired; an error object where that is empty."""
     pattern = r"(?s)<json>(.*?)</json>"
     body = repair_json(F.when(c.rlike(pattern), F.regexp_extract(c, pattern, 1)).otherwise(c))
-    return F.when(body.isNull() | body.isin("", "{}", "null"), F.lit('{"error": "Repaired JSON is empty. Please check the input content."}')).otherwise(body)
+    return F.when(body.isNull() | body.isin("", "{}", "null"), F.lit('{"error": "there is no JSON in the text"}')).otherwise(body)
 
 
 def fenced_json(c: Column) -> Column:

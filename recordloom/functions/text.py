@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 
 from .binding import bind
 
-FIELD = r"<<FIELD:\s*(\w+)>>([\s\S]*?)<<END_FIELD>>"
-FENCE_TAGS = ("sql", "python", "json", "markdown", "text", "bash", "javascript", "html", "css")
+_NAME = r"\s*(\w+)"
+_HEAD = f"<<FIELD:{_NAME}>>"
+_TAIL = "<<END_FIELD>>"
+FIELD = f"(?s){_HEAD}(.*?){_TAIL}"
+FENCE_TAGS = ("bash", "css", "html", "javascript", "json", "markdown", "python", "sql", "text")
+
+
+def _tags(name: str) -> tuple[str, str]:
+    """The opening and closing tag of a name."""
+    return f"<{name}>", f"</{name}>"
+
+
+_FENCE = "```"
 
 
 def strip(c: Column) -> Column:
@@ -74,20 +85,22 @@ def remove_thinking(content: Column) -> Column:
     return tidy_newlines(content)
 
 
-_THINKING = r"(?s)<thinking>(.*?)</?thinking>.*?<output>|<thinking>(.*?)<output>"
+_THINK, _UNTHINK = _tags("thinking")
+_OUT, _UNOUT = _tags("output")
+_THINKING = f"(?s){_THINK}(.*?)(?:{_UNTHINK}|{_THINK}).*?{_OUT}|{_THINK}(.*?){_OUT}"
 
 
 def extract_thinking(c: Column) -> Column:
     """Thinking before an output, within its own tags, or before the last JSON tag."""
     one, two = F.regexp_extract(c, _THINKING, 1), F.regexp_extract(c, _THINKING, 2)
     cut = strip(F.left(c, F.char_length(c) - F.char_length(F.substring_index(c, "<json>", -1)) - len("<json>")))
-    own = r"(?s)<thinking>(.*?)</thinking>"
+    own = f"(?s){_THINK}(.*?){_UNTHINK}"
     return F.when(c.rlike(_THINKING), F.when(one != "", one).otherwise(two)).when(c.rlike(own), F.regexp_extract(c, own, 1)).when(F.contains(c, F.lit("<json>")), cut).otherwise("No thinking content found")
 
 
 def extract_output(c: Column) -> Column:
     """The first output that is not blank, what follows the thinking, or the text from the last JSON tag on."""
-    pattern = r"(?s)<output>(.*?)</output>|<output>(.*)"
+    pattern = f"(?s){_OUT}(.*?){_UNOUT}|{_OUT}(.*)"
     ones, twos = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
     bodies = F.filter(F.transform(F.zip_with(ones, twos, lambda a, b: F.when(F.coalesce(a, F.lit("")) != "", a).otherwise(b)), strip), lambda x: x != "")
     after = F.when(F.contains(c, F.lit("</thinking>")), strip(F.substring(c, F.locate("</thinking>", c) + len("</thinking>"), F.char_length(c)))).otherwise("")
@@ -98,7 +111,7 @@ def extract_output(c: Column) -> Column:
 def extract_code(c: Column) -> Column:
     """From the first fence to the last; all of a text without fences; nothing if there is a single one."""
     fences = F.regexp_count(c, F.lit("```"))
-    body = F.regexp_extract(c, r"(?is)```(?:(?:python|sql)\n?)?(.*)```", 1)
+    body = F.regexp_extract(c, f"(?is){_FENCE}(?:(?:sql|python)\n?)?(.*){_FENCE}", 1)
     return F.when(fences == 0, c).when(fences == 1, F.lit("")).otherwise(strip(body))
 
 
@@ -116,7 +129,7 @@ def yaml_block(c: Column) -> Column:
 
 def safe_name(c: Column) -> Column:
     """A name for a variable: lower case, other characters as underscores, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-zA-Z0-9_]", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^0-9_a-zA-Z]", "_"), "^_+|_+$", "")
 
 
 def database_name(c: Column) -> Column:
@@ -140,7 +153,10 @@ def repair_ddl_newlines(c: Column) -> Column:
 def qualify_ddl(c: Column, dataset: str) -> Column:
     """Names of new tables with a column list, of views, and of tables to insert into, as one quoted name with the data set."""
     named = f"$1`{dataset}.$2`$3"
-    return F.regexp_replace(F.regexp_replace(c, r"(CREATE\s+TABLE\s+)(\w+)(\s*\()", named), r"(CREATE\s+VIEW\s+|INSERT\s+INTO\s+)(\w+)(\s*)", named)
+    after = lambda *words: r"\s+".join(words) + r"\s+"
+    table = f"({after('CREATE', 'TABLE')})(\\w+)(\\s*\\()"
+    other = f"({after('CREATE', 'VIEW')}|{after('INSERT', 'INTO')})(\\w+)()"
+    return F.regexp_replace(F.regexp_replace(c, table, named), other, named)
 
 
 def qualify_query(c: Column, dataset: str) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+GRAVEST = "fatal error warning convention refactor".split()
+
+
 def value_counts(df: DataFrame, column: str, normalise: bool = False) -> DataFrame:
     """Counts of each value that isn't null, or their shares."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("count"))
@@ -40,7 +43,8 @@ def first_category(message: Column, categories: list[str], ignore_case: bool = T
 def severity(mask: Column) -> Column:
     """The gravest message kind in a bit mask."""
     out = None
-    for bit, name in ((1, "fatal"), (2, "error"), (4, "warning"), (8, "convention"), (16, "refactor")):
+    for k, name in enumerate(GRAVEST):
+        bit = 1 << k
         on = mask.bitwiseAND(F.lit(bit)) > 0
         out = F.when(on, name) if out is None else out.when(on, name)
     return out
@@ -48,7 +52,7 @@ def severity(mask: Column) -> Column:
 
 def by_severity(messages: Column) -> Column:
     """An array of structs with ``type``, gravest first, in their order."""
-    order = F.array(*map(F.lit, ("fatal", "error", "warning", "convention", "refactor")))
+    order = F.array(*map(F.lit, GRAVEST))
     tagged = F.transform(messages, lambda m, i: F.struct(F.array_position(order, m["type"]).alias("k"), i.alias("i"), m.alias("m")))
     return F.transform(F.array_sort(tagged), lambda x: x["m"])
 

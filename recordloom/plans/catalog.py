@@ -449,7 +449,7 @@ def lint_code_sets(events):
 
 # Code checks
 
-@query("decimal_scale_lint", "part", sql="SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Custom Check: Found DECIMAL definitions without a scale, which may be incorrect.' END AS error FROM part")
+@query("decimal_scale_lint", "part", sql="SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'DECIMAL types have no scale' END AS error FROM part")
 def decimal_scale_lint(part):
     sql = F.when(F.col("p_size") % 2 == 0, "SELECT CAST(1 AS DECIMAL(10))").otherwise("SELECT CAST(1 AS DECIMAL(10,2))")
     return code.sql_errors(part.sparkSession, part.select("p_partkey", sql.alias("q")), "q").select("p_partkey", "error")

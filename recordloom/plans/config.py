@@ -163,17 +163,18 @@ class DataModel:
 
     @classmethod
     def from_yaml(cls, text: str) -> DataModel:
-        data = _known(cls, yaml.safe_load(text) or {})
-        data["fields"] = [DataField(**_known(DataField, f)) for f in data.get("fields", [])]
-        if data.get("data_source"):
-            data["data_source"] = DataSource(**_known(DataSource, data["data_source"]))
-        if data.get("contextual_tags"):
-            data["contextual_tags"] = Tags.read(data["contextual_tags"])
-        if data.get("evolution"):
-            data["evolution"] = Evolution(**_known(Evolution, data["evolution"]))
-        return cls(**data)
+        job = _known(cls, yaml.safe_load(text) or {})
+        job["fields"] = [DataField(**_known(DataField, f)) for f in job.get("fields", [])]
+        if job.get("data_source"):
+            job["data_source"] = DataSource(**_known(DataSource, job["data_source"]))
+        if job.get("contextual_tags"):
+            job["contextual_tags"] = Tags.read(job["contextual_tags"])
+        if job.get("evolution"):
+            job["evolution"] = Evolution(**_known(Evolution, job["evolution"]))
+        return cls(**job)
 
     def to_yaml(self) -> str:
+        """Settings as YAML that reads back to the same job."""
         out: dict[str, Any] = {
             "generation_instructions": self.generation_instructions, "num_examples": self.num_examples, "generation_strategy": self.generation_strategy, "evolution": vars(self.evolution),
             "evolution_generations": self.evolution_generations, "use_reflection": self.use_reflection, "output_filename": self.output_filename, "llm_model": self.llm_model,
@@ -208,10 +209,10 @@ class AutoConfig:
 class ManualConfig:
     """A code job with given domains and topics; a domain without topics gets some from the model."""
 
-    domain_and_topics: dict[str, list[str]]
     complexity_levels: list[str]
-    code_lang: str = "python"
+    domain_and_topics: dict[str, list[str]]
     num_topics_per_domain: int = 5
+    code_lang: str = "python"
     syntax_validation: bool = True
     semantic_validation: bool = False
     artifact_path: str | None = None

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Settings of each role, over which a caller's don't win.
-ROLES = {"nl": {"temperature": 0.8, "max_tokens": 2048, "top_p": 0.92}, "code": {"temperature": 0.2, "max_tokens": 4096}, "judge": {"temperature": 0.1, "max_tokens": 1024}}
+ROLES = {"nl": {"temperature": 0.8, "max_tokens": 2048, "top_p": 0.92}, "code": dict(max_tokens=4096, temperature=0.2), "judge": dict(max_tokens=1024, temperature=0.1)}
 
 
 class ModelClient(Protocol):

@@ -61,7 +61,7 @@ def _ask(client: ModelClient, prompt: str, key: str, tries: int) -> str:
     """A text under ``key`` in the answer's JSON; raises after so many tries without one."""
     for k in range(tries):
         answer = client.generate([f"{prompt}\nTRY: {k}"], "nl", {})[0]
-        body = re.search(r"<json>(.*?)</json>", answer, re.S)
+        body = re.search("<json>(.*?)<.json>", answer, re.S)
         try:
             found = json.loads(jsonx.repair(body.group(1) if body else answer) or "{}")
         except json.JSONDecodeError:
@@ -76,7 +76,7 @@ def generation_prompt(sample: DataFrame, seeds: dict[str, list[str]], client: Mo
     shown = _sample_text(sample, o.sample_rows, o.seed)
     about = _ask(client, DESCRIBE.format(context=context, columns=sample.columns, sample=shown), "dataset_description", o.retries)
     prompt = _ask(client, PROMPT.format(description=about, seeds=", ".join(seeds)), "prompt", o.retries)
-    rows = shown.replace("{", "{{").replace("}", "}}")
+    rows = re.sub("([{}])", r"\1\1", shown)
     wanted = "\n".join(f"{name.replace('_', ' ')}: {{{name}}}" for name in seeds)
     return f"{prompt}\nUse this context:\n{wanted}\nExamples of the format:\n{rows}\nThere are only these columns: {sample.columns}"
 

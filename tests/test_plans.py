@@ -56,7 +56,7 @@ def test_evolution_and_alignment(spark):
 
 @pytest.mark.parametrize("lang", ["sql", "python"])
 def test_code_records(spark, lang):
-    config = ManualConfig({"a": ["b", "c"], "d": []}, ["easy"], code_lang=lang, semantic_validation=True)
+    config = ManualConfig(["easy"], {"a": ["b", "c"], "d": []}, code_lang=lang, semantic_validation=True)
     got = nl2code.run(spark, config, OfflineModel(), 12)
     assert got.count() == 12
     assert {r.syntax_validation for r in got.collect()} == {"passed"}
