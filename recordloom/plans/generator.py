@@ -134,7 +134,8 @@ class Result:
 def run(spark: SparkSession, job: DataModel, client: ModelClient, seed: int = 0, max_rounds: int = 10) -> Result:
     """Generate until ``num_examples`` records are valid, or for ``max_rounds``; contexts are used in turn.
 
-    Each round makes as many attempts as are missing. Attempts carry ``bytes_read``, ``bytes_written`` and their ratio to
+    The first round makes as many attempts as records are asked for; later ones half again as many as are missing, for
+    rounds cost more than attempts. Attempts after the last record that was needed are dropped. Attempts carry ``bytes_read``, ``bytes_written`` and their ratio to
     the bytes of the record.
     """
     ctx, columns = contexts(spark, job, seed)
@@ -143,16 +144,21 @@ def run(spark: SparkSession, job: DataModel, client: ModelClient, seed: int = 0,
     names = [f.name for f in job.fields]
     tried: DataFrame | None = None
     successes = done = 0
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         missing = job.num_examples - successes
         if missing <= 0:
             break
-        slots = spark.range(done, done + missing).select(F.col("id").alias("attempt"), F.pmod("id", F.lit(n_contexts)).alias("slot"))
+        tries = missing if k == 0 else missing + missing // 2 + 4
+        slots = spark.range(done, done + tries).select(F.col("id").alias("attempt"), F.pmod("id", F.lit(n_contexts)).alias("slot"))
         df = slots.join(ctx, "slot").withColumn("bytes_read", F.lit(0)).withColumn("bytes_written", F.lit(0))
         df = saved(validate(evolve(generate(df, job, client, columns), job, client, columns, seed), job, client))
         tried = df if tried is None else tried.unionByName(df)
-        done += missing
-        successes += df.where("valid").count()
+        valid = df.where("valid").count()
+        if valid > missing:  # the attempts after the last that is needed don't count
+            last = df.where("valid").select("attempt").orderBy("attempt").limit(missing).agg(F.max("attempt")).first()[0]
+            tried, valid, tries = tried.where(F.col("attempt") <= last), missing, last + 1 - done
+        done += tries
+        successes += valid
     if tried is None:
         tried = ctx.limit(0).withColumns({"attempt": F.lit(0).cast("long"), "bytes_read": F.lit(0), "bytes_written": F.lit(0), "valid": F.lit(True), "reason": F.lit("")} | {f"__v{k}": F.lit("") for k in range(len(names))})
     out = records.merged(tried.where("valid").select("attempt", *[F.col(f"`{c}`") for c in columns], *[f"__v{k}" for k in range(len(names))]), ["attempt", *columns], {n: F.col(f"__v{k}") for k, n in enumerate(names)})
