@@ -192,6 +192,14 @@ class DataModel:
         return sum(len(x.encode()) for x in parts)
 
 
+def read_model(text: str) -> DataModel | None:
+    """A job from YAML, or None if it isn't one."""
+    try:
+        return DataModel.from_yaml(text)
+    except (yaml.YAMLError, ValueError, TypeError, KeyError, AttributeError):
+        return None
+
+
 @dataclass
 class AutoConfig:
     """A code job whose domains, topics and levels the model makes up."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,17 +82,28 @@ def evolve(df: DataFrame, job: DataModel, client: ModelClient, context: list[str
     return df
 
 
+def _sql(df: DataFrame, value: str, out: str, dialect: str = "ansi") -> DataFrame:
+    if dialect not in code.DIALECTS:
+        raise ValueError(f"unknown dialect: {dialect}")
+    return code.sql_errors(df.sparkSession, df, value).withColumnRenamed("error", out)
+
+
+#: Validators by name: (table, column of values, column for errors, parameter...) to the table with errors, null if there are none.
+#: More can be put in; a name that isn't here asks the model. All SQL dialects are checked by the one parser there is.
+VALIDATORS: dict[str, Callable[..., DataFrame]] = {
+    "json": lambda df, value, out, *_: df.withColumn(out, jsonx.json_error(F.col(value))),
+    "python": lambda df, value, out, *_: df.withColumn(out, code.python_error(F.col(value))),
+    "sql": _sql,
+}
+
+
 def field_error(df: DataFrame, field: DataField, value: str, out: str, client: ModelClient, job: DataModel) -> DataFrame:
-    """``df`` with the validator's message for a column of values, or null. Names beyond sql, json and python ask the model."""
-    name = (field.validator or "").split(":")[0].lower()
+    """``df`` with the validator's message for a column of values, or null. Names that aren't in ``VALIDATORS`` ask the model."""
+    name, *params = (field.validator or "").split(":")
     if not name:
         return df.withColumn(out, F.lit(None).cast("string"))
-    if name == "json":
-        return df.withColumn(out, jsonx.json_error(F.col(value)))
-    if name == "python":
-        return df.withColumn(out, code.python_error(F.col(value)))
-    if name == "sql":
-        return code.sql_errors(df.sparkSession, df, value).withColumnRenamed("error", out)
+    if name.lower() in VALIDATORS:
+        return VALIDATORS[name.lower()](df, value, out, *params)
     prompt = F.when(F.col(value).isNotNull(), text.render(CHECK, {"kind": field.validator, "content": F.col(value)}))
     return _respond(df, prompt, "__verdict", client, job, "judge", {"temperature": 0.1}).withColumn(out, records.verdict(F.col("__verdict"))).drop("__verdict")
 

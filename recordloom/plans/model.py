@@ -78,6 +78,56 @@ class OfflineModel:
         return [self.answer(p, role) for p in prompts]
 
 
+@dataclass
+class HttpModel:
+    """A chat service that takes ``{model, messages, ...}`` and answers ``{choices: [{message: {content}}]}`` as JSON.
+
+    Only the settings in ``SUPPORTED`` are sent. A prompt whose request fails ``tries`` times has an empty answer.
+    """
+
+    url: str
+    model: str
+    headers: dict[str, str] = field(default_factory=dict)
+    system: str = "You are a helpful assistant."
+    tries: int = 3
+    timeout: float = 60.0
+
+    SUPPORTED = ("temperature", "max_tokens", "top_p", "top_k")
+
+    def generate(self, prompts: list[str], role: str, params: dict) -> list[str]:
+        sent = {name: params[name] for name in self.SUPPORTED if name in params}
+        return [self._one(p, sent) for p in prompts]
+
+    def _one(self, prompt: str, params: dict) -> str:
+        from urllib.error import URLError
+        from urllib.request import Request, urlopen
+
+        body = {"model": self.model, "messages": [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}], **params}
+        request = Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", **self.headers})
+        for _ in range(self.tries):
+            try:
+                with urlopen(request, timeout=self.timeout) as answer:
+                    return json.load(answer)["choices"][0]["message"]["content"] or ""
+            except (URLError, TimeoutError, json.JSONDecodeError, KeyError, IndexError):
+                continue
+        return ""
+
+
+def flatten_messages(messages: list[dict[str, str]]) -> str:
+    """One prompt from several messages, each under its role; a single one as it is."""
+    if len(messages) == 1:
+        return messages[0]["content"]
+    return "\n\n".join(f"{m['role'].upper()}:\n{m['content']}\n---" for m in messages)
+
+
+def ask_json(df: DataFrame, prompt: str, client: ModelClient, role: str = "nl") -> DataFrame:
+    """``df`` with ``thinking`` and ``json``: an answer's reasoning, and the repaired JSON of its output (an error object if there is none)."""
+    from ..functions import jsonx, text
+
+    asked = apply_model(df, prompt, "__answer", client, role)
+    return asked.withColumn("thinking", text.extract_thinking(F.col("__answer"))).withColumn("json", jsonx.tagged_json(text.extract_output(F.col("__answer")))).drop("__answer")
+
+
 def apply_model(df: DataFrame, prompt: str, out: str, client: ModelClient, role: str = "nl", params: dict | None = None, batch: int = 256) -> DataFrame:
     """``df`` with the answer to each prompt, from batches; a null prompt costs no call and has a null answer.
 

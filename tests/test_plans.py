@@ -124,3 +124,48 @@ def test_validation_columns(spark):
     assert not broken.is_valid_schema_with_parser and broken.is_valid_query_with_sqlite is None and "***Schema error" in broken.error_msgs_parser
     assert validation.seconds(df) > 0
     assert df.select(validation.only(F.lit("Post gres"), "postgres", F.lit(1)).alias("x")).first().x == 1
+
+
+def test_chat_service_and_json_answers(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from recordloom.plans.model import HttpModel, ask_json, flatten_messages
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = f"<thinking>why</thinking><output><json>{{'asked': '{body['messages'][1]['content']}', 't': {body.get('temperature', 0)}, 'x': {int('other' in body)}}}</json></output>"
+            out = json.dumps({"choices": [{"message": {"content": text}}]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(out)))
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = HttpModel(f"http://127.0.0.1:{server.server_port}/", "m")
+    assert "'x': 0" in client.generate(["p"], "nl", {"temperature": 1, "other": 2})[0]
+    got = ask_json(spark.createDataFrame([("q",)], "p string"), "p", client).first()
+    server.shutdown()
+    assert got.thinking == "why" and json.loads(got.json)["asked"] == "q"
+    assert HttpModel("http://127.0.0.1:9/", "m", tries=1, timeout=1).generate(["p"], "nl", {}) == [""]
+    assert flatten_messages([{"role": "user", "content": "a"}]) == "a"
+    assert flatten_messages([{"role": "user", "content": "a"}, {"role": "system", "content": "b"}]) == "USER:\na\n---\n\nSYSTEM:\nb\n---"
+
+
+def test_validators_by_name(spark):
+    from recordloom.plans.config import read_model
+
+    job = DataModel(fields=[DataField("q")])
+    df = spark.createDataFrame([("SELECT 1",), ("SELEC",)], "v string")
+    for name, errors in (("sql", 1), ("sql:sqlite", 1), ("json", 2), ("json:x", 2), ("", 0)):
+        got = generator.field_error(df, DataField("q", validator=name), "v", "e", OfflineModel(), job)
+        assert got.where("e IS NOT NULL").count() == errors, name
+    with pytest.raises(ValueError):
+        generator.field_error(df, DataField("q", validator="sql:cobol"), "v", "e", OfflineModel(), job)
+    assert read_model("a: [") is None and read_model("fields: []") is None and read_model("fields: [{name: a}]").fields[0].name == "a"
