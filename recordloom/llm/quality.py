@@ -59,23 +59,23 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
         bad = marked.groupBy(F.col("id").alias(id_), F.col("host").alias(host)).agg(F.collect_set("h").alias(hashes))
         joined = docs.join(bad, (F.col("doc_id") == F.col(id_)) & F.col("source").eqNullSafe(F.col(host)), "left")
 
-    def judged(s: Column) -> Column:
-        own = F.array_intersect(s["h"], F.col(hashes))
-        marks = F.zip_with(s["h"], s["line"], lambda h, line: F.struct(h.alias("h"), line.alias("line")))
-        return bind(F.struct(own.alias("own"), marks.alias("marks")), cut)
-
-    def cut(s: Column) -> Column:
-        size = lambda marks: F.aggregate(marks, F.lit(0).cast("long"), lambda n, m: n + F.char_length(normalised(m["line"])))
-        kept = F.filter(s["marks"], lambda m: ~F.coalesce(F.array_contains(s["own"], m["h"]), F.lit(False)))
-        return bind(kept, lambda k: F.struct((F.size(s["own"]) > 0).alias("changed"), (size(k) >= F.lit(1 - max_removed) * size(s["marks"])).alias("fine"), F.array_join(k["line"], "\n").alias("text")))
-
-    lines = F.split("text", "\n")
-    # Blank lines have no hash: they are never removed.
-    result = bind(F.struct(F.transform(lines, lambda x: F.when(normalised(x) != "", F.xxhash64(normalised(x)))).alias("h"), lines.alias("line")), judged)
+    def marked_line(line: Column) -> Column:
+        # Blank lines have no hash: they are never removed.
+        return bind(normalised(line), lambda norm: F.struct(F.when(norm != "", F.xxhash64(norm)).alias("h"), F.char_length(norm).cast("long").alias("size"), line.alias("line")))
+
+    def judged(lines: Column) -> Column:
+        own = F.array_intersect(lines["h"], F.col(hashes))
+        return bind(own, lambda o: F.when(F.size(o) > 0, bind(F.filter(lines, lambda m: ~F.coalesce(F.array_contains(o, m["h"]), F.lit(False))), lambda kept: cut(kept, lines))))
+
+    def cut(kept: Column, lines: Column) -> Column:
+        size = lambda marks: F.aggregate(marks["size"], F.lit(0).cast("long"), lambda n, k: n + k)
+        return F.struct((size(kept) >= F.lit(1 - max_removed) * size(lines)).alias("fine"), F.array_join(kept["line"], "\n").alias("text"))
+
+    result = bind(F.transform(F.split("text", "\n"), marked_line), judged)
     candidate = F.col(hashes).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
     (out,) = fresh(joined, "result")
     joined = joined.withColumn(out, F.when(candidate, result)).where(F.col(out).isNull() | F.col(out)["fine"])
-    return like(with_text(joined, F.coalesce(F.col(out)["changed"], F.lit(False)), F.col(out)["text"]), docs.columns)
+    return like(with_text(joined, F.col(out).isNotNull(), F.col(out)["text"]), docs.columns)
 
 
 _NORMAL = "lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))"
