@@ -96,4 +96,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
         return out
 
     schema = "bin_id long, slot long, bin_start long, doc_id long, piece long, start_word long, n_words long"
-    return sizes.groupBy(shard).applyInPandas(run, schema)
+    return sizes.repartition(min(shards, 10_000), shard).groupBy(shard).applyInPandas(run, schema)  # a number, lest shards be put together in few tasks
