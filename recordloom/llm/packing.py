@@ -81,18 +81,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
     need(docs, "doc_id", "text")
     (shard,) = fresh(docs, "shard")
     words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+    id_ = F.col("doc_id").cast("long")
+    # Null ids are told by a flag: in pandas a column with nulls would turn large ids into rounded floats.
+    sizes = docs.select(F.coalesce(id_, F.lit(0)).alias("doc_id"), id_.isNotNull().alias("known"), words.alias("words"))
     shards = max(1, -(-docs.count() // shard_docs))
-    sizes = sizes.where("words > 0").withColumn(shard, F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    sizes = sizes.where("words > 0").withColumn(shard, F.pmod(F.xxhash64("known", "doc_id"), F.lit(shards)))
 
     def run(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "words"], na_position="first", kind="stable")
-        null = pdf["doc_id"].isna().to_numpy()
+        pdf = pdf.sort_values(["known", "doc_id", "words"], kind="stable")
         out = pack_shard(list(range(len(pdf))), pdf["words"].tolist(), capacity, int(key[0]))
         at = out["doc_id"].to_numpy()
-        ids = pdf["doc_id"].fillna(0).astype("int64").to_numpy()[at]
-        out["doc_id"] = pd.array(ids, dtype="Int64")
-        out.loc[null[at], "doc_id"] = pd.NA
+        out["doc_id"] = pd.array(pdf["doc_id"].to_numpy()[at], dtype="Int64")
+        out.loc[~pdf["known"].to_numpy()[at], "doc_id"] = pd.NA
         return out
 
     schema = "bin_id long, slot long, bin_start long, doc_id long, piece long, start_word long, n_words long"

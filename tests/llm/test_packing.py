@@ -52,6 +52,11 @@ def test_all_words_are_placed_once_and_no_bin_is_over(spark):
     assert got.n_words.sum() > 0.85 * 100 * got.bin_id.nunique()
 
 
+def test_large_ids_beside_null_ids(spark):
+    big = (1 << 62) + 1
+    assert {r.doc_id for r in packing.pack(docs_of(spark, [(big, "a b"), (None, "c")])).collect()} == {big, None}
+
+
 def test_awkward_rows(spark):
     got = packing.pack(awkward(spark)).toPandas()
     assert sorted(got.doc_id.dropna().unique()) == [4, 5, 6, 7]
