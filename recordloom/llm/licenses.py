@@ -6,12 +6,14 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, slices
+from .common import bind, need, slices
 
 #: Share of a template's words that must be aligned, in order.
 COVERAGE = 0.8
@@ -168,10 +170,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverag
     split = {name: words_of(t) for name, t in templates.items() if words_of(t)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = sorted({w for t in split.values() for w in key_words(t, coverage)})
-    low, holds = F.lower("text"), F.lit(False)
-    for word in keys:
-        if not any(k in word and k != word for k in keys):  # a word that contains another key word is found with it
-            holds = holds | F.contains(low, F.lit(word))
+    keys = [w for w in keys if not any(k in w and k != w for k in keys)]  # a word that contains another key word is found with it
+    holds = bind(F.lower("text"), lambda low: reduce(or_, [F.contains(low, F.lit(w)) for w in keys], F.lit(False)))
     rows = rows.where("text IS NOT NULL").where(holds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
