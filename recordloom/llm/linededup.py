@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, like, need, saved, with_text
 
-#: A passage is a run of so many lines, or one line of so many characters (some 50 words).
-RUN_LINES, LONG_CHARS = 2, 250
+#: A passage is a run of so many lines, or one line of so many characters or of so many words.
+RUN_LINES, LONG_CHARS, LONG_WORDS = 2, 250, 50
 _BLANKS = " \t\v\f\r"
 
 
@@ -16,16 +16,23 @@ def _strip(line: Column) -> Column:
     return F.btrim(line, F.lit(_BLANKS))
 
 
-def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+def _long(line: Column, chars: int, words: int) -> Column:
+    """Whether a stripped line has so many characters or words; the words are split only where there are blanks enough."""
+    size = F.char_length(line)
+    few = (size < 2 * words - 1) | (size - F.char_length(F.translate(line, _BLANKS, "")) < words - 1)
+    return F.when(size >= chars, True).when(few, False).otherwise(F.size(F.split(line, f"[{_BLANKS}]+")) >= words)
+
+
+def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS, long_words: int = LONG_WORDS) -> DataFrame:
     """Winnowed lines: ``id``, ``n`` (the number among the lines that are not blank), ``h``, ``long`` and ``around``.
 
     Of each window of ``run_lines`` line hashes the rightmost least one is selected, so two equal runs of that many lines
-    select the same line. Lines of at least ``long_chars`` characters are always selected. ``around`` has the hashes of
-    ``run_lines`` - 1 lines on either side, null beyond the ends.
+    select the same line. Lines of at least ``long_chars`` characters or ``long_words`` words are always selected. ``around``
+    has the hashes of ``run_lines`` - 1 lines on either side, null beyond the ends.
     """
     w = run_lines
     lines = F.filter(F.transform(F.split("text", "\n"), _strip), lambda line: line != "")
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("h"), (F.char_length(line) >= long_chars).alias("long"))).alias("lines"))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("h"), _long(line, long_chars, long_words).alias("long"))).alias("lines"))
     rows = rows.where(F.size("lines") > 0).select("id", F.col("lines.h").alias("hs"), F.col("lines.long").alias("longs"))
     size = F.size("hs")
 
@@ -49,10 +56,10 @@ def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int =
     return rows.select("id", F.explode(at).alias("f")).select("id", "f.*").where("long or won")
 
 
-def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS, long_words: int = LONG_WORDS) -> DataFrame:
     """``id``, ``marks`` (for the lines that are not blank, in order, whether to delete them) and ``n_gone``, of each document that has any."""
     w = run_lines
-    prints = saved(fingerprints(docs, run_lines, long_chars))  # read twice: the texts are not
+    prints = saved(fingerprints(docs, run_lines, long_chars, long_words))  # read twice: the texts are not
     twice = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     # A fingerprint that occurs once is in no repeated run: only the others are extended, both ways, to every run through them.
     found = prints.join(twice, "h")
@@ -72,11 +79,11 @@ def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int
     return gone.select("id", F.array_sort(marks)["gone"].alias("marks"), F.size("ns").alias("n_gone"))
 
 
-def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` without the passages that occurred before; documents of which no line is left go.
 
-    A passage is a run of ``run_lines`` lines or more, or one line of ``long_chars`` characters or more. Lines are compared
-    without white space at their ends; blank lines are passed over. The first occurrence, by ``doc_id`` and place in the
+    A passage is a run of ``run_lines`` lines or more, or one line of ``long_chars`` characters or
+    ``long_words`` words or more. Lines are compared without white space at their ends; blank lines are passed over. The first occurrence, by ``doc_id`` and place in the
     text, stays; the lines of every later one are deleted. ``n_chars`` follows the text.
 
     Rows without ``doc_id`` or text, and blank texts, stay as they are and match nothing. Repeated rows are one document:
@@ -85,7 +92,7 @@ def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LO
     """
     need(docs, "doc_id", "text")
     id_, marks, n_gone = fresh(docs, "id", "marks", "n_gone")
-    gone = repeated_lines(docs, run_lines, long_chars).toDF(id_, marks, n_gone)
+    gone = repeated_lines(docs, run_lines, long_chars, long_words).toDF(id_, marks, n_gone)
     joined = docs.join(gone, F.col("doc_id") == F.col(id_), "left")
     solid = F.filter(F.split("text", "\n"), lambda line: _strip(line) != "")
     left = F.filter(solid, lambda line, n: ~F.coalesce(F.get(F.col(marks), n), F.lit(False)))
@@ -93,7 +100,7 @@ def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LO
     return like(with_text(joined.where(whole), F.col(n_gone).isNotNull(), F.array_join(left, "\n")), docs.columns)
 
 
-#: DuckDB SQL for :func:`line_dedup` with its defaults; ``{docs}`` is the table.
+#: DuckDB SQL for :func:`line_dedup` with its defaults, without the rule of words; ``{docs}`` is the table.
 SQL = f"""
 WITH src AS (SELECT * FROM {{docs}}),
 raw AS (

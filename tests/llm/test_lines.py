@@ -93,3 +93,15 @@ def test_awkward_rows(spark):
 def test_repeated_rows_get_one_decision(spark):
     docs = docs_of(spark, [(1, "a\nb"), (1, "a\nb"), (2, "a\nb\nc"), (3, "a\nb")])
     assert rows(linededup.line_dedup(docs).select("doc_id", "text")) == [(1, "a\nb"), (1, "a\nb"), (2, "c")]
+
+
+def test_lines_of_many_short_words_are_passages(spark):
+    many, few = " ".join(["ab"] * 50), " ".join(["ab"] * 49)
+    assert len(many) < linededup.LONG_CHARS
+    for blank in (" ", "\t", " \t "):
+        pairs = [(i, f"own {i}a\n{line.replace(' ', blank)}\nown {i}b") for i, line in enumerate([many, few, many, few])]
+        got = rows(linededup.line_dedup(docs_of(spark, pairs)).select("doc_id", "text"))
+        assert got == [*pairs[:2], (2, "own 2a\nown 2b"), pairs[3]]
+    spread = "  ".join(["ab"] * 40)  # blanks enough, words too few
+    pairs = [(i, f"own {i}a\n{spread}\nown {i}b") for i in range(2)]
+    assert rows(linededup.line_dedup(docs_of(spark, pairs)).select("doc_id", "text")) == pairs
