@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import importlib.util
 import sqlite3
+import uuid
 
 import pandas as pd
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from ..operators.common import saved, small
 from .text import decimal_without_scale
 
 DIALECTS = "sqlite sparksql snowflake redshift postgres oracle mysql materialize hive greenplum exasol duckdb db2 databricks clickhouse bigquery athena ansi".split()
@@ -137,31 +141,58 @@ def run_in_sqlite(schema: pd.Series, query: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_run(s, q) for s, q in zip(schema, query, strict=True)], columns=["ok", "error"])
 
 
-def sql_errors(spark: SparkSession, df: DataFrame, column: str, limit: int = 10_000) -> DataFrame:
-    """``df`` with ``error``: the SQL parser's message for ``column``, or null; and a note on decimals without a scale.
+#: Messages and bytes of statements that the driver holds at once.
+PARSE_ROWS, PARSE_CHARS = 10_000, 1 << 23
 
-    Distinct statements, ``limit`` at most, are parsed on the driver, for the parser lives there; with more it raises.
-    """
+
+def _sql_message(parser: JavaObject, text: str) -> str | None:
     from .sqlsplit import statements
 
-    texts = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(texts) > limit:
-        raise ValueError(f"more than {limit} distinct statements to parse")
+    for part in statements(text):
+        try:
+            parser.parsePlan(part)
+        except Exception as error:  # noqa: BLE001 - the JVM's parse error, of several classes
+            return str(error).strip().splitlines()[0][:512]
+    return None
+
+
+def _sql_verdicts(spark: SparkSession, texts: DataFrame, chunk: int) -> DataFrame:
+    """``__key`` (SHA-256 of the statement) and ``__message`` of each of the distinct statements ``text`` that can't be parsed."""
+    texts = saved(texts)
+    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if (parts := chars // PARSE_CHARS + 1) > texts.rdd.getNumPartitions():
+        texts = texts.repartition(parts)  # the driver gets one at a time
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder, schema = f"{where.rstrip('/')}/verdicts-{uuid.uuid4().hex}", "__key string, __message string"
+    spark.createDataFrame([], schema).write.parquet(folder)
     parser = spark._jsparkSession.sessionState().sqlParser()
-    found = []
-    for text in texts:
-        message = None
-        for part in statements(text):
-            try:
-                parser.parsePlan(part)
-            except Exception as error:  # noqa: BLE001 - the JVM's parse error, of several classes
-                message = str(error).strip().splitlines()[0][:512]
-                break
-        found.append((text, message))
-    table = spark.createDataFrame(found, "__text string, __message string")
+    found: list[tuple[str, str]] = []
+
+    def write() -> None:
+        spark.createDataFrame(found, schema).coalesce(1).write.mode("append").parquet(folder)
+        found.clear()
+
+    for (text,) in texts.toLocalIterator():
+        if (message := _sql_message(parser, text)) is not None:
+            found.append((hashlib.sha256(text.encode()).hexdigest(), message))
+            if len(found) >= chunk:
+                write()
+    if found:
+        write()
+    return spark.read.schema(schema).parquet(folder)
+
+
+def sql_errors(spark: SparkSession, df: DataFrame, column: str, chunk: int = PARSE_ROWS) -> DataFrame:
+    """``df`` with ``error``: the SQL parser's message for ``column``, or null; and a note on decimals without a scale.
+
+    Distinct statements are parsed on the driver, for the parser lives there, one after the other, however many there are:
+    they reach it in bounded parts, and at most ``chunk`` messages are held until they are written to the shared folder.
+    """
+    texts = df.select(F.col(column).alias("text")).where("text IS NOT NULL").distinct()
+    verdicts = small(_sql_verdicts(spark, texts, chunk))
     scale = F.when(decimal_without_scale(F.col(column)), "DECIMAL types have no scale")
-    joined = df.join(F.broadcast(table), F.col(column) == F.col("__text"), "left")  # no more than limit rows
-    return joined.withColumn("error", F.nullif(F.concat_ws("\n", "__message", scale), F.lit(""))).drop("__text", "__message")
+    joined = df.join(verdicts, F.sha2(F.col(column), 256) == F.col("__key"), "left")
+    return joined.withColumn("error", F.nullif(F.concat_ws("\n", "__message", scale), F.lit(""))).drop("__key", "__message")
 
 
 def pair_error(schema_error: Column, query_error: Column) -> Column:

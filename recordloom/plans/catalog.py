@@ -462,6 +462,12 @@ def sql_syntax(nation):
     return code.sql_errors(nation.sparkSession, nation.select("n_nationkey", sql.alias("q")), "q").select("n_nationkey", F.col("error").isNull().alias("valid"))
 
 
+@query("sql_syntax_part", "part", sql="SELECT p_partkey, p_partkey % 3 <> 1 AS valid FROM part")
+def sql_syntax_part(part):
+    """As sql_syntax, with a statement of its own for each part."""
+    return sql_syntax(part.withColumnRenamed("p_partkey", "n_nationkey")).withColumnRenamed("n_nationkey", "p_partkey")
+
+
 @query("query_and_schema_pairs", "nation", sql="SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '***Schema error: bad' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN '***Query error: worse' ELSE '' END AS error FROM nation")
 def query_and_schema_pairs(nation):
     k = F.col("n_nationkey")
@@ -503,6 +509,14 @@ def sql_methods(nation):
     return validation.sql_checks(df, "schema", "query").select("n_nationkey", "is_valid_sql_with_parser", "is_valid_sql_with_sqlite")
 
 
+@query("sql_methods_part", "part", sql="SELECT p_partkey, p_partkey % 2 = 0 AS is_valid_sql_with_parser, p_partkey % 2 = 0 AS is_valid_sql_with_sqlite FROM part")
+def sql_methods_part(part):
+    """As sql_methods, with a statement of its own for each part."""
+    asked = F.concat(F.when(F.col("p_partkey") % 2 == 0, "SELECT a FROM t WHERE a = ").otherwise("SELEC a FROM t WHERE a = "), F.col("p_partkey"))
+    df = part.select("p_partkey", F.lit("CREATE TABLE t (a INT)").alias("schema"), asked.alias("query"))
+    return validation.sql_checks(df, "schema", "query").select("p_partkey", "is_valid_sql_with_parser", "is_valid_sql_with_sqlite")
+
+
 # Streams
 
 @query("tumbling_windows", "events", sql="SELECT time_bucket(INTERVAL '1 hour', ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

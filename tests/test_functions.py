@@ -97,3 +97,10 @@ def test_code_checks(spark):
     errors = {r.q: r.error for r in code.sql_errors(spark, df, "q").collect()}
     assert errors["SELECT 1"] is None and errors["SELECT 1; SELECT 2;"] is None and errors[None] is None
     assert errors["SELEC 1"] and "DECIMAL" in errors["SELECT CAST(a AS DECIMAL(10)) FROM t"]
+
+
+def test_any_number_of_statements_is_parsed(spark):
+    df = spark.range(10_050).select("id", F.concat(F.when(F.col("id") % 50 == 0, "SELEC ").otherwise("SELECT "), F.col("id")).alias("q"))
+    got = code.sql_errors(spark, df, "q", chunk=7)
+    assert got.columns == ["id", "q", "error"] and got.count() == 10_050
+    assert sorted(r.id for r in got.where("error IS NOT NULL").collect()) == list(range(0, 10_050, 50))
