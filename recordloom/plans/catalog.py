@@ -572,7 +572,7 @@ def record_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tag_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each order, from tags, field by field."""
-    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     job = DataModel(fields=[DataField("title"), DataField("body", validator="prose")], contextual_tags=Tags([Tag("level", ["low", "high"], [0.3, None]), Tag("topic", ["a", "b", "c"], [None] * 3)]), num_examples=n, generation_strategy="field")
     return generator.run(spark, job, OfflineModel(fail_rate=0.1)).records
 
@@ -586,7 +586,7 @@ def nl2code(lang: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text", F.lit(None).cast("string").alias("context"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("context"))
 
 
 QUERIES["record_pipeline"] = record_pipeline

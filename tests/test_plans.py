@@ -169,3 +169,16 @@ def test_validators_by_name(spark):
     with pytest.raises(ValueError):
         generator.field_error(df, DataField("q", validator="sql:cobol"), "v", "e", OfflineModel(), job)
     assert read_model("a: [") is None and read_model("fields: []") is None and read_model("fields: [{name: a}]").fields[0].name == "a"
+
+
+def test_pipelines_cover_their_tables(spark, tmp_path):
+    from recordloom.plans import catalog
+
+    for name, n in (("orders", 9), ("supplier", 2)):
+        spark.range(n).write.parquet(str(tmp_path / f"{name}.parquet"))
+    long = "word " * 20_000
+    spark.createDataFrame([(i, long if i == 2 else f"text {i}") for i in range(4)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert catalog.QUERIES["tag_pipeline"](spark, str(tmp_path)).count() == 9
+    for name in ("evolution_generations", "aaa_pipeline"):
+        assert {r.id for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
