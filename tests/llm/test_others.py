@@ -146,3 +146,12 @@ def test_url_awkward_rows(spark):
     assert got[1, None] == (None, True) and got[2, ""] == (None, True)
     assert got[None, "https://casino-win.e"][1] is False
     assert urls.score_urls(pages.limit(0)).count() == 0
+
+
+def test_licenses_mean_their_whole_text(spark):
+    opening = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {}General Public License for more details."
+    kinds = [("", 3, "GPL-3.0"), ("", 2, "GPL-2.0"), ("Lesser ", 3, "LGPL-3.0"), ("Affero ", 3, "AGPL-3.0")]
+    docs = docs_of(spark, [opening + " and so on", *[f"Some words. {gnu.format(n, v, n)} More words" for n, v, _ in kinds]])
+    got = sorted((r.doc_id, r.license) for r in licenses.license_scan(docs).collect())
+    assert got == [(0, "MIT-opening")] + [(i + 1, f"{name}-header") for i, (_, _, name) in enumerate(kinds)]
