@@ -14,9 +14,9 @@ from .common import U64, fresh, like, mix, need, saved, slices, word_hashes
 
 #: Bits in which near-duplicates may differ, of 256.
 RADIUS = 40
-#: Bits in which the first 64 of them may differ: the tiles compare those, and the rest where they agree so far.
-FIRST_RADIUS = 14
-WORDS = 4
+#: 64-bit words of a signature, and how many of them the tiles compare first. No word can differ in more bits than all of
+#: them, so signatures that already differ in more than the radius there are out, and no near pair is.
+WORDS, GATE = 4, 2
 #: Signatures in a block at most, and blocks at least; a task compares two blocks.
 BLOCK, BLOCKS = 1 << 17, 8
 TILE_A, TILE_B = 32, 4096
@@ -55,7 +55,7 @@ def signatures_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the four parts ``s0`` to ``s3`` of the signature and the population count ``pc`` of its first 64 bits.
+    """``doc_id``, the four parts ``s0`` to ``s3`` of the signature and its population count ``pc``.
 
     Rows without ``doc_id``, without text or without any word have no signature.
     """
@@ -66,7 +66,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             there = n > 0
             sig = sig[there]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(there)), *(pa.array(sig[:, k].view(np.int64)) for k in range(WORDS)), pa.array(np.bitwise_count(sig[:, 0]).astype(np.int32))],
+                [batch.column(0).filter(pa.array(there)), *(pa.array(sig[:, k].view(np.int64)) for k in range(WORDS)), pa.array(np.bitwise_count(sig).sum(axis=1).astype(np.int32))],
                 names=["doc_id", *(f"s{k}" for k in range(WORDS)), "pc"],
             )
 
@@ -106,29 +106,33 @@ class Groups:
 
 
 def near_pairs(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices of all pairs of near signatures, tile by tile: at most ``FIRST_RADIUS`` of the first 64 bits differ, and ``radius`` of all.
+    """Indices of all pairs of signatures that differ in at most ``radius`` bits, tile by tile.
 
-    Both sides are sorted by the population count of the first 64 bits, ``pa_`` and ``pb``; tile pairs whose counts differ
-    beyond that radius are skipped. same: a is b, and each pair comes once.
+    Both sides are sorted by their population counts, ``pa_`` and ``pb``; tile pairs whose counts differ beyond the radius
+    are skipped. The first ``GATE`` words are compared for all pairs of a tile, the others where these don't exceed the
+    radius by themselves. same: a is b, and each pair comes once.
     """
-    first = min(FIRST_RADIUS, radius)
     a_words, b_words = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    differ, count, near = np.empty(TILE_A * TILE_B, U64), np.empty(TILE_A * TILE_B, np.uint8), np.zeros(TILE_A * TILE_B, bool)
+    differ, near = np.empty(TILE_A * TILE_B, U64), np.zeros(TILE_A * TILE_B, bool)
+    count, more = np.empty(TILE_A * TILE_B, np.uint8), np.empty(TILE_A * TILE_B, np.uint8)
     for i in range(0, len(a), TILE_A):
         i_to = min(i + TILE_A, len(a))
         for j in range(i - i % TILE_B if same else 0, len(b), TILE_B):
             j_to = min(j + TILE_B, len(b))
-            if pb[j] - pa_[i_to - 1] > first:
+            if pb[j] - pa_[i_to - 1] > radius:
                 break
-            if pa_[i] - pb[j_to - 1] > first:
+            if pa_[i] - pb[j_to - 1] > radius:
                 continue
             wide = j_to - j
             n = (i_to - i) * wide
-            x, far = differ[:n].reshape(-1, wide), count[:n].reshape(-1, wide)
-            np.bitwise_xor(a_words[0, i:i_to, None], b_words[0, None, j:j_to], out=x)
-            np.bitwise_count(x, out=far)
+            x, far, extra = (buffer[:n].reshape(-1, wide) for buffer in (differ, count, more))
+            for k in range(GATE):
+                np.bitwise_xor(a_words[k, i:i_to, None], b_words[k, None, j:j_to], out=x)
+                np.bitwise_count(x, out=extra if k else far)
+                if k:
+                    far += extra
             near[n : n + 8] = False
-            np.less_equal(far.ravel(), first, out=near[:n])
+            np.less_equal(far.ravel(), radius, out=near[:n])
             eights = np.flatnonzero(near[: n + -n % 8].view(U64))
             if not len(eights):
                 continue
@@ -198,7 +202,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
         edges = now
 
 
-def blocks_of(counts: dict[int, int], radius: int = FIRST_RADIUS, block: int = BLOCK, least: int = BLOCKS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+def blocks_of(counts: dict[int, int], radius: int = RADIUS, block: int = BLOCK, least: int = BLOCKS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Blocks in the order of population counts, as (count, first block, blocks) for each count, and for each block the range of blocks within the radius."""
     total = sum(counts.values())
     size = max(1, min(block, -(-total // least)))
@@ -226,23 +230,24 @@ def blocks_of(counts: dict[int, int], radius: int = FIRST_RADIUS, block: int = B
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``doc_id`` and ``duplicate_of`` for each document that has a near-duplicate with a smaller id in its group.
 
-    Two documents are near-duplicates if the 256-bit SimHash of their distinct words differs in at most ``radius``
-    bits, and in at most ``FIRST_RADIUS`` of the first 64; groups are the connected components, named by their least ``doc_id``. Every pair of signatures is compared,
+    Two documents are near-duplicates if the 256-bit SimHashes of their distinct words differ in at most ``radius``
+    bits; groups are the connected components, named by their least ``doc_id``. Every pair of signatures is compared,
     except tile pairs whose population counts already differ by more. Equal signatures are compared once.
 
-    Null ``doc_id``, null text and texts without words are in no group. Repeated rows, and rows that share a
-    ``doc_id``, are one document. An empty table gives no rows. Other columns don't matter.
+    Null ``doc_id``, null text and texts without words are in no group. Very long texts are hashed whole, in parts. Texts
+    with equal signatures are a tie and one group. Repeated rows, and rows that share a ``doc_id``, are one document.
+    An empty table gives no rows. Other columns don't matter, whatever their names.
     """
     need(docs, "doc_id", "text")
     parts = [f"s{k}" for k in range(WORDS)]
     sigs = saved(signatures(docs))
     unique = saved(sigs.groupBy(*parts, "pc").agg(F.min("doc_id").alias("rep")))
-    counts = {r["pc"]: r["n"] for r in unique.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    plan, reach = blocks_of(counts, min(FIRST_RADIUS, radius), block)
+    counts = {r["pc"]: r["n"] for r in unique.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 257 rows at most
+    plan, reach = blocks_of(counts, radius, block)
     n_blocks = len(reach)
     same = sigs.join(unique.select(*parts, "rep"), parts).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     if n_blocks:
-        first, pieces = [0] * 65, [1] * 65
+        first, pieces = ([k] * (64 * WORDS + 1) for k in (0, 1))
         for pc, a, n in plan:
             first[pc], pieces[pc] = a, n
         low, high = [r[0] for r in reach], [r[1] for r in reach]
@@ -257,7 +262,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK, l
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the documents that :func:`near_duplicates` gives; the least id of each group stays."""
+    """``docs`` without the documents that :func:`near_duplicates` gives; the least id of each group stays.
+
+    Rows without ``doc_id``, text or words stay. All rows of a document that goes, go; repeated rows of one that stays,
+    stay. An empty table gives no rows. Further columns are kept.
+    """
     (gone,) = fresh(docs, "gone")
     drop = near_duplicates(docs, radius).select(F.col("doc_id").alias(gone))
     return like(docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti"), docs.columns)

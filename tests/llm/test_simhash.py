@@ -36,7 +36,7 @@ def brute(texts, radius):
     for i in range(len(texts)):
         for j in range(i):
             d = np.bitwise_count(sig[i] ^ sig[j])
-            if n[i] and n[j] and d.sum() <= radius and d[0] <= simhash.FIRST_RADIUS:
+            if n[i] and n[j] and d.sum() <= radius:
                 a, b = sorted((of[i], of[j]))
                 of = [a if x == b else x for x in of]
     return sorted(((i, g) for i, g in enumerate(of) if i != g), key=repr)
@@ -52,6 +52,26 @@ def test_groups_are_those_of_brute_force(spark, block, local):
     assert not together & set(range(60))
 
 
+def test_near_pairs_are_all_within_the_radius():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    bits = np.unpackbits(np.repeat(base, 40, axis=0).view(np.uint8), axis=1)
+    for row in bits:  # distances on both sides of the radius, in any of the words
+        row[r.choice(256, r.integers(0, 45), replace=False)] ^= 1
+    bits[::7, 64:] = r.integers(0, 2, bits[::7, 64:].shape)
+    sig = np.packbits(bits, axis=1).view(np.uint64)
+    pc = np.bitwise_count(sig).sum(axis=1).astype(int)
+    order = np.argsort(pc, kind="stable")
+    sig, pc = np.ascontiguousarray(sig[order]), pc[order]
+    want = {(i, j) for i in range(len(sig)) for j in range(i + 1, len(sig)) if np.bitwise_count(sig[i] ^ sig[j]).sum() <= simhash.RADIUS}
+    got = [(int(i), int(j)) for u, v in simhash.near_pairs(sig, pc, sig, pc, simhash.RADIUS, True) for i, j in zip(u, v, strict=True)]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    half = len(sig) // 2
+    across = {(int(i), int(j) + half) for u, v in simhash.near_pairs(sig[:half], pc[:half], sig[half:], pc[half:], simhash.RADIUS, False) for i, j in zip(u, v, strict=True)}
+    assert across == {(i, j) for i, j in want if i < half <= j}
+
+
 def test_stage_keeps_the_first_of_each_group(spark):
     texts, _ = corpus()
     docs = docs_of(spark, texts)
