@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, need
+from .common import need
 
-#: Words in a bin, and documents that one task packs.
-CAPACITY, SHARD_DOCS = 2048, 50_000
+#: Words in a bin, documents that one task packs, and rows of one id and size that are kept together.
+CAPACITY, SHARD_DOCS, RUN = 2048, 50_000, 1000
 
 
 class SumOfSquares:
@@ -71,24 +71,29 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
     """One row for each piece of each document: ``bin_id``, ``slot`` and ``bin_start`` (its place in the bin, in pieces and
     in words), ``doc_id``, ``piece``, ``start_word`` and ``n_words`` (what part of the document it is).
 
-    Sizes are words, parted by white space. A document of more than ``capacity`` words is cut into whole bins and a rest.
-    Documents are spread by a hash of the id over shards of about ``shard_docs``; each shard places its documents in the
-    order of their ids, by :class:`SumOfSquares`. No bin holds more than ``capacity`` words, and all words are placed once.
+    Sizes are words, parted by white space. A document of more than ``capacity`` words, however long, is cut into whole
+    bins and a rest. Documents are spread over shards of about ``shard_docs`` by a hash of their id and size; each shard
+    places its documents in the order of their ids, then sizes, by :class:`SumOfSquares`. No bin holds more than
+    ``capacity`` words, and all words are placed once.
 
     Null, empty and blank texts have no words and no row. Rows without ``doc_id`` are packed under a null id. Repeated
-    rows are packed one by one. An empty table gives no rows. Other columns don't matter.
+    rows, and rows of one id and size (a tie), are packed one by one; they are counted first and spread in runs of ``RUN``,
+    so that no shard gets all of them. An empty table gives no rows. Other columns don't matter, whatever their names.
     """
     need(docs, "doc_id", "text")
-    (shard,) = fresh(docs, "shard")
     words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
     id_ = F.col("doc_id").cast("long")
     # Null ids are told by a flag: in pandas a column with nulls would turn large ids into rounded floats.
     sizes = docs.select(F.coalesce(id_, F.lit(0)).alias("doc_id"), id_.isNotNull().alias("known"), words.alias("words"))
     shards = max(1, -(-docs.count() // shard_docs))
-    sizes = sizes.where("words > 0").withColumn(shard, F.pmod(F.xxhash64("known", "doc_id"), F.lit(shards)))
+    alike = sizes.where("words > 0").groupBy("known", "doc_id", "words").agg(F.count("*").alias("copies"))
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))))
+    runs = runs.withColumn("copies", F.least(F.lit(RUN), F.col("copies") - F.col("run") * RUN))
+    runs = runs.withColumn("shard", F.pmod(F.xxhash64("known", "doc_id", "words", "run"), F.lit(shards)))
 
     def run(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["known", "doc_id", "words"], kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
         out = pack_shard(list(range(len(pdf))), pdf["words"].tolist(), capacity, int(key[0]))
         at = out["doc_id"].to_numpy()
         out["doc_id"] = pd.array(pdf["doc_id"].to_numpy()[at], dtype="Int64")
@@ -96,4 +101,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
         return out
 
     schema = "bin_id long, slot long, bin_start long, doc_id long, piece long, start_word long, n_words long"
-    return sizes.repartition(min(shards, 10_000), shard).groupBy(shard).applyInPandas(run, schema)  # a number, lest shards be put together in few tasks
+    return runs.repartition(min(shards, 10_000), "shard").groupBy("shard").applyInPandas(run, schema)  # a number, lest shards be put together in few tasks

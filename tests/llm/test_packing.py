@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.llm import packing
 
@@ -57,6 +58,17 @@ def test_large_ids_beside_null_ids(spark):
     assert {r.doc_id for r in packing.pack(docs_of(spark, [(big, "a b"), (None, "c")])).collect()} == {big, None}
 
 
+def test_many_rows_of_one_id_are_spread(spark):
+    same = docs_of(spark, [(None, "a b c")]).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(60_000))))
+    got = packing.pack(same, shard_docs=10_000)
+    per_shard = [r["n"] for r in got.groupBy(F.shiftright("bin_id", 40)).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_shard) == 60_000
+    assert len(per_shard) == 6
+    assert max(per_shard) < 20_000
+    assert got.where("doc_id IS NOT NULL OR n_words <> 3").count() == 0
+    assert got.select("bin_id", "slot").distinct().count() == 60_000
+
+
 def test_awkward_rows(spark):
     got = packing.pack(awkward(spark)).toPandas()
     assert sorted(got.doc_id.dropna().unique()) == [4, 5, 6, 7]
