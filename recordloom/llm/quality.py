@@ -9,7 +9,7 @@ from .common import bind, fresh, like, need, saved, with_text
 
 #: A line is boilerplate of its host if it is in more distinct documents than both of these allow.
 MIN_DOCS, MAX_SHARE = 10, 0.01
-#: Frequent lines up to which they are broadcast by host; beyond, they are joined to each document's lines.
+#: Frequent lines up to which they are broadcast by host, some 40 bytes each; beyond, they are joined to each document's lines.
 BROADCAST_LINES = 500_000
 #: A document is depleted if more than this share of its characters was in removed lines.
 MAX_REMOVED = 0.75
@@ -36,6 +36,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("id", "host", "at", F.xxhash64("line").alias("h"), F.char_length("line").alias("size"))
 
 
+def slotted(hashes: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``slots`` of a table of ``keys`` and ``h``: the distinct hashes of a key, each in the slot of its rest by their number, so that one is looked up in the same time however many there are."""
+    sets = hashes.groupBy(*keys).agg(F.collect_set("h").alias("hs"))
+    slot = F.explode(F.transform("hs", lambda h: F.struct(F.pmod(h, F.size("hs")).alias("slot"), h.alias("h"))))
+    none = F.explode(F.transform(F.sequence(F.lit(0), F.size("hs") - 1), lambda n: F.struct(n.cast("long").alias("slot"), F.lit(None).cast("long").alias("h"))))
+    filled = sets.select(*keys, slot.alias("s")).union(sets.select(*keys, none.alias("s"))).groupBy(*keys, "s.slot").agg(F.collect_list("s.h").alias("hs"))
+    return filled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "hs")))["hs"].alias("slots"))
+
+
 def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` without boilerplate lines, and without the documents that these leave depleted.
 
@@ -45,34 +54,35 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
 
     Null hosts are one host. Blank lines are neither counted nor removed. Null and blank texts have no lines and stay.
     Rows without ``doc_id`` stay as they are and are not counted. Repeated rows count as one document and get the same
-    decision. An empty table gives no rows. Further columns are kept.
+    decision; so do lines that a document repeats. At a limit (a tie) a line or a document stays. Very long texts are
+    handled whole. An empty table gives no rows. Further columns are kept, whatever their names.
     """
     need(docs, "doc_id", "text", "source")
-    host, hashes = fresh(docs, "host", "bad")
+    host, slots, id_ = fresh(docs, "host", "bad", "id")
     frequent = saved(frequent_lines(docs, min_docs, max_share))
     if frequent.count() <= broadcast_lines:
-        bad = frequent.groupBy(F.col("host").alias(host)).agg(F.collect_set("h").alias(hashes))
+        bad = slotted(frequent, "host").toDF(host, slots)
         joined = docs.join(F.broadcast(bad), F.col("source").eqNullSafe(F.col(host)), "left")
     else:
-        (id_,) = fresh(docs, "id")
         marked = _lines(docs).join(frequent.toDF("bad_host", "bad_h", "n_docs"), F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("h") == F.col("bad_h")))
-        bad = marked.groupBy(F.col("id").alias(id_), F.col("host").alias(host)).agg(F.collect_set("h").alias(hashes))
+        bad = slotted(marked.select("id", "host", "h"), "id", "host").toDF(id_, host, slots)
         joined = docs.join(bad, (F.col("doc_id") == F.col(id_)) & F.col("source").eqNullSafe(F.col(host)), "left")
 
     def marked_line(line: Column) -> Column:
-        # Blank lines have no hash: they are never removed.
-        return bind(normalised(line), lambda norm: F.struct(F.when(norm != "", F.xxhash64(norm)).alias("h"), F.char_length(norm).cast("long").alias("size"), line.alias("line")))
+        return bind(normalised(line), lambda norm: F.struct(((norm != "") & bind(F.xxhash64(norm), found)).alias("bad"), F.char_length(norm).cast("long").alias("size"), line.alias("line")))
+
+    def found(h: Column) -> Column:
+        return F.array_contains(F.get(F.col(slots), F.pmod(h, F.size(slots)).cast("int")), h)
 
     def judged(lines: Column) -> Column:
-        own = F.array_intersect(lines["h"], F.col(hashes))
-        return bind(own, lambda o: F.when(F.size(o) > 0, bind(F.filter(lines, lambda m: ~F.coalesce(F.array_contains(o, m["h"]), F.lit(False))), lambda kept: cut(kept, lines))))
+        return bind(F.filter(lines, lambda m: ~m["bad"]), lambda kept: F.when(F.size(kept) < F.size(lines), cut(kept, lines)))
 
     def cut(kept: Column, lines: Column) -> Column:
         size = lambda marks: F.aggregate(marks["size"], F.lit(0).cast("long"), lambda n, k: n + k)
         return F.struct((size(kept) >= F.lit(1 - max_removed) * size(lines)).alias("fine"), F.array_join(kept["line"], "\n").alias("text"))
 
     result = bind(F.transform(F.split("text", "\n"), marked_line), judged)
-    candidate = F.col(hashes).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    candidate = F.col(slots).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
     (out,) = fresh(joined, "result")
     joined = joined.withColumn(out, F.when(candidate, result)).where(F.col(out).isNull() | F.col(out)["fine"])
     return like(with_text(joined, F.col(out).isNotNull(), F.col(out)["text"]), docs.columns)
