@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from recordloom.llm import linededup, quality
 
 from .helpers import awkward, docs_of, duck, rows
@@ -9,23 +11,34 @@ def texts():
     r = random.Random(3)
     lines = [f"line {i} of the pool" for i in range(40)]
     long = " ".join(f"word{i}" for i in range(60))
+    short = " ".join(["ab"] * 55)
     out = []
     for i in range(80):
         body = [r.choice(lines) for _ in range(r.randint(1, 6))] + [f"own line {i}"] * r.randint(0, 2)
         r.shuffle(body)
-        out.append("\n".join([*body, "", long] if r.random() < 0.2 else body))
+        out.append("\n".join([*body, "", long] if r.random() < 0.2 else [" ", *body, "", short, ""] if r.random() < 0.2 else body))
     return out
 
 
-def brute_dedup(pairs, run=linededup.RUN_LINES, chars=linededup.LONG_CHARS):
+def brute_dedup(pairs, run=linededup.RUN_LINES, chars=linededup.LONG_CHARS, words=linededup.LONG_WORDS):
     docs = {i: [x for x in t.split("\n") if x.strip()] for i, t in pairs}
+
+    def cut(t, gone):
+        """The text without the solid lines of these numbers."""
+        out, n = [], -1
+        for x in t.split("\n"):
+            n += bool(x.strip())
+            if not x.strip() or n not in gone:
+                out.append(x)
+        return "\n".join(out)
+
     seen, gone = set(), {i: set() for i in docs}
     for i in sorted(docs):
         lines = [x.strip() for x in docs[i]]
         for n in range(len(lines)):
             for k in (run, 1):
                 key = tuple(lines[n : n + k])
-                if len(key) < k or (k == 1 and len(key[0]) < chars):
+                if len(key) < k or (k == 1 and len(key[0]) < chars and len(key[0].split()) < words):
                     continue
                 if (k, key) in seen:
                     gone[i] |= set(range(n, n + k))
@@ -35,7 +48,7 @@ def brute_dedup(pairs, run=linededup.RUN_LINES, chars=linededup.LONG_CHARS):
         if not gone[i]:
             out.append((i, t))
         elif len(gone[i]) < len(docs[i]):
-            out.append((i, "\n".join(x for n, x in enumerate(docs[i]) if n not in gone[i])))
+            out.append((i, cut(t, gone[i])))
     return sorted(out, key=repr)
 
 
@@ -76,6 +89,16 @@ def test_quality_rules_are_their_sql(spark):
     assert found[100] == "Boiler plate\nelse 0"
 
 
+def test_a_host_with_many_frequent_lines(spark):
+    pairs = [(i, "\n".join([f"line {k} of the frame" for k in range(20_000)] + [f"own {i} {k}" for k in range(9_000)])) for i in range(12)]
+    docs = docs_of(spark, pairs).withColumn("source", F.lit(None).cast("string"))
+    want = [(i, "\n".join(f"own {i} {k}" for k in range(9_000))) for i, _ in pairs]
+    for broadcast_lines in (quality.BROADCAST_LINES, 0):
+        got = quality.quality_rules(docs, max_removed=0.9, broadcast_lines=broadcast_lines)
+        assert rows(got.select("doc_id", "text")) == sorted(want, key=repr)
+        assert all(r.n_chars == len(want[0][1]) for r in got.where("doc_id < 10").collect())
+
+
 def test_a_lone_shared_line_leaves_clean_documents_alone(spark):
     docs = docs_of(spark, [f"clean text of document {i} with its own words" for i in range(40)])
     assert rows(quality.quality_rules(docs)) == rows(docs)
@@ -95,6 +118,20 @@ def test_repeated_rows_get_one_decision(spark):
     assert rows(linededup.line_dedup(docs).select("doc_id", "text")) == [(1, "a\nb"), (1, "a\nb"), (2, "c")]
 
 
+def test_blank_lines_stay(spark):
+    docs = docs_of(spark, ["a\nb", "one\n\n a\n\nb \n\ntwo\n", "\na\n\nb\n"])
+    assert rows(linededup.line_dedup(docs).select("doc_id", "text")) == [(0, "a\nb"), (1, "one\n\n\n\ntwo\n")]
+
+
+def test_hot_lines_are_split_and_nothing_else_changes(spark, monkeypatch):
+    pairs = list(enumerate(texts())) + [(100 + i, f"hot line\nof all\nown {i}") for i in range(60)]
+    docs = docs_of(spark, pairs)
+    assert rows(linededup.line_dedup(docs).select("doc_id", "text")) == brute_dedup(pairs)
+    for few in (3, 30):  # keys that hold a third, and a thirtieth, of the rows are hot
+        monkeypatch.setattr(linededup, "HOT_KEYS", few)
+        assert rows(linededup.line_dedup(docs).select("doc_id", "text")) == brute_dedup(pairs)
+
+
 def test_lines_of_many_short_words_are_passages(spark):
     many, few = " ".join(["ab"] * 50), " ".join(["ab"] * 49)
     assert len(many) < linededup.LONG_CHARS
