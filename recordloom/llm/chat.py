@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import need
 
@@ -64,31 +65,36 @@ def render_log(log: DataFrame) -> DataFrame:
     """``conv_id``, ``n_messages`` and ``rendered`` for each conversation of an event log.
 
     The log is partitioned by conversation, sorted by ``seq`` and folded by :class:`Fold`; a task holds the final messages
-    of one conversation only. Events of one ``seq`` are taken in the order of their other columns, so repeated rows count
-    each. Events without ``conv_id`` are dropped; a null ``seq`` comes first; a null role is ``unknown``; null text is
-    empty. A conversation of which no message is left has 0 messages. An empty log gives no rows. Other columns don't matter.
+    of one conversation only. Events of one ``seq`` (ties) are taken in the order of their other columns, so repeated rows
+    count each. Events without ``conv_id`` are dropped; a null ``seq`` comes first; a null ``msg`` is a message like others;
+    a null role is ``unknown``; null and empty texts add nothing; very long texts are kept whole. A conversation of which
+    no message is left has 0 messages. An empty log gives no rows. Other columns don't matter, whatever their names.
     """
     need(log, "conv_id", "seq", "kind", "msg", "role", "text")
     log = log.where("conv_id IS NOT NULL").select("conv_id", "seq", "kind", "msg", "role", "text")
     ordered = log.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "kind", "msg", "role", "text").drop("seq")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, fold = None, Fold()
-        for pdf in frames:
-            done = []
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            for conv, kind, msg, role, text in zip(pdf["conv_id"], pdf["kind"], pdf["msg"], pdf["role"], pdf["text"], strict=True):
-                if conv != current:
-                    if current is not None:
+    id_type = log.schema["conv_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, fold, started = None, Fold(), False
+        for batch in batches:
+            done: list[tuple] = []
+            for conv, *event in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if not started or conv != current:
+                    if started:
                         done.append((current, *fold.render()))
-                    current, fold = conv, Fold()
-                fold.add(kind, msg, role, text)
-            yield pd.DataFrame(done, columns=["conv_id", "n_messages", "rendered"])
-        if current is not None:
-            yield pd.DataFrame([(current, *fold.render())], columns=["conv_id", "n_messages", "rendered"])
-
-    kind = log.schema["conv_id"].dataType.simpleString()
-    return ordered.mapInPandas(run, f"conv_id {kind}, n_messages long, rendered string")
+                    current, fold, started = conv, Fold(), True
+                fold.add(*event)
+            yield table(done)
+        if started:
+            yield table([(current, *fold.render())])
+
+    def table(done: list[tuple]) -> pa.RecordBatch:
+        conv, n, text = zip(*done, strict=True) if done else ((),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(conv, to_arrow_type(id_type)), pa.array(n, pa.int64()), pa.array(text, pa.string())], names=["conv_id", "n_messages", "rendered"])
+
+    return ordered.mapInArrow(run, f"conv_id {id_type.simpleString()}, n_messages long, rendered string")
 
 
 #: DuckDB SQL for the rendered table of turns.

@@ -48,6 +48,14 @@ def test_turns_are_their_sql_and_nulls_are_defined(spark):
     assert chat.render_log(chat.log_of_turns(turns.limit(0))).count() == 0
 
 
+def test_null_messages_leave_large_numbers_apart(spark):
+    big = 1 << 53
+    events = [(big, 0, "start", big, "user", "a"), (big, 1, "start", big + 1, "user", "b"), (big, 2, "start", None, "tool", "c"), (big, 3, "delta", big + 1, None, "d" * 300_000), (big + 1, 0, "start", 1, None, None)]
+    log = spark.createDataFrame(events, LOG)
+    assert rows(chat.render_log(log)) == sorted(brute_chat(events), key=repr)
+    assert rows(chat.render_log(log.withColumn("conv_id", F.col("conv_id").cast("string"))).select("n_messages")) == [(1,), (3,)]
+
+
 def pages_of(spark):
     r = random.Random(2)
     body = lambda: "".join(chr(r.choice([65, 10, 233, 0x4E2D, 0x1F600, 31, 139, 8])) for _ in range(r.choice([0, 10, 3000, 40_000])))
