@@ -7,7 +7,7 @@ import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from recordloom.llm import chat, licenses, urls, warc
+from recordloom.llm import chat, licenses, warc
 
 from .helpers import awkward, docs_of, duck, rows
 
@@ -134,28 +134,6 @@ def test_license_awkward_rows(spark):
     assert licenses.license_scan(awkward(spark).limit(0)).count() == 0
 
 
-def test_url_trees_on_held_out_urls():
-    stats, trees = urls.model()
-    held = urls.labelled_urls(1500, seed=77)
-    score = trees.predict(urls.features_of([u for u, _ in held], stats))
-    assert ((score > 0.5) == np.array([y == 1 for _, y in held])).mean() > 0.95
-
-
-def test_trees_lower_the_loss_and_split_right():
-    x = np.random.default_rng(0).random((400, 3))
-    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
-    assert ((urls.Boosted(trees=40).fit(x, y).predict(x) > 0.5) == y).mean() > 0.97
-
-
-def test_url_awkward_rows(spark):
-    pages = spark.createDataFrame([(1, None), (2, ""), (3, "  "), (4, "http://[bad"), (None, "https://casino-win.example.org/?a=1"), (6, "x" * 100_000), (6, "x" * 100_000)], "page_id long, url string").withColumn("score", F.lit("clash"))
-    got = {(r.page_id, r.url and r.url[:20]): (r.score, r.keep) for r in urls.score_urls(pages).collect()}
-    assert len(got) == 6
-    assert got[1, None] == (None, True) and got[2, ""] == (None, True)
-    assert got[None, "https://casino-win.e"][1] is False
-    assert urls.score_urls(pages.limit(0)).count() == 0
-
-
 def test_licenses_mean_their_whole_text(spark):
     opening = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
     gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {}General Public License for more details."
