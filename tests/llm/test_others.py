@@ -109,24 +109,53 @@ def test_alignment_is_valid_and_whole_where_texts_are_equal():
         assert len(licenses.patience(a, a)) == len(a)
 
 
-def test_licenses_are_found_and_others_not(spark):
-    texts = ["Some words.\n" + t + "\nand more words" for t in licenses.TEMPLATES.values()]
-    docs = docs_of(spark, [*texts, "All rights are never reserved for long", "Released today under a new name", "released under the the MIT  license", "All rights reserved. " * 5])
-    got = {(r.doc_id, r.license): r.coverage for r in licenses.license_scan(docs).collect()}
-    for i, name in enumerate(licenses.TEMPLATES):
-        assert got[i, name] == 1.0
-    n = len(texts)
-    assert (n, "MIT") not in got and (n + 1, "MIT") not in got
-    assert got[n + 2, "MIT"] == 1.0 and got[n + 3, "All-rights-reserved"] == 1.0
+def scanned(*texts, templates=licenses.TEMPLATES):
+    scanner = licenses.Scanner(list(templates), licenses.COVERAGE)
+    return [{name: share for name, _, _, share in scanner.scan(t)} for t in texts]
+
+
+def test_every_template_is_found_in_its_own_text(spark):
+    texts = ["Some words.\n" + t.text + "\nand more words" for t in licenses.TEMPLATES]
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.license_scan(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(licenses.TEMPLATES):
+        assert got.pop((i, t.license)) == 1.0
+    assert not got
+
+
+def test_words_that_tell_licenses_apart_must_be_there():
+    texts = ["Released under the Apache License.", "Licensed under the Apache License, Version 1.1.", "Apache Software License 1.1", "Licensed under CC BY 9.0", "All the rights were reserved", "GNU General Public License", "to permit MIT people", "Released today under a new name"]
+    assert scanned(*texts) == [{}] * len(texts)
+    named = {
+        "Released under the GNU General Public License, version 2.": "GPL-2.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "CC BY-NC 3.0": "CC-BY-NC-3.0", "GNU Lesser General Public License, version 3": "LGPL-3.0",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": "CC-BY-NC-SA-4.0", "distributed under  the MIT  license": "MIT", "the Apache License, Version 2.0": "Apache-2.0", "BSD 3-Clause License": "BSD-3", "AGPLv3": "AGPL-3.0",
+    }
+    assert scanned(*named) == [{name: 1.0} for name in named.values()]
+
+
+def test_of_templates_at_one_place_one_is_meant():
+    mit, bsd = (next(t.text for t in licenses.TEMPLATES if t.license == name) for name in ("MIT-text", "BSD-3-text"))
+    both = scanned(f"The MIT License\n{mit}\nbut that is under GPLv3, all rights reserved", bsd, bsd.replace("Neither", "None").replace("endorse", "praise"))
+    assert both[0] == {"MIT": 1.0, "MIT-text": 1.0, "GPL-3.0": 1.0, "All-rights-reserved": 1.0}
+    assert both[1] == {"BSD-3-text": 1.0}
+    assert set(both[2]) == {"BSD-2-text"}
+
+
+def test_places_and_ties(spark):
+    docs = docs_of(spark, ["x y MIT License z MIT License", "all rights reserved " * 5, "some words " * 100_000 + "MIT License"])
+    assert rows(licenses.license_scan(docs)) == [(0, "MIT", 2, 2, 1.0), (1, "All-rights-reserved", 0, 3, 1.0), (2, "MIT", 200_000, 2, 1.0)]
 
 
 def test_no_covered_text_is_left_out_before(spark):
     r = random.Random(5)
-    template = licenses.words_of(licenses.TEMPLATES["GPL-3.0"])
-    texts = [" ".join(w for w in template if r.random() < 0.85) for _ in range(80)]
-    want = sorted(i for i, t in enumerate(texts) if len(licenses.patience(licenses.words_of(t), template)) >= 10)
-    got = licenses.license_scan(docs_of(spark, texts), {"GPL-3.0": licenses.TEMPLATES["GPL-3.0"]})
-    assert sorted(r.doc_id for r in got.collect()) == want
+    body = licenses.Template("x", licenses._GNU.format(n="", v="3"))
+    words = licenses.words_of(body.text)
+    texts = [" ".join(w for w in words if r.random() < share) for share in (0.7, 0.8, 0.85, 0.9) for _ in range(40)]
+    for template in (body, body._replace(must="merchantability gnu")):
+        must = set(licenses.words_of(template.must))
+        aligned = [licenses.patience(licenses.words_of(t), words) for t in texts]
+        want = sorted(i for i, pairs in enumerate(aligned) if len(pairs) >= 0.8 * len(words) and must <= {words[j] for _, j in pairs})
+        got = licenses.license_scan(docs_of(spark, texts), [template])
+        assert sorted(r.doc_id for r in got.collect()) == want
 
 
 def test_license_awkward_rows(spark):
@@ -137,7 +166,7 @@ def test_license_awkward_rows(spark):
 def test_licenses_mean_their_whole_text(spark):
     opening = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
     gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {}General Public License for more details."
-    kinds = [("", 3, "GPL-3.0"), ("", 2, "GPL-2.0"), ("Lesser ", 3, "LGPL-3.0"), ("Affero ", 3, "AGPL-3.0")]
+    kinds = [("", 3, "GPL-3.0"), ("", 2, "GPL-2.0"), ("Lesser ", 3, "LGPL-3.0"), ("Lesser ", 2.1, "LGPL-2.1"), ("Affero ", 3, "AGPL-3.0")]
     docs = docs_of(spark, [opening + " and so on", *[f"Some words. {gnu.format(n, v, n)} More words" for n, v, _ in kinds]])
     got = sorted((r.doc_id, r.license) for r in licenses.license_scan(docs).collect())
     assert got == [(0, "MIT-opening")] + [(i + 1, f"{name}-header") for i, (_, _, name) in enumerate(kinds)]
