@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -9,13 +10,17 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import need, shared_dir
+from .common import need, saved, shared_dir
 
 #: Bytes of a split, of a read, and of a record's header at most.
 SPLIT_BYTES, READ_BYTES, HEADER_BYTES = 64 << 20, 1 << 20, 64 << 10
+#: Tasks that read an archive at most; with more ranges than that, each reads several.
+MAX_TASKS = 100_000
+#: Records of these types are pages; a response is taken without its HTTP header.
+TYPES = ("resource", "response")
 MAGIC = b"\x1f\x8b\x08"
 _SAFE = "".join(chr(i) for i in range(33, 127) if chr(i) != "%")
 
@@ -66,23 +71,41 @@ def write_warc(pages: DataFrame, where: str) -> DataFrame:
     return rows.mapInArrow(run, "path string, records long")
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
-    """Headers and body of a record, or None if it isn't one whole record."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"WARC/"):
+def head_of(data: bytes, at: int = 0) -> tuple[dict[str, str], int] | None:
+    """The headers, by name in small letters, of the record that begins at ``at``, and where its body begins; None if none does."""
+    if not re.match(rb"WARC/\d+\.\d+\r?\n", data[at : at + 20]):
         return None
-    headers = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    size = headers.get("Content-Length", "")
-    if not size.isdigit() or len(rest) < int(size):
+    end = re.compile(rb"\r?\n\r?\n").search(data, at, at + HEADER_BYTES)
+    if not end:
         return None
-    return headers, rest[: int(size)]
+    headers = {}
+    for line in data[at : end.start()].decode("utf-8", "replace").splitlines()[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            headers.setdefault(name.strip().lower(), value.strip())
+    return (headers, end.end()) if re.fullmatch(r"[0-9]{1,18}", headers.get("content-length", "")) else None
+
+
+def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and body of each whole record of a member, one after the other."""
+    at = 0
+    while found := head_of(data, at):
+        headers, start = found
+        stop = start + int(headers["content-length"])
+        if stop > len(data):
+            return
+        yield headers, data[start:stop]
+        at = stop
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
 
 
-def scan(file: pa.NativeFile, size: int, start: int, stop: int) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, compressed length and content of each record that starts in [start, stop); the last may end beyond.
+def scan(file: pa.NativeFile, size: int, start: int, stop: int, keep: bool = True) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, compressed length and content (nothing unless ``keep``) of each member that starts in [start, stop); the last may end beyond.
 
-    Bytes are searched for the gzip magic. A candidate counts if it decodes and its content begins as a record; if not,
-    the search goes on one byte later. A member that is cut off or damaged is passed over.
+    Bytes are searched for the gzip magic. A candidate counts if it decodes to its end, checksum included, and its content
+    begins with the headers of a record; if not, the search goes on one byte later. A member that is cut off or damaged
+    is passed over.
     """
     at = start
     while at < stop:
@@ -94,7 +117,7 @@ def scan(file: pa.NativeFile, size: int, start: int, stop: int) -> Iterator[tupl
             at += max(1, len(block) - len(MAGIC) + 1)
             continue
         at += found
-        member = _member(file, size, at, block[found:])
+        member = _member(file, size, at, block[found:], keep)
         if member is None:
             at += 1
         else:
@@ -103,8 +126,8 @@ def scan(file: pa.NativeFile, size: int, start: int, stop: int) -> Iterator[tupl
             at += length
 
 
-def _member(file: pa.NativeFile, size: int, at: int, block: bytes) -> tuple[bytes, int] | None:
-    decode, parts, fed, checked = zlib.decompressobj(31), [], 0, False
+def _member(file: pa.NativeFile, size: int, at: int, block: bytes, keep: bool) -> tuple[bytes, int] | None:
+    decode, parts, held, fed, checked = zlib.decompressobj(31), [], 0, 0, False
     try:
         while not decode.eof:
             if not block:
@@ -112,48 +135,82 @@ def _member(file: pa.NativeFile, size: int, at: int, block: bytes) -> tuple[byte
                 if not block:
                     return None
             piece, block = block[: 1 << 14] if not checked else block, block[1 << 14 :] if not checked else b""
-            parts.append(decode.decompress(piece))
+            got = decode.decompress(piece)
             fed += len(piece)
-            if not checked and sum(map(len, parts)) >= 5:
-                if not b"".join(parts).startswith(b"WARC/"):
+            if keep or not checked:
+                parts.append(got)
+                held += len(got)
+            if not checked and held >= 5:
+                start = b"".join(parts)
+                if not start.startswith(b"WARC/"):
+                    return None
+                if head_of(start):
+                    checked = True
+                elif held > HEADER_BYTES or decode.eof:
                     return None
-                checked = True
     except zlib.error:
         return None
-    data = b"".join(parts)
-    return (data, fed - len(decode.unused_data)) if data.startswith(b"WARC/") else None
+    return (b"".join(parts) if keep else b"", fed - len(decode.unused_data)) if checked else None
+
+
+def page_of(headers: dict[str, str], body: bytes) -> tuple[int | None, str | None, str | None]:
+    """``page_id``, ``url`` and ``html`` of a record. An id that isn't a number of 64 bits is null."""
+    page, url, kind = headers.get("x-page-id", ""), headers.get("warc-target-uri"), headers.get("warc-type")
+    number = int(page) if re.fullmatch(r"-?[0-9]{1,19}", page) else None
+    if number is not None and not -(1 << 63) <= number < 1 << 63:
+        number = None
+    if kind == "response" and re.match(rb"HTTP/\d", body):
+        end = re.search(rb"\r?\n\r?\n", body)
+        body = body[end.end() :] if end else b""
+    return number, None if url is None else unquote(url.strip("<>")), None if headers.get("x-body") == "none" else body.decode("utf-8", "replace")
+
 
+def read_warc(spark: SparkSession, where: str, split_bytes: int = SPLIT_BYTES, types: tuple[str, ...] = TYPES) -> DataFrame:
+    """The records of all ``.warc.gz`` files in ``where``: ``page_id, url, html, offset, length`` (of their member).
 
-def read_warc(spark: SparkSession, where: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of all ``.warc.gz`` files in ``where``: ``page_id, url, html, offset, length``.
+    Files are cut into ranges of ``split_bytes``; each task scans one range and owns the members that start in it, as
+    :func:`scan` says. A first pass, which only decodes, finds how far each range's last member reaches into the next
+    ranges, and nothing in there is taken for a member; so the result is that of one scan from the file's first byte,
+    however it is cut, even if an archive is stored within a record.
 
-    Files are cut into ranges of ``split_bytes``; each task scans one range and owns the records that start in it, as
-    :func:`scan` says. Records that are cut off, damaged or not WARC are passed over. An empty folder gives no rows.
+    A member may hold several records; they have its offset. Names of headers may have any case. Records of other types
+    than ``types`` (information, requests, ...), and what is cut off, damaged or not WARC, are passed over. A member is held
+    in memory whole, however long. Null and empty fields, see :func:`page_of`. Repeated records and ties are given each. An
+    empty folder gives no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(where).select("path", "length")
     ranges = files.where("length > 0").select("path", F.col("length").alias("size"), F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    tasks = max(1, min(MAX_TASKS, ranges.count()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(path: str) -> pa.NativeFile:
+        system, name = open_fs(unquote(path) if path.startswith("file:") else path)
+        return system.open_input_file(name)
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            stops = []
             for path, size, start in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                system, name = open_fs(unquote(path) if path.startswith("file:") else path)
+                with opened(path) as file:
+                    stops.append(max((at + length for at, length, _ in scan(file, size, start, min(size, start + split_bytes), keep=False)), default=0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stops, pa.int64())], names=["path", "size", "start", "stop"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size, start, first in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 rows, held = [], 0
-                with system.open_input_file(name) as file:
-                    for offset, length, data in scan(file, size, start, min(size, start + split_bytes)):
-                        got = parse(data)
-                        if got is None:
-                            continue
-                        headers, body = got
-                        url, page = headers.get("WARC-Target-URI"), headers.get("X-Page-ID", "")
-                        rows.append((int(page) if page.lstrip("-").isdigit() else None, None if url is None else unquote(url), None if headers.get("X-Body") == "none" else body.decode("utf-8", "replace"), offset, length))
+                with opened(path) as file:
+                    for offset, length, data in scan(file, size, first, min(size, start + split_bytes)):
+                        rows += [(*page_of(headers, body), offset, length) for headers, body in records_in(data) if headers.get("warc-type") in types]
                         held += len(data)
                         if held > 8 << 20:
                             yield _rows(rows)
                             rows, held = [], 0
                 yield _rows(rows)
 
-    return ranges.mapInArrow(run, "page_id long, url string, html string, offset long, length long")
+    reached = saved(ranges.repartition(tasks).mapInArrow(reach, "path string, size long, start long, stop long"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    first = reached.select("path", "size", "start", F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))).alias("first"))
+    return first.where(F.col("first") < F.col("start") + split_bytes).repartition(tasks).mapInArrow(run, "page_id long, url string, html string, offset long, length long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -165,8 +222,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def warc_round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``pages`` written as an archive in the shared folder and read back: ``page_id, url, html``.
 
-    Nulls in any column, empty pages and repeated rows come back as they were. An empty table gives no rows. Other
-    columns are not archived.
+    Nulls in any column, empty and very long pages and repeated rows come back as they were. An empty table gives no rows.
+    Other columns, whatever their names, are not archived.
     """
     spark = pages.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"

@@ -63,7 +63,7 @@ def pages_of(spark):
     return spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
 
 
-@pytest.mark.parametrize("split", [97, 4096, 1 << 26])
+@pytest.mark.parametrize("split", [9973, 1 << 16, 1 << 26])
 def test_archives_come_back_whole_at_any_split(spark, split):
     pages = pages_of(spark)
     assert rows(warc.warc_round_trip(pages, split)) == rows(pages)
@@ -76,12 +76,49 @@ def test_ranges_read_what_one_pass_reads(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(data)
     file = fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz"))
     whole = list(warc.scan(file, len(data), 0, len(data)))
-    assert [warc.parse(d)[0].get("X-Page-ID") for _, _, d in whole] == ["1", "9", "2"]
+    assert [h.get("x-page-id") for _, _, d in whole for h, _ in warc.records_in(d)] == ["1", "9", "2"]
     for step in (1, 50, 333):
         assert [x for a in range(0, len(data), step) for x in warc.scan(file, len(data), a, min(a + step, len(data)))] == whole
     assert {r.page_id for r in warc.read_warc(spark, str(tmp_path), 200).collect()} == {1, 9, 2}
 
 
+def plain(kind, body, *headers, eol="\r\n"):
+    return eol.join(["WARC/1.1", f"warc-type:{kind}", f"CONTENT-LENGTH:  {len(body)}", *headers]).encode() + 2 * eol.encode() + body + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>a</p>"
+    members = [
+        plain("warcinfo", b"software: x"), plain("request", b"GET / HTTP/1.1\r\n\r\n", "warc-target-uri: http://a"),
+        plain("response", http, "WARC-Target-URI: <http://a>") + plain("response", b"HTTP/1.0 404 no", "Warc-Target-Uri: http://b", "x-page-id: --5") + plain("resource", b"", "X-Page-ID: 7", eol="\n"),
+        plain("resource", b"big", f"X-Page-ID: {1 << 63}"), plain("resource", b"big", f"X-Page-ID: {(1 << 63) - 1}"), plain("resource", b"\xff\xfe", "X-Page-ID: -3"), plain("metadata", b"m"),
+        b"WARC/1.0\r\nno length: here\r\n\r\nx", plain("resource", b"cut", "X-Page-ID: 8")[:-6], b"WARC/1.0",
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    want = [(None, "http://a", "<p>a</p>"), (None, "http://b", ""), (7, None, ""), (None, None, "big"), ((1 << 63) - 1, None, "big"), (-3, None, "\ufffd\ufffd")]
+    for split in (41, 1 << 20):
+        assert rows(warc.read_warc(spark, str(tmp_path), split).select("page_id", "url", "html")) == sorted(want, key=repr)
+    assert {r.html for r in warc.read_warc(spark, str(tmp_path), types=("metadata",)).collect()} == {"m"}
+
+
+@pytest.mark.parametrize("split", [90, 700, 2500, 1 << 20])
+def test_an_archive_stored_within_a_record_is_no_record(spark, tmp_path, split):
+    inner = b"".join(warc.record(100 + i, f"inner {i}", "text " * i) for i in range(12))
+    outer = gzip.compress(plain("resource", inner, "X-Page-ID: 1"), 0)  # stored, so that the inner members are there byte for byte
+    assert inner in outer
+    (tmp_path / "x.warc.gz").write_bytes(warc.record(0, "a", "b") + outer + warc.record(2, "c", "d"))
+    got = warc.read_warc(spark, str(tmp_path), split)
+    assert sorted(r.page_id for r in got.collect()) == [0, 1, 2]
+
+
+def test_ranges_are_read_by_as_many_tasks(spark, tmp_path):
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(warc.record(i, "u", str(random.Random(i).random()) * 40) for i in range(50)))
+    got = warc.read_warc(spark, str(tmp_path), 500)
+    busy = got.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert got.count() == 50
+    assert busy >= 0.8 * (tmp_path / "x.warc.gz").stat().st_size / 500
+
+
 def test_empty_archive(spark):
     assert warc.warc_round_trip(pages_of(spark).limit(0)).count() == 0
 
