@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -33,11 +34,20 @@ def test_viterbi_is_the_best_of_all_paths():
 def test_passing_over_quiet_words_changes_nothing():
     r = random.Random(4)
     crf = pii.model()
-    assert pii.check_quiet(crf)
+    assert crf.quiet
     sentences = [w for w, _ in pii.labelled()[:150]]
-    plain = ["some", "plain", "words", "that", "hold", "nothing,", "at", "all."]
+    plain = ["some", "plain", "words", "token", "that", "hold", "nothing,", "at", "all."]
     texts = [" ".join([*r.choices(plain, k=r.randint(0, 30)), *s, *r.choices(plain, k=r.randint(0, 30))]) for s in sentences]
-    assert pii.spans_of(texts, crf, True) == pii.spans_of(texts, crf, False)
+    for apart in range(1, 12):  # signal words at all distances
+        texts.append((" " + " ".join(r.choices(plain, k=apart)) + " ").join(r.choices(["4111", "+44", "(020)", "7946", "a1b2", "=", "2001:db8::1", "jo@mail.org"], k=40)))
+    assert pii.spans_of(texts, crf) == pii.spans_of(texts, crf, whole=True)
+    assert pii.spans_of(texts, crf)
+
+
+def test_likelihood_gradients_lead_to_the_best_weights():
+    rows = [(["tel", "0123", "4567"], [0, 2, 2]), (["no", "0123"], [0, 0]), (["a1@b.org"], [1])] * 5
+    crf = pii.train(rows, rounds=200)
+    assert [t.tolist() for t in crf.decode([w for w, _ in rows])] == [t for _, t in rows]
 
 
 def test_finds_values_and_where_they_are(spark):
@@ -50,6 +60,42 @@ def test_finds_values_and_where_they_are(spark):
     assert all(text[a:b] == v for _, a, b, _, v in got)
 
 
+FORMATS = {
+    "call 555.123.4567 now": ("PHONE", "555.123.4567"), "ring 020 7946 0958 or": ("PHONE", "020 7946 0958"), "ring +44 20 7946 0958 or": ("PHONE", "+44 20 7946 0958"), "at (415) 555-0199, ext": ("PHONE", "(415) 555-0199"),
+    "pay 4111 1111 1111 1111 today": ("CARD", "4111 1111 1111 1111"), "card 4111-1111-1111-1111.": ("CARD", "4111-1111-1111-1111"), "number 123-45-6789 was": ("ID", "123-45-6789"), "host 2001:db8::1 is up": ("IP", "2001:db8::1"),
+    "from 192.168.7.20, and": ("IP", "192.168.7.20"), "iban DE89370400440532013000 ok": ("IBAN", "DE89370400440532013000"), "to DE89 3704 0044 0532 0130 00 today": ("IBAN", "DE89 3704 0044 0532 0130 00"),
+}
+
+
+def test_formats_of_numbers():
+    got = pii.spans_of(list(FORMATS), pii.model())
+    assert [(k, v) for *_, k, v in got] == list(FORMATS.values())
+    clean = ["order 4111111111111112 was sent", "on 2024-01-05 at 10:20:30", "pages 12 to 340, and 1,234,567 more", "address 300.400.1.2 isn't one", "version 2.0.1 of x = 3", "about 50% of $12.50"]
+    assert pii.spans_of(clean, pii.model()) == []
+
+
+def test_very_long_words_take_linear_time():
+    n = 1_000_000
+    crf, began = pii.model(), time.perf_counter()
+    for text in ("a@" + "." * n + "@", "1a" * (n // 2), "9" * n, "x" * n + " 4111111111111111"):
+        pii.spans_of([text], crf)
+    assert time.perf_counter() - began < 4
+    assert pii.spans_of(["x" * n + " 4111111111111111"], crf) == [(0, n + 1, n + 17, "CARD", "4111111111111111")]
+
+
+def test_a_labelled_table_of_ones_own(spark):
+    rows = [(["ship", f"box-{i}", "to", f"Z{i:04d}"], ["O", "KEY", "O", "SECRET"]) for i in range(300)] + [(None, ["O"]), (["a", "b"], ["O"]), ([], []), (["plain", None], ["O", "nonsense"])]
+    table = spark.createDataFrame(rows, "words array<string>, tags array<string>")
+    docs = docs_of(spark, ["please ship box-77 to Z0042 now", "and nothing here"])
+    assert rows_of(pii.personal_data(docs, table)) == [("KEY", "box-77"), ("SECRET", "Z0042")]
+    names = spark.createDataFrame([(["dear", f"Mrs{c}", "goes"], ["O", "ID", "O"]) for c in "abcdefgh"], "words array<string>, tags array<string>")
+    assert not pii.train([(r.words, [pii.LABELS.index(t) for t in r.tags]) for r in names.collect()]).quiet
+
+
+def rows_of(df):
+    return sorted((r.kind, r.value) for r in df.collect())
+
+
 def test_awkward_rows(spark):
     assert pii.personal_data(awkward(spark)).count() == 0
     assert pii.personal_data(awkward(spark).limit(0)).count() == 0
