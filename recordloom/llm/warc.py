@@ -9,11 +9,10 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import need, saved, shared_dir
+from .common import need, open_fs, saved, shared_dir
 
 #: Bytes of a split, of a read, and of a record's header at most.
 SPLIT_BYTES, READ_BYTES, HEADER_BYTES = 64 << 20, 1 << 20, 64 << 10
@@ -25,12 +24,6 @@ MAGIC = b"\x1f\x8b\x08"
 _SAFE = "".join(chr(i) for i in range(33, 127) if chr(i) != "%")
 
 
-def open_fs(where: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a URI or a plain path."""
-    where = where if "://" in where else where.replace("file:", "", 1)
-    return fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
-
-
 def record(page_id: int | None, url: str | None, body: str | None) -> bytes:
     """One gzip member with one WARC record. Null fields have no header; a null body is marked."""
     data = (body or "").encode("utf-8", "surrogatepass")
@@ -100,6 +93,30 @@ def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 1
 
 
+class Reader:
+    """A file read in blocks, of which the last is kept: members that follow each other aren't read again."""
+
+    def __init__(self, file: pa.NativeFile, size: int) -> None:
+        self.file, self.size, self.base, self.block = file, size, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """The ``n`` bytes from ``at``, or as many as there are."""
+        n = min(n, self.size - at)
+        if at < self.base or at + n > self.base + len(self.block):
+            self.base, self.block = at, self.file.read_at(min(max(n, READ_BYTES), self.size - at), at)
+        return self.block[at - self.base : at - self.base + n]
+
+    def find(self, what: bytes, at: int, stop: int) -> int:
+        """Where ``what`` begins first in [at, stop), or -1."""
+        while at < stop and at + len(what) <= self.size:
+            self.get(at, len(what))
+            found = self.block.find(what, at - self.base, stop - self.base + len(what) - 1)
+            if found >= 0:
+                return self.base + found
+            at = self.base + len(self.block) - len(what) + 1
+        return -1
+
+
 def scan(file: pa.NativeFile, size: int, start: int, stop: int, keep: bool = True) -> Iterator[tuple[int, int, bytes]]:
     """Offset, compressed length and content (nothing unless ``keep``) of each member that starts in [start, stop); the last may end beyond.
 
@@ -107,34 +124,23 @@ def scan(file: pa.NativeFile, size: int, start: int, stop: int, keep: bool = Tru
     begins with the headers of a record; if not, the search goes on one byte later. A member that is cut off or damaged
     is passed over.
     """
-    at = start
-    while at < stop:
-        block = file.read_at(min(READ_BYTES + len(MAGIC) - 1, size - at), at)
-        found = block.find(MAGIC)
-        if found < 0 or at + found >= stop:
-            if found >= 0 or at + len(block) >= size:
-                return
-            at += max(1, len(block) - len(MAGIC) + 1)
-            continue
-        at += found
-        member = _member(file, size, at, block[found:], keep)
+    reader, at = Reader(file, size), start
+    while (at := reader.find(MAGIC, at, stop)) >= 0:
+        member = _member(reader, at, keep)
         if member is None:
             at += 1
         else:
-            data, length = member
-            yield at, length, data
-            at += length
+            yield at, member[1], member[0]
+            at += member[1]
 
 
-def _member(file: pa.NativeFile, size: int, at: int, block: bytes, keep: bool) -> tuple[bytes, int] | None:
+def _member(reader: Reader, at: int, keep: bool) -> tuple[bytes, int] | None:
     decode, parts, held, fed, checked = zlib.decompressobj(31), [], 0, 0, False
     try:
         while not decode.eof:
-            if not block:
-                block = file.read_at(min(READ_BYTES, size - at - fed), at + fed)
-                if not block:
-                    return None
-            piece, block = block[: 1 << 14] if not checked else block, block[1 << 14 :] if not checked else b""
+            piece = reader.get(at + fed, 1 << 16 if checked else 1 << 13)
+            if not piece:
+                return None
             got = decode.decompress(piece)
             fed += len(piece)
             if keep or not checked:
