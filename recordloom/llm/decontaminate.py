@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fresh, like, need, slices
+from .common import U64, fresh, like, need, open_fs, shared_dir, slices
 
-#: Edits allowed for each character of a normalised item, and characters an item needs at least to be searched for.
-ERROR_RATE, MIN_CHARS = 0.1, 24
-#: Characters of items that one automaton holds; more items are searched for in several passes.
-ITEM_CHARS = 32 << 20
+#: Edits allowed for each character of a normalised item. Items of fewer characters than this must be there as they are, as whole words.
+ERROR_RATE, SHORT_CHARS = 0.1, 24
+#: Characters of items that one automaton holds; more items are searched for in several passes, each with a file of its own.
+ITEM_CHARS = 4 << 20
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -26,9 +30,9 @@ def normalise(text: str) -> str:
     return " ".join(_WORDS.findall(text.lower()))
 
 
-def budget(n: int, rate: float = ERROR_RATE) -> int:
-    """Edits allowed in an item of ``n`` characters."""
-    return int(n * rate)
+def budget(n: int, rate: float = ERROR_RATE, short: int = SHORT_CHARS) -> int:
+    """Edits allowed in an item of ``n`` characters: none in a short one."""
+    return int(n * rate) if n >= short else 0
 
 
 def myers(pattern: str, text: str, limit: int) -> int:
@@ -83,8 +87,9 @@ def myers_batch(patterns: np.ndarray, sizes: np.ndarray, texts: np.ndarray) -> n
 class Finder:
     """The items' pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> None:
-        self.items = [(i, t, budget(len(t), rate)) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= min_chars]
+    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, short: int = SHORT_CHARS) -> None:
+        # A short item is searched for with a space on either side, as are the texts: whole words.
+        self.items = [(i, t if len(t) >= short else f" {t} ", budget(len(t), rate, short)) for i, t in ((i, normalise(t)) for i, t in items) if t]
         self.nodes: list[tuple[int, int, int, int, int]] = []  # item, start of the piece; start, stop and edits of the node that holds it
         pieces: dict[str, list[int]] = {}
         for at, (_, text, k) in enumerate(self.items):
@@ -110,12 +115,15 @@ class Finder:
         if not self.nodes:
             return []
         seen: set[tuple[int, int, int]] = set()
+        found: dict[tuple[int, int], int] = {}
         for t, text in enumerate(texts):
-            for end, (size, where) in self.automaton.iter(text):
+            for end, (size, where) in self.automaton.iter(f" {text} "):  # spaces, for whole words at its ends
                 for node in where:
-                    seen.add((t, node, end + 1 - size))
-        if not seen:
-            return []
+                    at = self.nodes[node][0]
+                    if self.items[at][2]:
+                        seen.add((t, node, end - size))
+                    else:  # the only piece is the item
+                        found[t, at] = 0
         tried = sorted(seen)
         passed = []
         for a in range(0, len(tried), 20_000):
@@ -137,7 +145,6 @@ class Finder:
                 got = myers_batch(pa_, np.array([len(pats[i]) for i in pick]), ta)
                 ok[pick] = got <= np.array([limits[i] for i in pick])
             passed += [x for x, fine in zip(part, ok, strict=True) if fine]
-        found: dict[tuple[int, int], int] = {}
         last: dict[tuple[int, int], set[int]] = {}
         for t, node, start in passed:
             at, piece, *_ = self.nodes[node]
@@ -162,30 +169,47 @@ def groups_of(lo: int, hi: int, leaf: int) -> Iterator[tuple[int, int]]:
         lo, hi = (lo, mid) if leaf < mid else (mid, hi)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def _kept(items: DataFrame, passes: int) -> list[str]:
+    """Folders in the shared folder, one for each pass, with the items of that pass."""
+    where = f"{shared_dir(items.sparkSession).rstrip('/')}/items-{uuid.uuid4().hex}"
+    items.withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))).write.partitionBy("pass").parquet(where)
+    return [f"{where}/pass={p}" for p in range(passes)]
+
+
+def _read(where: str) -> list[tuple[int, str]]:
+    system, path = open_fs(where)
+    if system.get_file_info(path).type == fs.FileType.NotFound:  # a pass without items
+        return []
+    table = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["item_id", "text"])
+    return list(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, short: int = SHORT_CHARS) -> DataFrame:
     """``doc_id``, ``item_id`` and ``distance``, the least edit distance of the item to any passage of the document, for
     each document that holds an item with at most ``rate`` edits a character.
 
-    Both are compared in lower case with single spaces for all that is neither letter nor digit. Items with fewer than
-    ``min_chars`` characters after that are not searched for. Each item is split into one more pieces than the edits
-    allowed, so one piece must be exact; exact hits are verified with Myers' bit-parallel algorithm.
+    Both are compared in lower case with single spaces for all that is neither letter nor digit. Each item is split into
+    one more pieces than the edits allowed, so one piece must be exact; exact hits are verified with Myers' bit-parallel
+    algorithm. Items with fewer than ``short`` characters after that must be there exactly, as whole words (distance 0).
+
+    Null, empty or blank texts and items match nothing; rows without ``doc_id`` or ``item_id`` are left out. Very long texts
+    are searched whole. Of several passages as near (a tie) one row tells. Repeated rows give repeated results. Empty
+    tables give no rows. Other columns don't matter, whatever their names.
 
-    Null, empty or blank texts and items match nothing; rows without ``doc_id`` or ``item_id`` are left out. Repeated
-    rows give repeated results. Empty tables give no rows. Other columns don't matter.
+    Up to ``ITEM_CHARS`` characters of items reach the tasks with their code; beyond, each pass of the documents searches
+    for as many, and its tasks read them from the shared folder. The driver never holds more.
     """
     need(docs, "doc_id", "text")
     need(benchmark, "item_id", "text")
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     passes = max(1, -(-chars // ITEM_CHARS))
+    sources = [[(r["item_id"], r["text"]) for r in items.collect()]] if passes == 1 else _kept(items, passes)
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for p in range(passes):  # one, unless the items outgrow what a task can hold
-        own = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p)
-        pairs = [(r["item_id"], r["text"]) for r in own.collect()]
 
-        def run(batches: Iterator[pa.RecordBatch], pairs: list = pairs) -> Iterator[pa.RecordBatch]:
-            finder = Finder(pairs, rate, min_chars)
+    def search(source: list[tuple[int, str]] | str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(_read(source) if isinstance(source, str) else source, rate, short)
             for batch in slices(batches):
                 ids = batch.column(0)
                 got = finder.hits([normalise(t) for t in batch.column(1).to_pylist()])
@@ -194,13 +218,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
                     names=["doc_id", "item_id", "distance"],
                 )
 
-        found = rows.mapInArrow(run, "doc_id long, item_id long, distance int")
-        out = found if out is None else out.union(found)
-    return out
+        return rows.mapInArrow(run, "doc_id long, item_id long, distance int")
+
+    return reduce(DataFrame.union, map(search, sources))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """``docs`` without the documents in which :func:`contamination` finds an item."""
+    """``docs`` without the documents in which :func:`contamination` finds an item.
+
+    Rows without ``doc_id`` or text, and empty and blank texts, stay. All rows of a document that goes, go; repeated rows
+    of one that stays, stay. Empty tables: no rows, or no items and all rows. Further columns are kept.
+    """
     (gone,) = fresh(docs, "gone")
     drop = contamination(docs, benchmark, rate).select(F.col("doc_id").alias(gone)).distinct()
     return like(docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti"), docs.columns)

@@ -42,14 +42,14 @@ def edited(r, text, n):
 def tables(spark):
     r = random.Random(2)
     say = lambda n: " ".join("".join(r.choices("abdegiklmnoprstu", k=r.randint(2, 8))) for _ in range(n))
-    items = [(i, say(r.randint(8, 40))) for i in range(25)] + [(90, "short"), (91, None), (None, say(9))]
+    items = [(i, say(r.randint(8, 40))) for i in range(25)] + [(90, "zz short"), (91, None), (92, " !"), (None, say(9))]
     texts = []
     for i in range(45):
         body = say(25)
         if i % 3 == 0:
             item = items[r.randrange(25)][1]
             body += " " + edited(r, item, r.randint(0, int(len(item) * 0.14))).upper() + "! " + say(10)
-        texts.append(body)
+        texts.append(body + ["", " ZZ, short!", " xzz short", "\nzz short"][i % 4])
     return docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), items, texts
 
 
@@ -62,6 +62,8 @@ def test_search_is_brute_force(tables):
             d = distance(p, dc.normalise(text))
             if d <= dc.budget(len(p)):
                 want.append((i, k, d))
+        if i % 4 in (1, 3):
+            want.append((i, 90, 0))
     got = rows(dc.contamination(docs, benchmark))
     assert [x[:2] for x in got] == sorted((x[:2] for x in want), key=repr)
     assert got == sorted(want, key=repr)
@@ -72,8 +74,10 @@ def test_search_is_brute_force(tables):
 def test_more_items_than_one_pass_holds(tables, monkeypatch):
     docs, benchmark, _, _ = tables
     whole = rows(dc.contamination(docs, benchmark))
-    monkeypatch.setattr(dc, "ITEM_CHARS", 1500)
-    assert rows(dc.contamination(docs, benchmark)) == whole
+    assert len(whole) > 20
+    for chars in (1500, 40):  # with passes that have no item
+        monkeypatch.setattr(dc, "ITEM_CHARS", chars)
+        assert rows(dc.contamination(docs, benchmark)) == whole
 
 
 def test_awkward_rows(spark, tables):
