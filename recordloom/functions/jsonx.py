@@ -151,11 +151,15 @@ def repair(text: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def repair_json(texts: pd.Series) -> pd.Series:
-    """:func:`repair` for a column."""
+def _repaired(texts: pd.Series) -> pd.Series:
     return texts.map(repair, na_action="ignore").astype(object)
 
 
+def repair_json(c: Column) -> Column:
+    """:func:`repair` for a column."""
+    return _repaired(c)
+
+
 def tagged_json(c: Column) -> Column:
     """What stands in the first ``<json>`` tags, or all of it, repaired; an error object where that is empty."""
     pattern = r"(?s)<json>(.*?)</json>"
@@ -221,3 +225,19 @@ def valid_against(c: Column, schema: str, required: list[str]) -> Column:
     """``ok`` and ``value``: JSON text as a struct of the schema; not ok if it can't be read or a required field is null."""
     parsed = F.from_json(c, schema)
     return bind(F.struct(parsed.alias("v")), lambda s: F.struct(F.coalesce(F.try_parse_json(c).isNotNull() & F.forall(F.array(*[s["v"][r].isNotNull() for r in required] or [F.lit(True)]), lambda there: there), F.lit(False)).alias("ok"), s["v"].alias("value")))
+
+
+def keyed_list(c: Column, key: str = "columns") -> Column:
+    """JSON text as an object: null as an empty list under ``key``, a list as that under ``key``, an object as it is."""
+    bare = F.ltrim(c)
+    return F.when(c.isNull() | (F.btrim(c) == "null"), F.lit(f'{{"{key}":[]}}')).when(F.startswith(bare, F.lit("[")), F.concat(F.lit(f'{{"{key}":'), F.btrim(c), F.lit("}"))).otherwise(c)
+
+
+def example_lines(lines: Column) -> Column:
+    """Examples as a list for a prompt, a line for each."""
+    return F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def flat_scores(c: Column, criteria: list[str]) -> list[Column]:
+    """``<name>_score`` and ``<name>_reason`` of each criterion, from JSON text; null where there are none."""
+    return [x for n in criteria for x in (F.get_json_object(c, f"$.{n}.score").try_cast("int").alias(f"{n}_score"), F.get_json_object(c, f"$.{n}.reasoning").alias(f"{n}_reason"))]

@@ -225,3 +225,21 @@ def decimal_without_scale(c: Column) -> Column:
 def incomplete_code(c: Column) -> Column:
     """Whether code has a placeholder comment."""
     return F.contains(c, F.lit("# ..."))
+
+
+def assembled(system: str, prompt: Column) -> Column:
+    """A prompt of a system's message, a person's, and the beginning of the answer."""
+    return F.concat(F.lit(f"System: {system}\n\nHuman: "), prompt, F.lit("\n\nAssistant:"))
+
+
+def chat_parts(df: DataFrame, key: str, order: str, role: str, content: str) -> DataFrame:
+    """``key`` and ``joined``: the messages of each key in order, each under its role; a single one as it is."""
+    many = F.concat(F.upper(role), F.lit(":\n"), F.col(content), F.lit("\n---"))
+    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), many.alias("p"), F.col(content).alias("t")))).alias("m"))
+    return grouped.select(key, F.when(F.size("m") == 1, F.col("m")[0]["t"]).otherwise(F.array_join(F.transform("m", lambda x: x["p"]), "\n\n")).alias("joined"))
+
+
+def title(name: Column, width: int = 0) -> Column:
+    """A name for display: words instead of underscores, capitals first, filled up with blanks to a width."""
+    out = F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    return F.when(F.char_length(out) < width, F.rpad(out, width, " ")).otherwise(out) if width else out

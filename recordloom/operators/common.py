@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast without being asked for.
-BROADCAST_ROWS = 100_000
+#: Bytes of rows, as they come to the driver, up to which a side of a join is broadcast without being asked for.
+BROADCAST_BYTES = 32 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset on a single machine, as in tests, a new folder, which goes when the driver ends; on a cluster that is an error."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="recordloom-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
+    return where
 
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the folder all executors share and read back: a short plan that outlives lost executors."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recordloom-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``rows`` rows; beyond, the planner picks the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, to be broadcast if its rows have at most ``most`` bytes as text; beyond, the planner picks the join. It is written and read back, so that measuring doesn't compute it twice."""
+    df = saved(df)
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))) if df.columns else F.lit(0)
+    return F.broadcast(df) if (df.agg(size.alias("n")).first()["n"] or 0) <= most else df
 
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
     """``df`` with 0-based places in the given order, without bringing all rows into one task.
 
-    Rows are range-partitioned, sorted and written; only the partitions' counts come to the driver.
+    Rows are range-partitioned, sorted and written; the rows before each partition are told by a table of partitions.
     """
-    local = f"__{name}"
+    local, part, before = f"__{name}", f"__{name}_part", f"__{name}_before"
     placed = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(local, F.monotonically_increasing_id()))
-    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(F.shiftright(local, 33).alias("p")).agg(F.count("*").alias("n")).collect())
-    before, total = [], 0
-    for p, n in counts:
-        before += [F.lit(p), F.lit(total)]
-        total += n
-    start = F.element_at(F.create_map(*before), F.shiftright(local, 33)) if before else F.lit(0)
-    return placed.withColumn(name, (start + F.col(local).bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop(local)
+    placed = placed.withColumn(part, F.shiftright(local, 33))
+    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # of partitions, not of rows
+    starts = counts.select(part, F.coalesce(earlier, F.lit(0)).alias(before))
+    joined = placed.join(F.broadcast(starts), part)
+    return joined.withColumn(name, (F.col(before) + F.col(local).bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop(local, part, before)

@@ -36,3 +36,35 @@ def merged(df: DataFrame, context: list[str], record: dict[str, Column]) -> Data
 def counters(df: DataFrame, valid: Column) -> DataFrame:
     """Successes and failures."""
     return df.agg(F.count_if(valid).alias("successes"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("failures"))
+
+
+def lookup(key: Column, table: dict[str, str], default: str) -> Column:
+    """What a small table has for a key, or the default."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) if table else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
+
+
+def first_verdict(*checks: tuple[Column, str], default: str) -> Column:
+    """The name of the first check that holds, or the default."""
+    return F.coalesce(*[F.when(check, name) for check, name in checks], F.lit(default))
+
+
+def overwritten(old: Column, *changes: tuple[Column, Column]) -> Column:
+    """A column with other values where a condition holds, the first that does; a null condition changes nothing."""
+    out = None
+    for condition, value in changes:
+        out = F.when(condition, value) if out is None else out.when(condition, value)
+    return old if out is None else out.otherwise(old)
+
+
+def flagged(df: DataFrame, flag: Column, *wanted: Column) -> DataFrame:
+    """Rows whose flag is known and for which all of ``wanted`` hold, with the flag as ``flag``."""
+    out = df.where(flag.isNotNull())
+    for condition in wanted:
+        out = out.where(condition)
+    return out.withColumn("flag", flag)
+
+
+def with_seeds(generated: DataFrame, seeds: DataFrame, key: str = "id") -> DataFrame:
+    """Generated rows with the seeds that they were made from, without the key; rows of unknown seeds are dropped."""
+    return generated.join(seeds, key).drop(key)

@@ -56,27 +56,42 @@ def hierarchical_draw(slots: DataFrame, key: str, tree: dict[str, list[str]], le
     return out.withColumn("complexity", pick(F.array(*map(F.lit, levels)), u01(seed, "complexity", F.col(key))))
 
 
+#: Combinations of either half of the seeds, at most: numbers below it stay whole in 64 bits.
+HALF = 1 << 61
+
+
+def _halves(sizes: list[int]) -> int:
+    """How many of the sizes make up the first half of the product: the halves are as equal as can be."""
+    return min(range(len(sizes) + 1), key=lambda k: max(prod(sizes[:k]), prod(sizes[k:])))
+
+
 def seed_permutations(spark: SparkSession, seeds: dict[str, list[str]], max_permutations: int = 10_000, seed: int = 0) -> DataFrame:
     """Up to ``max_permutations`` distinct tuples of the product of the seeds' values, numbered by ``id``.
 
-    A tuple is decoded from its number in the product, so the product is never built by joins; equal values of a seed
-    count once.
+    The numbers of tuples are those from 0 on, put through a keyed permutation of all numbers below the product: the
+    product is neither built nor sorted, however large. A number is a pair of halves, (left, right); in each of four rounds
+    a hash of one half is added to the other, which can be undone, so no two tuples are equal. Equal values of a seed count once.
     """
     lists = {name: list(dict.fromkeys(values)) for name, values in seeds.items()}
-    total = prod(map(len, lists.values())) if lists else 0
-    columns, step = [], total
-    for name, values in lists.items():
-        step //= max(1, len(values))
-        columns.append(F.get(F.array(*map(F.lit, values)), F.pmod(F.floor(F.col("n") / F.lit(max(1, step))), F.lit(max(1, len(values)))).cast("int")).alias(name))
-    chosen = spark.range(total).select(F.col("id").alias("n")).orderBy(digest(seed, F.col("n")), "n").limit(max_permutations)
-    numbered = chosen.select((F.row_number().over(_by_hash(seed)) - 1).cast("long").alias("id"), "n")  # no more than max_permutations rows
-    return numbered.select("id", *columns)
-
-
-def _by_hash(seed: int):  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy(digest(seed, F.col("n")), "n")
+    sizes = [len(v) for v in lists.values()]
+    total, cut = prod(sizes) if sizes else 0, _halves(sizes)
+    a, b = max(1, prod(sizes[:cut])), max(1, prod(sizes[cut:]))
+    if max(a, b) > HALF:
+        raise ValueError(f"too many combinations: {total}")
+    hashed = lambda k, half: F.conv(F.substring(digest(seed, str(k), half), 1, 15), 16, 10).cast("long")
+    left, right = F.expr(f"id DIV {b}"), F.pmod(F.col("id"), F.lit(b))
+    df = spark.range(min(max_permutations, total)).select("id", left.alias("__left"), right.alias("__right"))
+    for k in range(4):
+        half, other, n = ("__left", "__right", a) if k % 2 == 0 else ("__right", "__left", b)
+        df = df.withColumn(half, F.pmod(F.col(half) + hashed(k, F.col(other)), F.lit(n)))
+    columns = []
+    for half, names in (("__left", list(lists)[:cut]), ("__right", list(lists)[cut:])):
+        step = prod(len(lists[n]) for n in names)
+        for name in names:
+            step //= max(1, len(lists[name]))
+            place = F.pmod(F.expr(f"`{half}` DIV {max(1, step)}"), F.lit(max(1, len(lists[name]))))
+            columns.append(F.get(F.array(*map(F.lit, lists[name])), place.cast("int")).alias(name))
+    return df.select("id", *columns)
 
 
 def round_robin(slots: DataFrame, slot: str, contexts: DataFrame, order: str) -> DataFrame:
@@ -101,3 +116,13 @@ def subset(values: Column, k: Column | int, seed: int, key: Column) -> Column:
     from ..functions.hashing import shuffled
 
     return F.slice(shuffled(values, seed, key), 1, k)
+
+
+def first_seeds(seeds: DataFrame, rows: int, per_seed: int) -> DataFrame:
+    """As many of the numbered seeds (``id``) as it takes to make so many rows."""
+    return seeds.where(F.col("id") < -(-rows // max(1, per_seed)))
+
+
+def request_prefix(seed: int, *keys: Column) -> Column:
+    """Ten characters that tell requests apart: of a hash, so that runs repeat."""
+    return F.left(digest(seed, *keys), F.lit(10))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small
 
 
 def keep_first(df: DataFrame, key: Column | str, *order: str) -> DataFrame:
-    """The first row of each key in the given order; null keys count as one key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """The first row of each key in the given order; null keys count as one key. Each task keeps its first rows before any are sent."""
+    first = df.groupBy(F.col(key) if isinstance(key, str) else key).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("__first"))
+    return first.select(*[F.col(f"__first.`{c}`") for c in df.columns])
 
 
 def add_values(tags: DataFrame, new: DataFrame) -> DataFrame:
@@ -19,19 +19,21 @@ def add_values(tags: DataFrame, new: DataFrame) -> DataFrame:
 
     Tags are matched by name in any case. Of equal new values the first counts.
     """
-    both = tags.withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True)))
-    return _first_by(both, F.lower("name"), F.lower("value"))
+    return _added(tags, new, "name", "value")
 
 
-def _first_by(both: DataFrame, *keys: Column) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("added", "pos"))
-    return both.withColumn("__rank", rank).where("NOT added OR __rank = 1").drop("__rank")
+def _added(old: DataFrame, new: DataFrame, *names: str) -> DataFrame:
+    """Both, with ``added``; of the new rows the first of each key, in any case, that no old row has. Nulls are equal."""
+    keys = F.struct(*[F.lower(n).alias(n) for n in names])
+    fresh = keep_first(new.withColumn("__key", keys), "__key", "pos")
+    have = old.select(keys.alias("__had")).distinct()
+    fresh = fresh.join(have, F.col("__key").eqNullSafe(F.col("__had")), "left_anti").drop("__key")
+    return old.withColumn("added", F.lit(False)).unionByName(fresh.withColumn("added", F.lit(True)))
 
 
 def add_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
     """``tags`` (one row for each, ``name, pos``) with the new ones whose name isn't there in any case; ``added`` marks them."""
-    both = tags.withColumn("added", F.lit(False)).unionByName(new.withColumn("added", F.lit(True)))
-    return _first_by(both, F.lower("name"))
+    return _added(tags, new, "name")
 
 
 def diversity(tags: DataFrame) -> DataFrame:
@@ -61,6 +63,23 @@ def proposals(batches: DataFrame, existing: DataFrame, n: int) -> DataFrame:
     return rank_top(new_columns(once, existing), n, "quality_rank", "worker", "pos")
 
 
+def truncated(tags: Column, k: int) -> Column:
+    """The first ``k`` tags of an array; all if there are no more."""
+    return F.slice(tags, 1, k) if k > 0 else F.slice(tags, 1, 0)
+
+
+def name_maps(columns: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Maps from column names to scrubbed ones, and back."""
+    forward = scrub_names(columns)
+    return forward, {new: old for old, new in forward.items()}
+
+
+def restored(df: DataFrame, original: list[str]) -> DataFrame:
+    """Scrubbed columns under their original names again; others keep theirs."""
+    _, back = name_maps(original)
+    return df.toDF(*[back.get(c, c) for c in df.columns])
+
+
 def symmetric_difference(a: Column, b: Column) -> Column:
     """Elements in one of two arrays only."""
     return F.array_union(F.array_except(a, b), F.array_except(b, a))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code, hashing, jsonx, text
 from ..operators import analytics, records, sampling, tags
+from ..operators.common import shared_dir
 from ..streaming import flows
 from . import configgen, evolution, generator, sample_to_dataset, validation
 from . import nl2code as nl2code_plan
@@ -535,8 +535,7 @@ def _stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="recordloom-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:

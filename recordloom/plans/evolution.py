@@ -30,6 +30,16 @@ class EvolutionOptions:
     seed: int = 0
 
 
+@dataclass(frozen=True)
+class AlignOptions:
+    """How many teachers and suggestions, and the temperatures of improving and of suggesting."""
+
+    teachers: int = 2
+    suggestions: int = 3
+    teach_temperature: float = 0.7
+    suggest_temperature: float = 0.5
+
+
 def survivors(df: DataFrame, item: str, score: Column, order: str, k: int) -> DataFrame:
     """The ``k`` rows of each item with the highest score, ties in order."""
     rank = F.row_number().over(Window.partitionBy(item).orderBy(F.desc("__score"), order))
@@ -72,26 +82,28 @@ def evolve(items: DataFrame, client: ModelClient, options: EvolutionOptions = Ev
     return items.drop("text").join(people.where("n = 0").select("id", "text"), "id", "left")
 
 
-def align(items: DataFrame, client: ModelClient, teachers: int = 2, suggestions: int = 3) -> DataFrame:
+def align(items: DataFrame, client: ModelClient, options: AlignOptions = AlignOptions()) -> DataFrame:
     """``items`` (``id, text, context``) with ``co_taught``, ``suggestions``, ``self_taught`` and ``final``.
 
     Teachers improve the text one by one; the best distinct version is selected; suggestions for it are applied; and of
     original, co-taught and self-taught text one is chosen. Answers of no use fall back to what was there before.
     """
+    teachers, suggestions = options.teachers, options.suggestions
+    teach, suggest = {"temperature": options.teach_temperature}, {"temperature": options.suggest_temperature}
     out = items.withColumn("versions", F.array("text"))
     for t in range(teachers):
         prompt = F.when(F.col("text").isNotNull(), render(TEACH, {"teacher": str(t), "context": F.coalesce("context", F.lit("")), "text": F.col("text")}))
-        out = apply_model(out.withColumn("__prompt", prompt), "__prompt", "__answer", client, "nl")
+        out = apply_model(out.withColumn("__prompt", prompt), "__prompt", "__answer", client, "nl", teach)
         out = out.withColumn("versions", F.array_append("versions", F.coalesce(_json_text(F.col("__answer"), "improved_text"), F.col("text")))).drop("__prompt", "__answer")
     distinct = F.array_distinct(F.slice("versions", 2, teachers))
     out = saved(out.withColumn("__options", distinct))
     out = _choose(out, client, "co_taught")
     prompt = F.when(F.col("text").isNotNull(), render(SUGGEST, {"k": str(suggestions), "text": F.col("text"), "improved": F.col("co_taught")}))
-    out = apply_model(out.withColumn("__prompt", prompt), "__prompt", "__answer", client, "nl")
+    out = apply_model(out.withColumn("__prompt", prompt), "__prompt", "__answer", client, "nl", suggest)
     listed = F.from_json(F.get_json_object(jsonx.largest_object(F.col("__answer")), "$.suggestions"), "array<string>")
     out = saved(out.withColumn("suggestions", jsonx.exactly(listed, suggestions, "No suggestion")).drop("__prompt", "__answer"))
     prompt = F.when(F.col("text").isNotNull(), render(SELF, {"suggestions": F.array_join("suggestions", "; "), "text": F.col("co_taught")}))
-    out = apply_model(out.withColumn("__prompt", prompt), "__prompt", "__answer", client, "nl")
+    out = apply_model(out.withColumn("__prompt", prompt), "__prompt", "__answer", client, "nl", teach)
     out = out.withColumn("self_taught", F.coalesce(_json_text(F.col("__answer"), "improved_text"), F.col("co_taught"))).drop("__prompt", "__answer")
     return _choose(out.withColumn("__options", F.array_distinct(F.array("text", "co_taught", "self_taught"))), client, "final").drop("versions")
 
@@ -115,10 +127,10 @@ def evolve_table(df: DataFrame, id_: str, client: ModelClient, options: Evolutio
     return _rows_back(items, evolve(items, client, options).select("id", "text"), schema, id_)
 
 
-def align_table(df: DataFrame, id_: str, client: ModelClient, teachers: int = 2, suggestions: int = 3) -> DataFrame:
+def align_table(df: DataFrame, id_: str, client: ModelClient, options: AlignOptions = AlignOptions()) -> DataFrame:
     """Rows of a table improved as lines of JSON; a row whose line can't be read any more stays as it was."""
     items, schema = _table(df, id_)
-    return _rows_back(items, align(items, client, teachers, suggestions).select("id", F.col("final").alias("text")), schema, id_)
+    return _rows_back(items, align(items, client, options).select("id", F.col("final").alias("text")), schema, id_)
 
 
 def _rows_back(items: DataFrame, changed: DataFrame, schema: str, id_: str) -> DataFrame:

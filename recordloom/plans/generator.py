@@ -13,7 +13,7 @@ from ..operators import records, sampling
 from ..operators.common import saved
 from ..sources.readers import read_source
 from .config import DataField, DataModel
-from .model import ModelClient, apply_model
+from .model import ModelClient, infer
 
 RECORD = "{instructions}\nTASK: record\nFIELDS: {fields}\nDESCRIPTIONS:\n{descriptions}\nCONTEXT:\n{context}\nATTEMPT: {attempt}"
 FIELD = "{instructions}\nTASK: field\nFIELDS: {fields}\nDESCRIPTION: {about}\nCONTEXT:\n{context}\nSO FAR:\n{so_far}\nATTEMPT: {attempt}"
@@ -39,14 +39,10 @@ def _fields_of(names: list[str]) -> dict[str, Column]:
 
 
 def _respond(df: DataFrame, prompt: Column, out: str, client: ModelClient, job: DataModel, role: str = "nl", params: dict | None = None, whole: bool = False) -> DataFrame:
-    """Answers without their thinking: the output of a reflection (or all of it), or the text without tags."""
-    asked = apply_model(df.withColumn("__prompt", prompt), "__prompt", out, client, role, params)
-    asked = asked.withColumn("bytes_read", F.col("bytes_read") + F.octet_length(F.coalesce("__prompt", F.lit("")))).withColumn("bytes_written", F.col("bytes_written") + F.octet_length(F.coalesce(out, F.lit(""))))
-    if job.use_reflection:
-        answer = F.col(out) if whole else text.split_reflection(F.col(out))["output"]
-    else:
-        answer = text.remove_thinking(F.col(out))
-    return asked.withColumn(out, F.when(F.col(out).isNotNull(), answer)).drop("__prompt")
+    """Cleaned answers, as :func:`infer` gives them; bytes are added to those so far."""
+    asked = df.withColumn("__prompt", prompt).withColumnsRenamed({"bytes_read": "__read", "bytes_written": "__written"})
+    asked = infer(asked, "__prompt", out, client, job.use_reflection, whole, role=role, params=params)
+    return asked.withColumns({"bytes_read": F.col("bytes_read") + F.col("__read"), "bytes_written": F.col("bytes_written") + F.col("__written")}).drop("__prompt", "__read", "__written")
 
 
 def generate(df: DataFrame, job: DataModel, client: ModelClient, context: list[str]) -> DataFrame:
@@ -83,13 +79,11 @@ def evolve(df: DataFrame, job: DataModel, client: ModelClient, context: list[str
 
 
 def _sql(df: DataFrame, value: str, out: str, dialect: str = "ansi") -> DataFrame:
-    if dialect not in code.DIALECTS:
-        raise ValueError(f"unknown dialect: {dialect}")
-    return code.sql_errors(df.sparkSession, df, value).withColumnRenamed("error", out)
+    return code.sql_errors(df.sparkSession, df, value, dialect.lower()).withColumnRenamed("error", out)
 
 
 #: Validators by name: (table, column of values, column for errors, parameter...) to the table with errors, null if there are none.
-#: More can be put in; a name that isn't here asks the model. All SQL dialects are checked by the one parser there is.
+#: More can be put in; a name that isn't here asks the model.
 VALIDATORS: dict[str, Callable[..., DataFrame]] = {
     "json": lambda df, value, out, *_: df.withColumn(out, jsonx.json_error(F.col(value))),
     "python": lambda df, value, out, *_: df.withColumn(out, code.python_error(F.col(value))),
@@ -162,7 +156,7 @@ def run(spark: SparkSession, job: DataModel, client: ModelClient, seed: int = 0,
             break
         tries = missing if k == 0 else missing + missing // 2 + 4
         slots = spark.range(done, done + tries).select(F.col("id").alias("attempt"), F.pmod("id", F.lit(n_contexts)).alias("slot"))
-        df = slots.join(ctx, "slot").withColumn("bytes_read", F.lit(0)).withColumn("bytes_written", F.lit(0))
+        df = slots.join(ctx, "slot").withColumn("bytes_read", F.lit(0).cast("long")).withColumn("bytes_written", F.lit(0).cast("long"))
         df = saved(validate(evolve(generate(df, job, client, columns), job, client, columns, seed), job, client))
         tried = df if tried is None else tried.unionByName(df)
         valid = df.where("valid").count()

@@ -6,7 +6,8 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -14,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Settings of each role, over which a caller's don't win.
+#: Settings of a call, which a caller's replace.
+DEFAULTS = {"temperature": 0.8, "max_tokens": 2048, "top_p": 0.92}
+#: Settings of each role of the suite of three, over which a caller's don't win.
 ROLES = {"nl": {"temperature": 0.8, "max_tokens": 2048, "top_p": 0.92}, "code": dict(max_tokens=4096, temperature=0.2), "judge": dict(max_tokens=1024, temperature=0.1)}
 
 
@@ -24,6 +27,11 @@ class ModelClient(Protocol):
     def generate(self, prompts: list[str], role: str, params: dict) -> list[str]: ...
 
 
+#: What the model is told first: usually, and when it is to think before it answers.
+SYSTEM = "You help to build data sets. Answer with what is asked for and nothing else."
+REFLECTION = "Before you answer, reason about the task step by step inside <thinking> tags, and mend slips inside <reflection> tags within them. Then give the answer alone inside <output> tags."
+
+
 @dataclass
 class OfflineModel:
     """Answers made from the prompt alone, in the form that it asks for; faults come at the given rates, drawn from the prompt."""
@@ -70,6 +78,9 @@ class OfflineModel:
             return f"SELECT '{say}' AS answer"
         if kind == "fix_python":
             return f'answer = "{say}"'
+        if kind == "expand":
+            names = re.search(r"^SEEDS: (.*)$", prompt, re.M)
+            return "Here: " + json.dumps({"columns": [{"column_name": n, "all_values": sorted(set(self._phrase(prompt, n).split()))} for n in (names.group(1).split(", ") if names else [])]})
         if kind == "list":
             return json.dumps([f"{a}" for a in dict.fromkeys(say.split())])
         return say
@@ -82,7 +93,8 @@ class OfflineModel:
 class HttpModel:
     """A chat service that takes ``{model, messages, ...}`` and answers ``{choices: [{message: {content}}]}`` as JSON.
 
-    Only the settings in ``SUPPORTED`` are sent. A prompt whose request fails ``tries`` times has an empty answer.
+    Only the settings in ``SUPPORTED`` are sent; with ``flatten`` all messages go as one. ``parallel`` requests of a batch
+    are under way at a time. A prompt whose request fails ``tries`` times has an empty answer.
     """
 
     url: str
@@ -91,18 +103,26 @@ class HttpModel:
     system: str = "You are a helpful assistant."
     tries: int = 3
     timeout: float = 60.0
+    parallel: int = 8
+    flatten: bool = False
 
     SUPPORTED = ("temperature", "max_tokens", "top_p", "top_k")
 
     def generate(self, prompts: list[str], role: str, params: dict) -> list[str]:
         sent = {name: params[name] for name in self.SUPPORTED if name in params}
-        return [self._one(p, sent) for p in prompts]
+        if not prompts:
+            return []
+        with ThreadPoolExecutor(min(self.parallel, len(prompts))) as pool:
+            return list(pool.map(lambda p: self._one(p, sent), prompts))
 
     def _one(self, prompt: str, params: dict) -> str:
         from urllib.error import URLError
         from urllib.request import Request, urlopen
 
-        body = {"model": self.model, "messages": [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}], **params}
+        messages = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt}]
+        if self.flatten:
+            messages = [{"role": "user", "content": flatten_messages(messages)}]
+        body = {"model": self.model, "messages": messages, **params}
         request = Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", **self.headers})
         for _ in range(self.tries):
             try:
@@ -128,12 +148,33 @@ def ask_json(df: DataFrame, prompt: str, client: ModelClient, role: str = "nl")
     return asked.withColumn("thinking", text.extract_thinking(F.col("__answer"))).withColumn("json", jsonx.tagged_json(text.extract_output(F.col("__answer")))).drop("__answer")
 
 
-def apply_model(df: DataFrame, prompt: str, out: str, client: ModelClient, role: str = "nl", params: dict | None = None, batch: int = 256) -> DataFrame:
+def infer(df: DataFrame, prompt: str, out: str, client: ModelClient, use_reflection: bool = False, keep_thinking: bool = False, system: str | None = None, role: str = "nl", params: dict | None = None) -> DataFrame:
+    """``df`` with the answer to each prompt, put after a system message and cleaned, and ``bytes_read`` and ``bytes_written`` of the prompt and of the cleaned answer.
+
+    With ``use_reflection`` the model is told to think first, whatever ``system`` says; its output is taken, or with
+    ``keep_thinking`` the whole answer, and blocks of thinking are removed. Without it, newlines are tidied. A null prompt costs no call.
+    """
+    from ..functions import text
+
+    told = REFLECTION if use_reflection else SYSTEM if system is None else system
+    asked = apply_model(df.withColumn("__full", text.assembled(told, F.col(prompt))), "__full", out, client, role, params).drop("__full")
+    answer = F.col(out)
+    if use_reflection:
+        answer = text.remove_thinking(answer if keep_thinking else text.split_reflection(answer)["output"])
+    else:
+        answer = text.tidy_newlines(answer)
+    size = lambda c: F.octet_length(F.coalesce(F.col(c), F.lit(""))).cast("long")
+    asked = asked.withColumn(out, F.when(F.col(out).isNotNull(), answer))
+    return asked.withColumn("bytes_read", size(prompt)).withColumn("bytes_written", size(out))
+
+
+def apply_model(df: DataFrame, prompt: str, out: str, client: ModelClient, role: str = "nl", params: dict | None = None, batch: int = 256, suite: bool = False) -> DataFrame:
     """``df`` with the answer to each prompt, from batches; a null prompt costs no call and has a null answer.
 
+    A caller's settings replace ``DEFAULTS``; in the ``suite`` of three roles those of the role win over the caller's.
     The answers are marked as not deterministic, so that the planner never asks twice within one plan.
     """
-    settings = (params or {}) | ROLES.get(role, {})
+    settings = (params or {}) | ROLES.get(role, {}) if suite else DEFAULTS | (params or {})
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in columns:
@@ -199,3 +240,54 @@ def call_params(model: ModelEntry) -> dict:
     """A model's settings without those that name it and its server."""
     return {k: v for k, v in model.params.items() if k not in CONTROL_KEYS}
 
+
+
+@dataclass
+class Router:
+    """Several configured models behind one client: those of a name take turns, and where one fails or answers nothing the next is asked."""
+
+    clients: dict[str, list[ModelClient]]
+    name: str
+
+    def generate(self, prompts: list[str], role: str, params: dict) -> list[str]:
+        own = self.clients[self.name]
+        answers: list[str | None] = [None] * len(prompts)
+        for turn in range(len(own)):
+            for k, client in enumerate(own):
+                open_ = [i for i, a in enumerate(answers) if not a and (i + turn) % len(own) == k]
+                if not open_:
+                    continue
+                try:
+                    got = client.generate([prompts[i] for i in open_], role, params)
+                except OSError:
+                    continue
+                for i, text in zip(open_, got, strict=True):
+                    answers[i] = text
+        return [a or "" for a in answers]
+
+    def of(self, name: str) -> Router:
+        """The same models, asked under another name."""
+        if name not in self.clients:
+            raise KeyError(f"no model {name!r}")
+        return Router(self.clients, name)
+
+
+def http_client(entry: ModelEntry) -> HttpModel:
+    """A client for a configured model: its server is ``api_base``."""
+    headers = {"Authorization": f"Bearer {entry.params['api_key']}"} if entry.params.get("api_key") else {}
+    return HttpModel(entry.params["api_base"], entry.params.get("model", entry.name), headers)
+
+
+def create_router(models: list[ModelEntry], make: Callable[[ModelEntry], ModelClient] = http_client) -> Router:
+    """A router over configured models, first asked under the name of the first."""
+    if not models:
+        raise ValueError("no models")
+    clients: dict[str, list[ModelClient]] = {}
+    for entry in models:
+        clients.setdefault(entry.name, []).append(make(entry))
+    return Router(clients, models[0].name)
+
+
+def list_models(models: list[ModelEntry]) -> list[str]:
+    """The distinct names of configured models, in order."""
+    return list(dict.fromkeys(m.name for m in models))

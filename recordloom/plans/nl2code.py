@@ -12,6 +12,7 @@ from ..operators import sampling
 from ..operators.common import saved
 from .config import AutoConfig, ManualConfig
 from .model import ModelClient, apply_model
+from .pipeline import PromptSuite, register_prompts
 
 KINDS = ["question", "instruction", "scenario", "review"]
 CRITERIA = {"sql": ["relevance", "correctness", "readability", "scalability", "standards"], "python": ["relevance", "correctness", "readability", "efficiency", "pythonic"]}
@@ -21,6 +22,8 @@ REQUEST = "Write a {kind} in plain words that {lang} code can answer.\nTASK: tex
 CODE = "Write {lang} code.\nTASK: {lang}\nREQUEST: {request}\nCONTEXT: {context}"
 RUBRIC = "Score this code from 0 to 4 by each criterion.\nTASK: rubric\nCRITERIA: {criteria}\nREQUEST: {request}\nCONTEXT: {context}\nCODE: {code}"
 
+SUITE = register_prompts(PromptSuite("text-to-code", {"list": LIST, "context": CONTEXT, "request": REQUEST, "code": CODE, "rubric": RUBRIC}))
+
 
 def _lists(client: ModelClient, k: int, what: str, about: str, lang: str) -> list[str]:
     answer = client.generate([LIST.format(k=k, what=what, about=about, lang=lang)], "nl", {})[0]
@@ -44,7 +47,7 @@ def tag_tree(config: AutoConfig | ManualConfig, client: ModelClient) -> tuple[di
     return {d: t for d, t in domains.items() if t}, levels
 
 
-def run(spark: SparkSession, config: AutoConfig | ManualConfig, client: ModelClient, n: int, seed: int = 0) -> DataFrame:
+def run(spark: SparkSession, config: AutoConfig | ManualConfig, client: ModelClient, n: int, seed: int = 0, prompts: PromptSuite = SUITE) -> DataFrame:
     """``n`` records, without those that the model left empty.
 
     SQL: ``uid, domain, topic, complexity, sql_context, full_prompt, nl_type, natural_language, code``, five scores with
@@ -59,7 +62,7 @@ def run(spark: SparkSession, config: AutoConfig | ManualConfig, client: ModelCli
     tag = {"domain": F.col("domain"), "topic": F.col("topic"), "level": F.col("complexity"), "slot": F.col("slot")}
     if lang == "sql":
         k = hashing.integer(3, 6, hashing.u01(seed, "tables", F.col("slot")))
-        df = saved(apply_model(df.withColumn("__p", text.render(CONTEXT, {"k": k, **tag})), "__p", "__a", client, "code"))
+        df = saved(apply_model(df.withColumn("__p", prompts.fill("context", {"k": k, **tag})), "__p", "__a", client, "code", suite=True))
         df = df.withColumn("sql_context", text.extract_code(F.col("__a"))).drop("__p", "__a")
         context = F.col("sql_context")
     else:
@@ -67,15 +70,13 @@ def run(spark: SparkSession, config: AutoConfig | ManualConfig, client: ModelCli
         k = hashing.integer(5, 8, hashing.u01(seed, "packages", F.col("slot")))
         df = df.withColumn("suggested_packages", sampling.subset(F.array(*map(F.lit, every)), k, seed, F.col("slot")))
         context = F.array_join("suggested_packages", ", ")
-    df = saved(apply_model(df.withColumn("__p", text.render(REQUEST, {"kind": F.col("nl_type"), "lang": lang, "context": context, **tag})), "__p", "__a", client, "nl"))
+    df = saved(apply_model(df.withColumn("__p", prompts.fill("request", {"kind": F.col("nl_type"), "lang": lang, "context": context, **tag})), "__p", "__a", client, "nl", suite=True))
     df = df.withColumn("natural_language", text.unquote(text.strip(F.col("__a")))).drop("__p", "__a")
-    df = df.withColumn("full_prompt", text.render(CODE, {"lang": lang, "request": F.col("natural_language"), "context": context}))
-    df = saved(apply_model(df, "full_prompt", "__a", client, "code")).withColumn("code", text.extract_code(F.col("__a"))).drop("__a")
-    ask = text.render(RUBRIC, {"criteria": ", ".join(CRITERIA[lang]), "request": F.col("natural_language"), "context": context, "code": F.col("code")})
-    df = saved(apply_model(df.withColumn("__p", ask), "__p", "__a", client, "judge"))
-    scores = jsonx.largest_object(F.col("__a"))
-    for c in CRITERIA[lang]:
-        df = df.withColumn(f"{c}_score", F.get_json_object(scores, f"$.{c}.score").try_cast("int")).withColumn(f"{c}_reason", F.get_json_object(scores, f"$.{c}.reasoning"))
+    df = df.withColumn("full_prompt", prompts.fill("code", {"lang": lang, "request": F.col("natural_language"), "context": context}))
+    df = saved(apply_model(df, "full_prompt", "__a", client, "code", suite=True)).withColumn("code", text.extract_code(F.col("__a"))).drop("__a")
+    ask = prompts.fill("rubric", {"criteria": ", ".join(CRITERIA[lang]), "request": F.col("natural_language"), "context": context, "code": F.col("code")})
+    df = saved(apply_model(df.withColumn("__p", ask), "__p", "__a", client, "judge", suite=True))
+    df = df.select("*", *jsonx.flat_scores(jsonx.largest_object(F.col("__a")), CRITERIA[lang]))
     df = df.drop("__p", "__a").where(F.col("code").rlike(r"\S") & F.col("natural_language").rlike(r"\S"))
     if config.syntax_validation:
         df = code.sql_errors(spark, df, "code") if lang == "sql" else df.withColumn("error", code.python_error(F.col("code")))

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, text
 from ..operators import sampling, tags
 from ..operators.common import saved
-from ..sources.readers import rows_of_json
+from ..sources.readers import names_agree, objects_of_json
 from .model import ModelClient, apply_model
 
 COLUMNS = "Which columns, not in the sample, would make its rows differ?\nTASK: columns\nWORKER: {worker}\nSAMPLE:\n{sample}"
 ROWS = "Write {k} rows like the sample.\nTASK: rows\nPROMPT: {prompt}\nSEEDS: {seeds}\nCOLUMNS: {columns}\nTRY: {attempt}\nSAMPLE:\n{sample}"
 
 
+EXPAND = "List all values that each of these columns may have.\nTASK: expand\nSEEDS: {names}\nPROPOSED: {proposed}\nTRY: {attempt}\nAnswer with a JSON object that has the key columns, a list of objects with column_name and all_values."
 DESCRIBE = "Describe this data set.\nTASK: describe\nCONTEXT: {context}\nCOLUMNS: {columns}\nSAMPLE:\n{sample}"
 PROMPT = "Write a prompt that makes rows of this data set.\nTASK: prompt\nDESCRIPTION: {description}\nSEEDS: {seeds}"
 
@@ -57,6 +58,41 @@ def propose(spark: SparkSession, sample: DataFrame, client: ModelClient, o: Opti
     return {r["column_name"]: r["v"] for r in best.select("column_name", values.alias("v")).collect() if r["v"]}
 
 
+def keyed_list(data: object, key: str = "columns") -> dict:
+    """Parsed JSON as an object: nothing as an empty list under ``key``, a list as that under ``key``, an object as it is."""
+    if isinstance(data, dict):
+        return data
+    return {key: data if isinstance(data, list) else []}
+
+
+def _values(column: dict) -> list[str]:
+    """A column's values: a text is split at commas, as is a list of one text with commas."""
+    values = column["all_values"]
+    if isinstance(values, list) and len(values) == 1 and isinstance(values[0], str) and "," in values[0]:
+        values = values[0]
+    if isinstance(values, str):
+        values = [v.strip() for v in values.split(",")]
+    if not isinstance(values, list):
+        raise ValueError(f"no list of values: {values!r}")
+    return [str(v) for v in values if str(v).strip()]
+
+
+def expand(seeds: dict[str, list[str]], client: ModelClient, tries: int = 3) -> dict[str, list[str]]:
+    """Seeds with the values that the model gives for each when asked for all of them; a seed that it leaves out keeps those proposed. Raises after so many tries without a usable answer."""
+    if not seeds:
+        return {}
+    for k in range(tries):
+        answer = client.generate([EXPAND.format(names=", ".join(seeds), proposed=json.dumps(seeds, ensure_ascii=False), attempt=k)], "nl", {})[0]
+        try:
+            columns = keyed_list(json.loads(jsonx.repair(answer) or "null"))["columns"]
+            made = {str(c["column_name"]): _values(c) for c in columns}
+        except (json.JSONDecodeError, KeyError, TypeError, ValueError):
+            continue
+        if made:
+            return {name: made.get(name) or values for name, values in seeds.items()}
+    raise RuntimeError(f"no values after {tries} tries")
+
+
 def _ask(client: ModelClient, prompt: str, key: str, tries: int) -> str:
     """A text under ``key`` in the answer's JSON; raises after so many tries without one."""
     for k in range(tries):
@@ -82,15 +118,15 @@ def generation_prompt(sample: DataFrame, seeds: dict[str, list[str]], client: Mo
 
 
 def run(spark: SparkSession, sample: DataFrame, client: ModelClient, options: Options = Options(), prompt: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The generated rows, and the same with the seed columns; the prompt template comes from the model if none is given. Answers without rows, or with other columns, are asked for again."""
+    """The generated rows, in drawn order, and the same with the seed columns; the prompt template comes from the model if none is given. Answers without rows, or whose rows together have other names than the sample's columns, are asked for again."""
     o = options
     new = tags.scrub_names(sample.columns)
     sample = tags.zip_rename(sample, [new[c] for c in sample.columns])
     columns = sample.columns
-    seeds = propose(spark, sample, client, o)
+    seeds = expand(propose(spark, sample, client, o), client, o.retries)
     names = list(seeds)
     each = sampling.seed_permutations(spark, seeds, o.max_permutations, o.seed)
-    each = saved(each.where(F.col("id") < -(-o.num_records // o.rows_per_seed)))
+    each = saved(sampling.first_seeds(each, o.num_records, o.rows_per_seed))
     shown = _sample_text(sample, o.sample_rows, o.seed)
     prompt = prompt or generation_prompt(sample, seeds, client, o)
     todo, made = each, None
@@ -99,13 +135,14 @@ def run(spark: SparkSession, sample: DataFrame, client: ModelClient, options: Op
         ask = text.render(ROWS, {"k": str(o.rows_per_seed), "prompt": text.render(prompt, {n: F.col(f"`{n}`") for n in names}), "seeds": seed_text, "columns": ", ".join(columns), "attempt": str(attempt), "sample": shown})
         answers = saved(apply_model(todo.withColumn("__prompt", ask), "__prompt", "__answer", client, "nl"))
         body = answers.select("id", jsonx.tagged_json(text.extract_output(F.col("__answer"))).alias("__json"))
-        rows = saved(rows_of_json(body, "__json", columns, ["id"]))
-        whole = rows.groupBy("id").agg(F.bool_and(F.coalesce(*[F.col(f"`{c}`").isNull() for c in columns], F.lit(False)) == F.lit(False)).alias("ok"))
-        fine = whole.where("ok").select("id")
+        objects = saved(objects_of_json(body, "__json", ["id"]))
+        fine = names_agree(objects, "id", columns).where("ok").select("id")
+        rows = objects.select("id", *[F.try_element_at("object", F.lit(c)).alias(c) for c in columns])
         got = rows.join(fine, "id", "left_semi")
         made = got if made is None else made.unionByName(got)
         todo = saved(todo.join(fine, "id", "left_anti"))
         if todo.isEmpty():
             break
-    joined = made.join(each, "id")
+    joined = saved(made.withColumn("__place", F.xxhash64("id", *columns)).join(each, "id"))
+    joined = sampling.shuffle_rows(joined, "__place", o.seed)
     return joined.select(*columns), joined.select(*columns, *[F.col(f"`{n}`") for n in names])

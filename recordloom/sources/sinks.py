@@ -5,32 +5,61 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, is_dataclass
+from itertools import count
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.java_gateway import JavaObject
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _names(base: str) -> Iterator[str]:
+    stem, dot, ext = base.rpartition(".") if "." in Path(base).name else (base, "", "")
+    yield base
+    for k in count(1):
+        yield f"{stem}_{k}{dot}{ext}"
 
 
 def unused_path(spark: SparkSession, base: str) -> str:
     """``base``, or ``base_1``, ``base_2``, ... before the extension: the first that isn't there."""
-    stem, dot, ext = base.rpartition(".") if "." in Path(base).name else (base, "", "")
-    path, k = base, 1
-    while _exists(spark, path):
-        path, k = f"{stem}_{k}{dot}{ext}", k + 1
-    return path
+    return next(p for p in _names(base) if not _system(spark, p)[0].exists(_system(spark, p)[1]))
 
 
-def write_jsonl(df: DataFrame, path: str) -> str:
-    """Write rows as lines of JSON under a path that isn't used; the path."""
-    path = unused_path(df.sparkSession, path)
-    df.write.mode("errorifexists").json(path)
-    return path
+def write_jsonl(df: DataFrame, base: str) -> str:
+    """Write rows as lines of JSON under the first path of :func:`unused_path` that nobody else is writing to; the path.
+
+    A path is claimed by a file beside it, which file systems make for one only, and which goes when all is written.
+    """
+    spark = df.sparkSession
+    for path in _names(base):
+        folder, _, name = path.rpartition("/")
+        claim = f"{folder}/.{name}.claim" if folder else f".{name}.claim"
+        system, mark = _system(spark, claim)
+        if system.exists(_system(spark, path)[1]) or not system.createNewFile(mark):
+            continue
+        try:
+            if not system.exists(_system(spark, path)[1]):
+                df.write.mode("errorifexists").json(path)
+                return path
+        finally:
+            system.delete(mark, False)
+    raise AssertionError
+
+
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Write one batch of a growing artefact, as lines of JSON; a batch that is written again replaces itself, and no other is rewritten."""
+    df.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches of an artefact, with their number as ``batch``."""
+    return spark.read.schema(f"{schema}, batch int").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -66,3 +95,11 @@ def records(df: DataFrame) -> Iterator[dict]:
 def show(df: DataFrame, n: int = 1) -> None:
     """Print rows, a line for each field."""
     df.show(n, truncate=False, vertical=True)
+
+
+def rendered(df: DataFrame, *columns: str, width: int = 0) -> Column:
+    """A row for display: a line for each column, its name as a title and its value, nulls as a dash."""
+    from ..functions.text import title
+
+    names = columns or tuple(df.columns)
+    return F.array_join(F.array(*[F.concat(title(F.lit(c), width), F.lit(": "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))) for c in names]), "\n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,15 @@ def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def run_until(query: StreamingQuery, stop: threading.Event, poll: float = 0.2) -> bool:
+    """Wait for a stream to end, or for the event, on which it is stopped; whether it ended by itself. A batch that is under way then is made again when the stream starts next."""
+    while not query.awaitTermination(poll):
+        if stop.is_set():
+            query.stop()
+            return False
+    return True
+
+
 def windowed(events: DataFrame, time: str, key: str, length: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Counts by key in tumbling or sliding windows; on streams, rows later than ``delay`` are dropped."""
     stamped = events.withColumn("__t", F.col(time).cast("timestamp"))
