@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import code, hashing, jsonx, text
 from ..operators import analytics, records, sampling, tags
 from ..operators.common import shared_dir
+from ..sources import readers
 from ..streaming import flows
 from . import configgen, evolution, generator, sample_to_dataset, validation
 from . import nl2code as nl2code_plan
@@ -38,14 +40,37 @@ def U(seed: int, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 8))::BIGINT / 4294967296.0)"
 
 
+_WORDS = "amber basin cedar delta ember field grove harbor island juniper kernel lantern meadow north orchard prairie".split()
+
+
+def FILLED(template: str, **values: str) -> str:
+    """SQL for a prompt template with SQL expressions for its placeholders."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return "(" + " || ".join(f"({values[p]})" if k % 2 else "'" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for k, p in enumerate(parts)) + ")"
+
+
+def DRAW(template: str, salt: str, n: int, **values: str) -> str:
+    """SQL for the offline model's draw of 0 to ``n`` - 1 from a prompt."""
+    return f"floor(('0x' || substr(md5('0|{salt}|' || {FILLED(template, **values)}), 1, 8))::BIGINT / 4294967296.0 * {n})::INT"
+
+
+def PHRASE(template: str, salt: str, **values: str) -> str:
+    """SQL for the offline model's phrase for a prompt."""
+    prompt = FILLED(template, **values)
+    return f"array_to_string([{_WORDS}[1 + floor(('0x' || substr(md5('0|{salt}' || i || '|' || {prompt}), 1, 8))::BIGINT / 4294967296.0 * 16)::INT] for i in range(6)], ' ')"
+
+
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 # Scans, projections, filters
 
-@query("scan_project_fields", "documents", sql="SELECT doc_id, lang FROM documents")
-def scan_project_fields(documents):
-    return documents.select("doc_id", "lang")
+def scan_project_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields of a Parquet export."""
+    return readers.read_source(spark, DataSource(f"{sf_dir}/documents.parquet", "huggingface", ["doc_id", "lang"]))
+
+
+QUERIES["scan_project_fields"], SQL["scan_project_fields"] = scan_project_fields, "SELECT doc_id, lang FROM documents"
 
 
 @query("required_fields_valid", "documents", "labels", sql="""
@@ -72,15 +97,16 @@ def judge_gate(labels):
     return judged.select("*", records.passes(F.col("response")).alias("passed"), records.verdict(F.col("response")).alias("error"))
 
 
-@query("flag_filters", "labels", sql="SELECT doc_id, (quality = 1 AND toxic = 0) AS clean FROM labels WHERE quality IS NOT NULL AND NOT (quality = 0 AND toxic = 1)")
+@query("flag_filters", "labels", sql="SELECT doc_id, (quality = 1 AND toxic = 0) AS clean FROM labels WHERE quality IS NOT NULL AND (quality = 1 AND toxic = 0) IS NOT NULL AND NOT (quality = 0 AND toxic = 1)")
 def flag_filters(labels):
-    return labels.where(F.col("quality").isNotNull() & ~((F.col("quality") == 0) & (F.col("toxic") == 1))).select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("clean"))
+    kept = records.flagged(labels.where("quality IS NOT NULL"), (F.col("quality") == 1) & (F.col("toxic") == 0), ~((F.col("quality") == 0) & (F.col("toxic") == 1)))
+    return kept.select("doc_id", F.col("flag").alias("clean"))
 
 
 @query("coalesce_dialects", "documents", sql="""
 SELECT doc_id, coalesce(CASE WHEN lang = 'en' THEN 'english' END, CASE WHEN source = 'src0' THEN 'hot' END, CASE WHEN n_chars > 2000 THEN 'long' END, 'other') AS verdict FROM documents""")
 def coalesce_dialects(documents):
-    return documents.select("doc_id", F.coalesce(F.when(F.col("lang") == "en", "english"), F.when(F.col("source") == "src0", "hot"), F.when(F.col("n_chars") > 2000, "long"), F.lit("other")).alias("verdict"))
+    return documents.select("doc_id", records.first_verdict((F.col("lang") == "en", "english"), (F.col("source") == "src0", "hot"), (F.col("n_chars") > 2000, "long"), default="other").alias("verdict"))
 
 
 # Generators and samplers
@@ -124,9 +150,14 @@ def hierarchical_draw(customer):
 
 _A, _B, _C = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(15)], [f"c{i}" for i in range(11)]
 QUERIES["seed_permutations"] = lambda spark, sf_dir: sampling.seed_permutations(spark, {"a": _A, "b": _B, "c": _C}, 500, seed=2)
-SQL["seed_permutations"] = """
-WITH p AS (SELECT range AS n FROM range(0, 12 * 15 * 11) ORDER BY md5(concat_ws('|', '2', range)), range LIMIT 500)
-SELECT row_number() OVER (ORDER BY md5(concat_ws('|', '2', n)), n) - 1 AS id, 'a' || (n // 165) AS a, 'b' || ((n // 11) % 15) AS b, 'c' || (n % 11) AS c FROM p"""
+_ROUND = "('0x' || substr(md5(concat_ws('|', '2', '{k}', {other})), 1, 15))::BIGINT"
+SQL["seed_permutations"] = f"""
+WITH r0 AS (SELECT range AS id, range // 165 AS l, range % 165 AS r FROM range(0, 500)),
+r1 AS (SELECT id, (l + {_ROUND.format(k=0, other='r')}) % 12 AS l, r FROM r0),
+r2 AS (SELECT id, l, (r + {_ROUND.format(k=1, other='l')}) % 165 AS r FROM r1),
+r3 AS (SELECT id, (l + {_ROUND.format(k=2, other='r')}) % 12 AS l, r FROM r2),
+r4 AS (SELECT id, l, (r + {_ROUND.format(k=3, other='l')}) % 165 AS r FROM r3)
+SELECT id, 'a' || l AS a, 'b' || (r // 11) AS b, 'c' || (r % 11) AS c FROM r4"""
 
 
 @query("round_robin_contexts", "events", "nation", sql="""
@@ -171,9 +202,9 @@ def format_record(labels):
 
 
 @query("reflection_split", "conversations", sql=rf"""
-SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN '<thinking>' || {STRIP.format('left(text, 40)')} || '</thinking>' ELSE '' END AS thinking, {STRIP.format('text')} AS output FROM conversations""")
+SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN '<thinking>' || {STRIP.format('text')} || '</thinking>' ELSE '' END AS thinking, {STRIP.format('text')} AS output FROM conversations""")
 def reflection_split(conversations):
-    wrapped = F.when(F.col("role") == "assistant", F.concat(F.lit("a <thinking>"), text.strip(F.left("text", F.lit(40))), F.lit("</thinking> b <output>\n"), F.col("text"), F.lit("</output>"))).otherwise(F.concat(F.lit("<output>"), F.col("text")))
+    wrapped = F.when(F.col("role") == "assistant", F.concat(F.lit("a <thinking>"), text.strip(F.col("text")), F.lit("</thinking> b <output>\n"), F.col("text"), F.lit("</output>"))).otherwise(F.concat(F.lit("<output>"), F.col("text")))
     parts = conversations.select("conv_id", "turn", text.split_reflection(wrapped).alias("s"))
     return parts.select("conv_id", "turn", "s.thinking", "s.output")
 
@@ -245,10 +276,7 @@ def fill_seed_templates(part):
 @query("chat_flatten", "conversations", sql="""
 SELECT conv_id, CASE WHEN count(*) = 1 THEN any_value(text) ELSE string_agg(upper(role) || ':' || chr(10) || text || chr(10) || '---', chr(10) || chr(10) ORDER BY turn) END AS joined FROM conversations GROUP BY conv_id""")
 def chat_flatten(conversations):
-    many = F.concat(F.upper("role"), F.lit(":\n"), F.col("text"), F.lit("\n---"))
-    items = F.array_sort(F.collect_list(F.struct("turn", many.alias("p"), "text")))
-    grouped = conversations.groupBy("conv_id").agg(items.alias("m"))
-    return grouped.select("conv_id", F.when(F.size("m") == 1, F.col("m")[0]["text"]).otherwise(F.array_join(F.transform("m", lambda x: x["p"]), "\n\n")).alias("joined"))
+    return text.chat_parts(conversations, "conv_id", "turn", "role", "text")
 
 
 @query("byte_accounting", "conversations", sql="""
@@ -295,8 +323,8 @@ def json_candidates_largest(events):
 @query("jsonl_roundtrip", "nation", sql="SELECT n_regionkey, count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY n_regionkey")
 def jsonl_roundtrip(nation):
     lines = analytics.joined_text(nation.withColumn("line", F.to_json(F.struct("n_nationkey", "n_name"))), "n_regionkey", "n_nationkey", F.col("line"), "\n")
-    rows = lines.select("n_regionkey", F.explode(F.split("joined", "\n")).alias("line")).select("n_regionkey", F.from_json("line", "n_nationkey bigint, n_name string").alias("r"))
-    return rows.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sum("r.n_nationkey").alias("total"))
+    rows = readers.lines_of_json(lines, "joined", "n_nationkey bigint, n_name string", ["n_regionkey"])
+    return rows.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sum("n_nationkey").alias("total"))
 
 
 @query("normalise_values_list", "part", sql="SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [p_brand, p_type] ELSE [p_brand, p_name, 'x, y'] END AS vals FROM part")
@@ -367,13 +395,12 @@ def model_tag_semi_join(customer):
 @query("generated_join_seeds", "lineitem", "part", sql="SELECT l_orderkey, l_linenumber, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey")
 def generated_join_seeds(lineitem, part):
     generated = lineitem.select(F.col("l_partkey").alias("id"), "l_orderkey", "l_linenumber")
-    return generated.join(part.select(F.col("p_partkey").alias("id"), "p_brand", "p_type"), "id").drop("id")
+    return records.with_seeds(generated, part.select(F.col("p_partkey").alias("id"), "p_brand", "p_type"))
 
 
 @query("dialect_lookup", "documents", sql="SELECT doc_id, CASE lang WHEN 'en' THEN 'ansi' WHEN 'de' THEN 'postgres' ELSE 'generic' END AS dialect FROM documents")
 def dialect_lookup(documents):
-    table = F.create_map(F.lit("en"), F.lit("ansi"), F.lit("de"), F.lit("postgres"))
-    return documents.select("doc_id", F.coalesce(F.try_element_at(table, F.col("lang")), F.lit("generic")).alias("dialect"))
+    return documents.select("doc_id", records.lookup(F.col("lang"), {"en": "ansi", "de": "postgres"}, "generic").alias("dialect"))
 
 
 @query("zip_rename", "region", sql="SELECT r_regionkey AS id, r_name AS label FROM region")
@@ -384,7 +411,7 @@ def zip_rename(region):
 @query("union_by_name", "customer", "supplier", sql="SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
 def union_by_name(customer, supplier):
     a = customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    return a.unionByName(supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key")), allowMissingColumns=True)
+    return readers.unioned([a, supplier.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))])
 
 
 @query("best_of_generation", "part", sql="SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 2")
@@ -444,7 +471,7 @@ def success_counters(labels):
 
 @query("lint_code_sets", "events", sql="SELECT user_id, list_sort(list(DISTINCT event_type)) AS codes FROM events GROUP BY user_id")
 def lint_code_sets(events):
-    return events.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("codes"))
+    return analytics.code_sets(events, "user_id", "event_type")
 
 
 # Code checks
@@ -468,6 +495,24 @@ def sql_syntax_part(part):
     return sql_syntax(part.withColumnRenamed("p_partkey", "n_nationkey")).withColumnRenamed("n_nationkey", "p_partkey")
 
 
+@query("sql_syntax_orders", "orders", sql="SELECT o_orderkey, o_orderkey % 3 <> 1 AS valid FROM orders")
+def sql_syntax_orders(orders):
+    """A statement of its own for each order, in a dialect that the executors parse."""
+    k = F.col("o_orderkey")
+    sql = F.when(k % 3 == 1, F.concat(F.lit("SELECT FROM WHERE "), k)).otherwise(F.concat(F.lit("SELECT o_custkey FROM orders WHERE o_orderkey = "), k))
+    return code.sql_errors(orders.sparkSession, orders.select("o_orderkey", sql.alias("q")), "q", "postgres").select("o_orderkey", F.col("error").isNull().alias("valid"))
+
+
+@query("sql_dialects", "nation", sql="SELECT n_nationkey, n_nationkey % 3 <> 1 AS postgres, n_nationkey % 3 <> 1 AS sqlite, n_nationkey % 3 <> 1 AS sparksql FROM nation")
+def sql_dialects(nation):
+    """The same statements by each of the three parsers."""
+    k = F.col("n_nationkey")
+    df = nation.select("n_nationkey", F.when(k % 3 == 1, F.concat(F.lit("SELEC a FRM t "), k)).otherwise(F.concat(F.lit("SELECT a FROM t WHERE b = "), k)).alias("q"))
+    for dialect in ("postgres", "sqlite", "sparksql"):
+        df = code.sql_errors(nation.sparkSession, df, "q", dialect).withColumn(dialect, F.col("error").isNull()).drop("error")
+    return df.drop("q")
+
+
 @query("query_and_schema_pairs", "nation", sql="SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '***Schema error: bad' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN '***Query error: worse' ELSE '' END AS error FROM nation")
 def query_and_schema_pairs(nation):
     k = F.col("n_nationkey")
@@ -594,4 +639,15 @@ QUERIES["nl2code_sql"], QUERIES["nl2code_python"] = nl2code("sql"), nl2code("pyt
 QUERIES["sample_to_dataset"] = lambda spark, sf_dir: sample_to_dataset.run(spark, spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("Title"), F.col("c_mktsegment").alias("body")), OfflineModel())[1]
 QUERIES["evolution_generations"] = lambda spark, sf_dir: evolution.evolve(_texts(spark, sf_dir), OfflineModel())
 QUERIES["aaa_pipeline"] = lambda spark, sf_dir: evolution.align(_texts(spark, sf_dir), OfflineModel())
+SQL["evolution_generations"] = f"SELECT doc_id AS id, NULL::VARCHAR AS context, {PHRASE(evolution.MUTATE, 'nl', context=chr(39) * 2, text='text')} AS text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL"
+SQL["aaa_pipeline"] = f"""
+WITH taught AS (SELECT doc_id AS id, text, {PHRASE(evolution.TEACH, 'nl', teacher="'0'", context="''", text='text')} AS t0, {PHRASE(evolution.TEACH, 'nl', teacher="'1'", context="''", text='text')} AS t1 FROM documents WHERE text IS NOT NULL),
+co AS (SELECT *, CASE WHEN t0 = t1 THEN t0 ELSE [t0, t1][1 + {DRAW(evolution.SELECT, 'o', 2, options="'[\"' || t0 || '\",\"' || t1 || '\"]'")}] END AS co_taught FROM taught),
+told AS (SELECT *, [{PHRASE(evolution.SUGGEST, 'nl', k="'3'", text='text', improved='co_taught')}, {PHRASE(evolution.SUGGEST, '2', k="'3'", text='text', improved='co_taught')}, 'No suggestion'] AS suggestions FROM co),
+own AS (SELECT *, {PHRASE(evolution.SELF, 'nl', suggestions="array_to_string(suggestions, '; ')", text='co_taught')} AS self_taught FROM told)
+SELECT id, text, NULL::VARCHAR AS context, co_taught, suggestions, self_taught, list_distinct_in_order[1 + {DRAW(evolution.SELECT, 'o', 2, options="to_json(list_distinct_in_order)::VARCHAR")}] AS final
+FROM (SELECT *, CASE WHEN co_taught = self_taught THEN [text, co_taught] ELSE [text, co_taught, self_taught] END AS list_distinct_in_order FROM own)"""
 QUERIES["config_generator"] = lambda spark, sf_dir: spark.createDataFrame([(t.name, t.values) for t in configgen.expand_tags("questions about gardens", OfflineModel(), 1000).tags], "name string, vals array<string>")
+
+
+from . import catalog_more  # noqa: E402, F401 - registers further queries

@@ -46,6 +46,11 @@ def survivors(df: DataFrame, item: str, score: Column, order: str, k: int) -> Da
     return df.withColumn("__score", score).withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__score", "__rank")
 
 
+def distinct_texts(texts: Column) -> Column:
+    """Each text once, where it is first."""
+    return F.array_distinct(texts)
+
+
 def _json_text(response: Column, key: str) -> Column:
     got = F.get_json_object(jsonx.largest_object(response), f"$.{key}")
     return F.when(got.rlike(r"\S"), got)
@@ -95,7 +100,7 @@ def align(items: DataFrame, client: ModelClient, options: AlignOptions = AlignOp
         prompt = F.when(F.col("text").isNotNull(), render(TEACH, {"teacher": str(t), "context": F.coalesce("context", F.lit("")), "text": F.col("text")}))
         out = apply_model(out.withColumn("__prompt", prompt), "__prompt", "__answer", client, "nl", teach)
         out = out.withColumn("versions", F.array_append("versions", F.coalesce(_json_text(F.col("__answer"), "improved_text"), F.col("text")))).drop("__prompt", "__answer")
-    distinct = F.array_distinct(F.slice("versions", 2, teachers))
+    distinct = distinct_texts(F.slice("versions", 2, teachers))
     out = saved(out.withColumn("__options", distinct))
     out = _choose(out, client, "co_taught")
     prompt = F.when(F.col("text").isNotNull(), render(SUGGEST, {"k": str(suggestions), "text": F.col("text"), "improved": F.col("co_taught")}))
@@ -105,7 +110,7 @@ def align(items: DataFrame, client: ModelClient, options: AlignOptions = AlignOp
     prompt = F.when(F.col("text").isNotNull(), render(SELF, {"suggestions": F.array_join("suggestions", "; "), "text": F.col("co_taught")}))
     out = apply_model(out.withColumn("__prompt", prompt), "__prompt", "__answer", client, "nl", teach)
     out = out.withColumn("self_taught", F.coalesce(_json_text(F.col("__answer"), "improved_text"), F.col("co_taught"))).drop("__prompt", "__answer")
-    return _choose(out.withColumn("__options", F.array_distinct(F.array("text", "co_taught", "self_taught"))), client, "final").drop("versions")
+    return _choose(out.withColumn("__options", distinct_texts(F.array("text", "co_taught", "self_taught"))), client, "final").drop("versions")
 
 
 def _choose(df: DataFrame, client: ModelClient, name: str) -> DataFrame:
