@@ -43,7 +43,8 @@ def python_error(code: pd.Series) -> pd.Series:
     return code.map(_parse_error).astype(object)
 
 
-def _score(code: str | None) -> float | None:
+def score_of(code: str | None) -> float | None:
+    """:func:`semantic_score` of one text."""
     if code is None:
         return None
     try:
@@ -70,7 +71,7 @@ def _score(code: str | None) -> float | None:
 @F.pandas_udf(DoubleType())
 def semantic_score(code: pd.Series) -> pd.Series:
     """0 to 10: 10 less 10 issues a statement, of missing docstrings, odd indents and imports that can't be found; 0 for what isn't Python."""
-    return code.map(_score).astype(float)
+    return code.map(score_of).astype(float)
 
 
 def _names(code: str | None) -> str | None:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, jsonx, text
+from ..functions import code, hashing, jsonx, text
 from ..operators import analytics, records, sampling, tags
 from ..sources import readers, sinks
 from ..streaming import flows
-from . import generator, validation
-from .catalog import PHRASE, QUERIES, SQL, STRIP, DRAW, U, _case, _folder, _stream_of, query
-from .config import DataField, DataModel, DataSource, Tag, Tags
+from . import generator, nl2code, validation
+from .catalog import DRAW, FILLED, PHRASE, QUERIES, SQL, STRIP, U, _case, _folder, _stream_of, query
+from .config import AutoConfig, DataField, DataModel, DataSource, Tag, Tags
 from .model import REFLECTION, SYSTEM, OfflineModel, infer
 from .pipeline import Pipeline
 
@@ -397,6 +397,78 @@ def job_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["job_attempts"], SQL["job_attempts"] = job_attempts, _job_sql()
 
 
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(map(_lit, values)) + "]"
+
+
+_PYTHON = 'def answer():\n    """Give a phrase."""\n    return "{}"'
+
+
+def _nl2code_sql(lang: str) -> str:
+    """The records of the query ``nl2code_<lang>``, with the offline model's answers."""
+    config = AutoConfig(code_lang=lang, num_domains=3, num_topics_per_domain=3, semantic_validation=True)
+    tree, levels = nl2code.tag_tree(config, OfflineModel())
+    topics = "CASE domain " + " ".join(f"WHEN {_lit(d)} THEN {_list(t)}" for d, t in tree.items()) + " END"
+    pick = lambda values, name: f"{values}[1 + floor({U(0, _lit(name), 'slot')} * len({values}))::INT]"
+    tag = {"domain": "domain", "topic": "topic", "level": "complexity", "slot": "slot::VARCHAR"}
+    if lang == "sql":
+        answer = PHRASE(nl2code.CONTEXT, "code", k=f"(3 + floor({U(0, _lit('tables'), 'slot')} * 3)::INT)::VARCHAR", **tag)
+        made, context, code_, last = f"'SELECT ''' || {answer} || ''' AS answer;' AS sql_context", "sql_context", "'SELECT ''' || said || ''' AS answer;'", ""
+    else:
+        every = _list(nl2code._lists(OfflineModel(), 20, "packages", "python", "python") or ["json"])
+        made = f"list_transform(list_sort(list_transform({every}, lambda v: {{'h': md5(concat_ws('|', '0', slot, v)), 'v': v}}))[1:5 + floor({U(0, _lit('packages'), 'slot')} * 3)::INT], lambda x: x.v) AS suggested_packages"
+        before, after = _PYTHON.split("{}")
+        context, code_, last = "array_to_string(suggested_packages, ', ')", f"{_lit(before)} || said || {_lit(after)}", f", {code.score_of(_PYTHON)!r}::DOUBLE AS semantic_validation"
+    ask = {"criteria": _lit(", ".join(nl2code.CRITERIA[lang])), "request": "natural_language", "context": context, "code": "code"}
+    scores = ", ".join(f"{DRAW(nl2code.RUBRIC, c, 5, **ask)} AS {c}_score, reason AS {c}_reason" for c in nl2code.CRITERIA[lang])
+    return f"""
+WITH slots AS (SELECT range AS slot FROM range(0, (SELECT count(*) FROM supplier))), d AS (SELECT slot, {pick(_list(list(tree)), "domain")} AS domain FROM slots),
+t AS (SELECT *, {topics} AS topics FROM d), tagged AS (SELECT slot, domain, {pick("topics", "topic")} AS topic, {pick(_list(levels), "complexity")} AS complexity, {pick(_list(nl2code.KINDS), "kind")} AS nl_type FROM t),
+c AS (SELECT *, {made} FROM tagged), r AS (SELECT *, {PHRASE(nl2code.REQUEST, "nl", kind="nl_type", lang=_lit(lang), context=context, **tag)} AS natural_language FROM c),
+p AS (SELECT *, {FILLED(nl2code.CODE, lang=_lit(lang), request="natural_language", context=context)} AS full_prompt FROM r), said AS (SELECT *, {PHRASE("{p}", "code", p="full_prompt")} AS said FROM p),
+coded AS (SELECT *, {code_} AS code FROM said), judged AS (SELECT *, {PHRASE(nl2code.RUBRIC, "judge", **ask)} AS reason FROM coded)
+SELECT md5(concat_ws('|', '0', 'uid', slot)) AS uid, domain, topic, complexity, {"sql_context" if lang == "sql" else "suggested_packages"}, full_prompt, nl_type, natural_language, code, {scores}, 'passed' AS syntax_validation{last} FROM judged"""
+
+
+SQL["nl2code_sql"], SQL["nl2code_python"] = _nl2code_sql("sql"), _nl2code_sql("python")
+
+
+def _ask(template: str) -> str:
+    return "System: {system}\n\nHuman: " + template + "\n\nAssistant:"
+
+
+def _below(rate: float, template: str, salt: str, values: dict[str, str]) -> str:
+    return f"{DRAW(template, salt, 1_000_000, **values)} < {int(rate * 1_000_000)}"
+
+
+def _tag_pipeline_sql() -> str:
+    """The records of the query ``tag_pipeline``: of twice as many attempts as are asked for, the first that are valid."""
+    told = {"system": _told(REFLECTION), "instructions": "''", "context": "context", "attempt": "attempt::VARCHAR"}
+    mixed = ", ".join(_case(0, name, values, weights, "slot") for name, values, weights in (("level", ["low", "high"], [0.3, None]), ("topic", ["a", "b", "c"], [None] * 3)))
+    title = PHRASE(_ask(generator.FIELD), "title", fields="'title'", about="'str: '", so_far="''", **told)
+    body = PHRASE(_ask(generator.FIELD), "body", fields="'body'", about="'str: '", so_far="'<<FIELD: title>>' || chr(10) || title || chr(10) || '<<END_FIELD>>'", **told)
+    check = lambda value: (_ask(generator.CHECK), {"system": _told(REFLECTION), "kind": "'prose'", "content": value})
+    (one, v1), (two, v2) = check("body"), check("fixed")
+    repair = {"system": _told(REFLECTION), "kind": "'STR'", "task": "'correct'", "error": "error", "content": "body"}
+    record = "'<<FIELD: title>>' || chr(10) || title || chr(10) || '<<END_FIELD>>' || chr(10) || '<<FIELD: body>>' || chr(10) || final || chr(10) || '<<END_FIELD>>'"
+    judge = {"system": _told(REFLECTION), "job": "''", "record": record}
+    return f"""
+WITH n AS (SELECT count(*) AS n FROM orders), tried AS (SELECT range AS attempt, range % n AS slot FROM range(0, 2 * (SELECT n FROM n)), n), mixed AS (SELECT attempt, slot, {mixed} FROM tried), shown AS (SELECT *, {_CONTEXT} AS context FROM mixed),
+titled AS (SELECT *, {title} AS title FROM shown), bodied AS (SELECT *, {body} AS body FROM titled),
+checked AS (SELECT *, CASE WHEN {_below(0.1, one, "validate", v1)} THEN 'FAIL: ' || {PHRASE(one, "judge", **v1)} END AS error FROM bodied),
+fixed AS (SELECT *, CASE WHEN error IS NOT NULL THEN {PHRASE(_ask(generator.REPAIR), "code", **repair)} END AS fixed FROM checked),
+ended AS (SELECT *, coalesce(fixed, body) AS final, fixed IS NOT NULL AND {_below(0.1, two, "validate", v2)} AS broken FROM fixed),
+judged AS (SELECT *, NOT broken AND NOT {_below(0.1, _ask(generator.JUDGE), "judge", judge)} AS valid FROM ended)
+SELECT attempt, level, topic, title, final AS body FROM judged WHERE valid ORDER BY attempt LIMIT (SELECT n FROM n)"""
+
+
+SQL["tag_pipeline"] = _tag_pipeline_sql()
+
+
 def stopped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream that is waited for, with an event that would stop it; the counts of its rows."""
     import threading

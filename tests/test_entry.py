@@ -52,6 +52,11 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", check], cwd=tmp_path, check=True, timeout=120)
 
 
+def test_entry_works_without_a_package_of_the_corpus_operators():
+    check = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'tag_pipeline' in q and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", check], cwd=REPO, check=True, timeout=120)
+
+
 def test_no_module_outside_imports_the_corpus_operators():
     for path in (REPO / "recordloom").rglob("*.py"):
         if "llm" not in path.relative_to(REPO).parts:
