@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -13,23 +12,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import shared_dir
+
 U64 = np.uint64
 #: Bytes of text that numpy works on at once; arrays of eight bytes for each byte of text stay small.
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 4096
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where that is unset (single machine, tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = spark.sparkContext.getCheckpointDir()
-        where = current or tempfile.mkdtemp(prefix="recordloom-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def open_fs(where: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI or a plain path."""
     where = where if "://" in where else where.replace("file:", "", 1)
@@ -42,6 +32,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in the shared folder, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not use in any case."""
     used = {c.lower() for c in df.columns}
