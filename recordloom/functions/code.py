@@ -27,7 +27,8 @@ SPARK_DIALECTS = ("sparksql", "databricks", "hive")
 DIALECTS = "sqlite sparksql snowflake redshift postgres oracle mysql materialize hive greenplum exasol duckdb db2 databricks clickhouse bigquery athena ansi".split()
 
 
-def _parse_error(code: str | None) -> str | None:
+def parse_error(code: str | None) -> str | None:
+    """:func:`python_error` of one text."""
     if code is None:
         return None
     try:
@@ -40,7 +41,7 @@ def _parse_error(code: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def python_error(code: pd.Series) -> pd.Series:
     """The parser's message for code that isn't Python, else null."""
-    return code.map(_parse_error).astype(object)
+    return code.map(parse_error).astype(object)
 
 
 def score_of(code: str | None) -> float | None:

@@ -77,12 +77,17 @@ def tidy_newlines(content: Column) -> Column:
 
 
 def remove_thinking(content: Column) -> Column:
-    """Without ``<thinking>`` and ``<reflection>`` blocks; an unclosed one takes the rest."""
-    for tag in ("thinking", "reflection"):
-        for _ in range(3):  # once more than the removal of a block can make a new one
-            content = F.regexp_replace(content, rf"(?is)<{tag}>.*?</{tag}>", "")
-        content = F.regexp_replace(content, rf"(?is)<{tag}>.*", "")
-    return tidy_newlines(content)
+    """Without ``<thinking>`` and ``<reflection>`` blocks, however deep they are nested; an unclosed one takes the rest."""
+
+    def without(tag: str, c: Column) -> Column:
+        block = rf"(?is)<{tag}>.*?</{tag}>"
+        once = F.regexp_replace(c, block, "")
+        # What is removed may leave a new block: as many times as there are openings is enough.
+        times = F.sequence(F.lit(1), F.regexp_count(c, F.lit(f"(?i)<{tag}>")))
+        again = F.aggregate(times, once, lambda left, _: F.when(left.rlike(block), F.regexp_replace(left, block, "")).otherwise(left))
+        return F.regexp_replace(F.when(once.rlike(block), again).otherwise(once), rf"(?is)<{tag}>.*", "")
+
+    return tidy_newlines(without("reflection", without("thinking", content)))
 
 
 _THINK, _UNTHINK = _tags("thinking")

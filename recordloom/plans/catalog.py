@@ -602,13 +602,16 @@ QUERIES["stream_valid_records"], SQL["stream_valid_records"] = stream_valid_reco
 QUERIES["stream_batches"], SQL["stream_batches"] = stream_batches, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
 
 
-# Pipelines, with the offline model: no SQL can express them
+# Pipelines, with the offline model
+
+RECORD_JOB = "Write a question about the text, and its answer."
+
 
 def record_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each document, with a repairable field and a judge that fails some."""
     path = f"{sf_dir}/documents.parquet"
     job = DataModel(
-        fields=[DataField("question", description="what is asked"), DataField("answer", description="Python code", validator="python")], generation_instructions="Write a question about the text, and its answer.",
+        fields=[DataField("question", description="what is asked"), DataField("answer", description="Python code", validator="python")], generation_instructions=RECORD_JOB,
         data_source=DataSource(path, "huggingface", ["doc_id", "lang", "source"]), num_examples=spark.read.parquet(path).count(), evolution=Evolution(rate=0.1),
     )
     return generator.run(spark, job, OfflineModel(fail_rate=0.1, missing_rate=0.05)).records

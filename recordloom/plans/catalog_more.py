@@ -10,8 +10,8 @@ from ..operators import analytics, records, sampling, tags
 from ..sources import readers, sinks
 from ..streaming import flows
 from . import generator, nl2code, validation
-from .catalog import DRAW, FILLED, PHRASE, QUERIES, SQL, STRIP, U, _case, _folder, _stream_of, query
-from .config import AutoConfig, DataField, DataModel, DataSource, Tag, Tags
+from .catalog import DRAW, FILLED, PHRASE, QUERIES, RECORD_JOB, SQL, STRIP, U, _case, _folder, _stream_of, query
+from .config import DEFAULT_EVOLUTION, AutoConfig, DataField, DataModel, DataSource, Tag, Tags
 from .model import REFLECTION, SYSTEM, OfflineModel, infer
 from .pipeline import Pipeline
 
@@ -469,6 +469,36 @@ SELECT attempt, level, topic, title, final AS body FROM judged WHERE valid ORDER
 SQL["tag_pipeline"] = _tag_pipeline_sql()
 
 
+def _shown(names: list[str], values: list[str]) -> str:
+    """SQL for the fields of a record as they are put into prompts."""
+    return " || chr(10) || ".join(f"'<<FIELD: {n}>>' || chr(10) || {v} || chr(10) || '<<END_FIELD>>'" for n, v in zip(names, values, strict=True))
+
+
+def _record_pipeline_sql() -> str:
+    """The records of the query ``record_pipeline``: contexts drawn from documents, records made, some evolved, answers repaired, judged; of twice as many attempts as are asked for, the first that are valid."""
+    names, told = ["question", "answer"], {"system": _told(REFLECTION), "fields": "'question, answer'", "context": "context"}
+    about = text.fields_description([("question", "str", "what is asked"), ("answer", "str", "Python code")])
+    make = {**told, "instructions": _lit(RECORD_JOB), "descriptions": _lit(about), "attempt": "attempt::VARCHAR"}
+    evolve = {**told, "strategy": "strategy", "record": f"CASE WHEN q1 IS NULL THEN {_shown(['answer'], ['a1'])} ELSE {_shown(names, ['q1', 'a1'])} END"}
+    repair = {"system": _told(REFLECTION), "kind": "'STR'", "task": "'fix_python'", "error": _lit(code.parse_error("two words") or ""), "content": "a"}
+    judge = {"system": _told(REFLECTION), "job": _lit(RECORD_JOB), "record": _shown(names, ["q", "answer"])}
+    made, changed = _ask(generator.RECORD), _ask(generator.EVOLVE)
+    strategies = _list(DEFAULT_EVOLUTION)
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), n AS (SELECT count(*) AS n FROM documents),
+slots AS (SELECT range AS slot, floor({U(0, "'row'", 'range')} * n)::BIGINT AS i FROM range(0, (SELECT n FROM n)), n), ctx AS (SELECT slot, doc_id, lang, source, {_shown(['doc_id', 'lang', 'source'], ['doc_id', "coalesce(lang, 'None')", "coalesce(source, 'None')"])} AS context FROM slots JOIN d USING (i)),
+tried AS (SELECT range AS attempt, range % n AS slot FROM range(0, 2 * (SELECT n FROM n)), n), t AS (SELECT * FROM tried JOIN ctx USING (slot)),
+r1 AS (SELECT *, CASE WHEN NOT {_below(0.05, made, "missing", make)} THEN {PHRASE(made, "question", **make)} END AS q1, {PHRASE(made, "answer", **make)} AS a1,
+  {U(0, "'evolve 0'", 'slot', 'attempt')} < 0.1 AS gate, {strategies}[1 + floor({U(0, "'strategy'", "'evolve 0'", 'slot', 'attempt')} * {len(DEFAULT_EVOLUTION)})::INT] AS strategy FROM t),
+r2 AS (SELECT *, gate AND NOT {_below(0.05, changed, "missing", evolve)} AS new, {PHRASE(changed, "question", **evolve)} AS q2, {PHRASE(changed, "answer", **evolve)} AS a2 FROM r1),
+r3 AS (SELECT *, CASE WHEN new THEN q2 ELSE q1 END AS q, CASE WHEN new THEN a2 ELSE a1 END AS a FROM r2), r4 AS (SELECT *, 'answer = "' || {PHRASE(_ask(generator.REPAIR), "code", **repair)} || '"' AS answer FROM r3 WHERE q IS NOT NULL),
+judged AS (SELECT *, NOT {_below(0.1, _ask(generator.JUDGE), "judge", judge)} AS valid FROM r4)
+SELECT attempt, doc_id, lang, source, q AS question, answer FROM judged WHERE valid ORDER BY attempt LIMIT (SELECT n FROM n)"""
+
+
+SQL["record_pipeline"] = _record_pipeline_sql()
+
+
 def stopped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream that is waited for, with an event that would stop it; the counts of its rows."""
     import threading

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import asdict, is_dataclass
 from itertools import count
@@ -10,6 +11,7 @@ from pathlib import Path
 from typing import Any
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,24 @@ def _system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def _claimed(system: JavaObject, mark: JavaObject) -> bool:
+    """Whether the file ``mark`` was made just now, by this caller alone."""
+    if system.getScheme() == "file":
+        try:
+            os.makedirs(os.path.dirname(mark.toUri().getPath()) or ".", exist_ok=True)
+            os.close(os.open(mark.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        system.create(mark, False).close()
+    except Py4JJavaError:
+        if system.exists(mark):
+            return False
+        raise
+    return True
+
+
 def _names(base: str) -> Iterator[str]:
     stem, dot, ext = base.rpartition(".") if "." in Path(base).name else (base, "", "")
     yield base
@@ -34,14 +54,15 @@ def unused_path(spark: SparkSession, base: str) -> str:
 def write_jsonl(df: DataFrame, base: str) -> str:
     """Write rows as lines of JSON under the first path of :func:`unused_path` that nobody else is writing to; the path.
 
-    A path is claimed by a file beside it, which file systems make for one only, and which goes when all is written.
+    A path is claimed by a file beside it, which file systems (but for object stores) make for one only, and which goes
+    when all is written.
     """
     spark = df.sparkSession
     for path in _names(base):
         folder, _, name = path.rpartition("/")
         claim = f"{folder}/.{name}.claim" if folder else f".{name}.claim"
         system, mark = _system(spark, claim)
-        if system.exists(_system(spark, path)[1]) or not system.createNewFile(mark):
+        if system.exists(_system(spark, path)[1]) or not _claimed(system, mark):
             continue
         try:
             if not system.exists(_system(spark, path)[1]):
