@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..operators.common import shared_dir
 
 U64 = np.uint64
+#: A key is hot if it has more than one of so many rows; so there are fewer hot keys than this, and they can be broadcast.
+HOT_KEYS = 10_000
 #: Bytes of text that numpy works on at once; arrays of eight bytes for each byte of text stay small.
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 4096
@@ -75,6 +77,30 @@ def like(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def with_value(rows: DataFrame, values: DataFrame, keys: list[str], spread: str, total: int) -> DataFrame:
+    """``rows`` with the ``value`` that ``values`` (``keys``, ``n``, ``value``) has for their keys; rows without one are left out.
+
+    ``values`` has a row for each key that has one. ``n`` is the number of rows with the key and ``total`` at least that of all. The values of hot keys are broadcast, and
+    their rows are spread by ``spread``; so no task gets all rows of such a key.
+    """
+    hot = F.col("n") > total // HOT_KEYS
+    rows = rows.join(F.broadcast(values.where(hot).select(*keys, F.col("value").alias("hot_value"))), keys, "left")
+    rows = rows.withColumn("salt", F.when(F.col("hot_value").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.hash(spread), F.lit(10_000))))
+    cold = values.where(~hot).select(*keys, F.lit(0).alias("salt"), F.col("value").alias("cold_value"))
+    joined = rows.join(cold, [*keys, "salt"], "left").withColumn("value", F.coalesce("hot_value", "cold_value"))
+    return joined.where("value IS NOT NULL").drop("salt", "hot_value", "cold_value")
+
+
+def by_id(docs: DataFrame, other: DataFrame, id_: str, how: str) -> DataFrame:
+    """``docs`` joined (``how``: left or left_anti) with ``other``, whose column ``id_`` has whole numbers, by ``doc_id``. Rows without ``doc_id`` match nothing, and are spread by a hash of their text, so that no task gets all of them."""
+    key, none = fresh(docs, "key", "none")
+    own = F.col("doc_id").cast("long")
+    left = docs.withColumns({none: own.isNull(), key: F.coalesce(own, F.xxhash64("text"))})
+    right = other.withColumns({f"{none}r": F.lit(False), f"{key}r": F.col(id_)})
+    joined = left.join(right, (F.col(key) == F.col(f"{key}r")) & (F.col(none) == F.col(f"{none}r")), how)
+    return joined.drop(key, none, f"{key}r", f"{none}r")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of about ``SLICE_BYTES`` of ``text`` each."""
     for batch in batches:

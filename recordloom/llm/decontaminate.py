@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fresh, like, need, open_fs, shared_dir, slices
+from .common import U64, by_id, fresh, like, need, open_fs, shared_dir, slices
 
 #: Edits allowed for each character of a normalised item. Items of fewer characters than this must be there as they are, as whole words.
 ERROR_RATE, SHORT_CHARS = 0.1, 24
@@ -231,4 +231,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     """
     (gone,) = fresh(docs, "gone")
     drop = contamination(docs, benchmark, rate).select(F.col("doc_id").alias(gone)).distinct()
-    return like(docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti"), docs.columns)
+    return like(by_id(docs, drop, gone, "left_anti"), docs.columns)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, like, need, saved, with_text
+from .common import by_id, fresh, like, need, saved, with_text, with_value
 
 #: A passage is a run of so many lines, or one line of so many characters or of so many words.
 RUN_LINES, LONG_CHARS, LONG_WORDS = 2, 250, 50
-#: A key is hot if it has more than one of so many rows; so there are fewer hot keys than this, and they can be broadcast.
-HOT_KEYS = 10_000
 _BLANKS = " \t\v\f\r"
 
 
@@ -60,20 +58,6 @@ def fingerprints(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int =
     return rows.select("id", F.explode(at).alias("f")).select("id", "f.*").where("long or won")
 
 
-def with_value(rows: DataFrame, values: DataFrame, keys: list[str], spread: str, total: int) -> DataFrame:
-    """``rows`` with the ``value`` that ``values`` (``keys``, ``n``, ``value``) has for their keys; rows without one are left out.
-
-    ``n`` is the number of rows with the key and ``total`` at least that of all. The values of hot keys are broadcast, and
-    their rows are spread by ``spread``; so no task gets all rows of such a key.
-    """
-    hot = F.col("n") > total // HOT_KEYS
-    rows = rows.join(F.broadcast(values.where(hot).select(*keys, F.col("value").alias("hot_value"))), keys, "left")
-    rows = rows.withColumn("salt", F.when(F.col("hot_value").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.hash(spread), F.lit(10_000))))
-    cold = values.where(~hot).select(*keys, F.lit(0).alias("salt"), F.col("value").alias("cold_value"))
-    joined = rows.join(cold, [*keys, "salt"], "left").withColumn("value", F.coalesce("hot_value", "cold_value"))
-    return joined.where("value IS NOT NULL").drop("salt", "hot_value", "cold_value")
-
-
 def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS, long_words: int = LONG_WORDS) -> DataFrame:
     """``id``, ``marks`` (for the lines in order, whether to delete them, as far as any is) and ``n_gone``, of each document that has any."""
     w = run_lines
@@ -115,7 +99,7 @@ def line_dedup(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LO
     need(docs, "doc_id", "text")
     id_, marks, n_gone = fresh(docs, "id", "marks", "n_gone")
     gone = repeated_lines(docs, run_lines, long_chars, long_words).toDF(id_, marks, n_gone)
-    joined = docs.join(gone, F.col("doc_id") == F.col(id_), "left")
+    joined = by_id(docs, gone, id_, "left")
     lines = F.split("text", "\n")
     solid = F.size(F.filter(lines, lambda line: _strip(line) != ""))
     left = F.filter(lines, lambda line, at: ~F.coalesce(F.get(F.col(marks), at), F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, fresh, like, need, saved, with_text
+from .common import bind, by_id, fresh, like, need, saved, with_text
 
 #: A line is boilerplate of its host if it is in more distinct documents than both of these allow.
 MIN_DOCS, MAX_SHARE = 10, 0.01
@@ -66,7 +66,10 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     else:
         marked = _lines(docs).join(frequent.toDF("bad_host", "bad_h", "n_docs"), F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("h") == F.col("bad_h")))
         bad = slotted(marked.select("id", "host", "h"), "id", "host").toDF(id_, host, slots)
-        joined = docs.join(bad, (F.col("doc_id") == F.col(id_)) & F.col("source").eqNullSafe(F.col(host)), "left")
+        # Rows that share an id may have several hosts: a row has the lines of its own.
+        hosts = bad.groupBy(id_).agg(F.collect_list(F.struct(F.col(host).alias("host"), F.col(slots).alias("slots"))).alias(host))
+        joined = by_id(docs, hosts, id_, "left")
+        joined = joined.withColumn(slots, F.get(F.filter(host, lambda b: b["host"].eqNullSafe(F.col("source"))), F.lit(0))["slots"])
 
     def marked_line(line: Column) -> Column:
         return bind(normalised(line), lambda norm: F.struct(((norm != "") & bind(F.xxhash64(norm), found)).alias("bad"), F.char_length(norm).cast("long").alias("size"), line.alias("line")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fresh, like, mix, need, saved, slices, word_hashes
+from .common import U64, by_id, fresh, like, mix, need, saved, slices, with_value, word_hashes
 
 #: Bits in which near-duplicates may differ, of 256.
 RADIUS = 40
@@ -177,7 +177,8 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     Up to ``local_edges`` edges one task joins them; beyond, large-star and small-star rounds over all tasks do.
     """
     edges = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if edges.count() <= local_edges:
+    total = edges.count()
+    if total <= local_edges:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *frames])
@@ -191,12 +192,13 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
         return edges.coalesce(1).mapInPandas(run, "node long, root long")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.where("u > v")
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = saved(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        least = both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")).select("u", "n", F.least("u", "m").alias("value"))
+        large = with_value(both, least, ["u"], "v", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("value").alias("v")).distinct()
+        low = saved(large.where("u > v"))
+        least = low.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("value"))
+        small = with_value(low, least, ["u"], "v", low.count()).select(F.col("v").alias("u"), F.col("value").alias("v")).where("u <> v")
+        now = saved(small.union(least.select("u", F.col("value").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        total = now.count()
         if now.exceptAll(edges).isEmpty() and edges.exceptAll(now).isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         edges = now
@@ -241,18 +243,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK, l
     need(docs, "doc_id", "text")
     parts = [f"s{k}" for k in range(WORDS)]
     sigs = saved(signatures(docs))
-    unique = saved(sigs.groupBy(*parts, "pc").agg(F.min("doc_id").alias("rep")))
+    unique = saved(sigs.groupBy(*parts, "pc").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     counts = {r["pc"]: r["n"] for r in unique.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 257 rows at most
     plan, reach = blocks_of(counts, radius, block)
     n_blocks = len(reach)
-    same = sigs.join(unique.select(*parts, "rep"), parts).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    total = unique.agg(F.sum("n")).first()[0] or 0
+    alike = with_value(sigs, unique.where("n > 1").select(*parts, "n", F.col("rep").alias("value")), parts, "doc_id", total)
+    same = alike.where("doc_id <> value").select(F.col("doc_id").alias("u"), F.col("value").alias("v"))
     if n_blocks:
         first, pieces = ([k] * (64 * WORDS + 1) for k in (0, 1))
         for pc, a, n in plan:
             first[pc], pieces[pc] = a, n
         low, high = [r[0] for r in reach], [r[1] for r in reach]
         at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
-        blocked = unique.withColumn("block", at(first, F.col("pc")) + F.pmod(F.xxhash64("rep"), at(pieces, F.col("pc"))).cast("int"))
+        blocked = unique.drop("n").withColumn("block", at(first, F.col("pc")) + F.pmod(F.xxhash64("rep"), at(pieces, F.col("pc"))).cast("int"))
         cells = blocked.withColumn("other", F.explode(F.sequence(at(low, F.col("block")), at(high, F.col("block")))))
         cells = cells.withColumn("cell", F.least("block", "other").cast("long") * n_blocks + F.greatest("block", "other"))
         n_cells = sum(h - b + 1 for b, (_, h) in enumerate(reach))
@@ -269,4 +273,4 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     (gone,) = fresh(docs, "gone")
     drop = near_duplicates(docs, radius).select(F.col("doc_id").alias(gone))
-    return like(docs.join(drop, F.col("doc_id").cast("long") == F.col(gone), "left_anti"), docs.columns)
+    return like(by_id(docs, drop, gone, "left_anti"), docs.columns)

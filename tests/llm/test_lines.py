@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from recordloom.llm import linededup, quality
+from recordloom.llm import common, linededup, quality
 
 from .helpers import awkward, docs_of, duck, rows
 
@@ -128,7 +128,7 @@ def test_hot_lines_are_split_and_nothing_else_changes(spark, monkeypatch):
     docs = docs_of(spark, pairs)
     assert rows(linededup.line_dedup(docs).select("doc_id", "text")) == brute_dedup(pairs)
     for few in (3, 30):  # keys that hold a third, and a thirtieth, of the rows are hot
-        monkeypatch.setattr(linededup, "HOT_KEYS", few)
+        monkeypatch.setattr(common, "HOT_KEYS", few)
         assert rows(linededup.line_dedup(docs).select("doc_id", "text")) == brute_dedup(pairs)
 
 

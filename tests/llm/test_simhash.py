@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from recordloom.llm import simhash
+from recordloom.llm import common, simhash
 from recordloom.llm.common import SLICE_BYTES, word_hashes
 
 from .helpers import awkward, docs_of, rows
@@ -72,6 +72,20 @@ def test_near_pairs_are_all_within_the_radius():
     assert across == {(i, j) for i, j in want if i < half <= j}
 
 
+def test_hot_signatures_and_rows_without_ids_are_spread(spark, monkeypatch):
+    texts, _ = corpus()
+    docs = docs_of(spark, [*texts, *[texts[0]] * 40])
+    want = brute([*texts, *[texts[0]] * 40], simhash.RADIUS)
+    for few in (2, 10):
+        monkeypatch.setattr(common, "HOT_KEYS", few)
+        for local in (10**6, 0):
+            assert rows(simhash.near_duplicates(docs, local_edges=local)) == want
+    nameless = docs_of(spark, [(None, f"text {i}") for i in range(300)])
+    joined = common.by_id(nameless, spark.range(10), "id", "left_anti")
+    assert joined.count() == 300
+    assert joined.columns == nameless.columns
+
+
 def test_stage_keeps_the_first_of_each_group(spark):
     texts, _ = corpus()
     docs = docs_of(spark, texts)
