@@ -64,8 +64,8 @@ class Fold:
 def render_log(log: DataFrame) -> DataFrame:
     """``conv_id``, ``n_messages`` and ``rendered`` for each conversation of an event log.
 
-    The log is partitioned by conversation, sorted by ``seq`` and folded by :class:`Fold`; a task holds the final messages
-    of one conversation only. Events of one ``seq`` (ties) are taken in the order of their other columns, so repeated rows
+    The log is partitioned by conversation, sorted by ``seq`` and folded by :class:`Fold`. One task folds a conversation in
+    its order, event by event, and holds its final messages only; as ``rendered`` is one value, they have 2 GB at most. Events of one ``seq`` (ties) are taken in the order of their other columns, so repeated rows
     count each. Events without ``conv_id`` are dropped; a null ``seq`` comes first; a null ``msg`` is a message like others;
     a null role is ``unknown``; null and empty texts add nothing; very long texts are kept whole. A conversation of which
     no message is left has 0 messages. An empty log gives no rows. Other columns don't matter, whatever their names.

@@ -102,3 +102,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
 
     schema = "bin_id long, slot long, bin_start long, doc_id long, piece long, start_word long, n_words long"
     return runs.repartition(min(shards, 10_000), "shard").groupBy("shard").applyInPandas(run, schema)  # a number, lest shards be put together in few tasks
+
+
+def lay_out(docs: DataFrame, placed: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """``bin_id``, ``text`` and ``doc_ids`` of each bin of ``placed``: its pieces in the order of their slots, words parted by single blanks, pieces by ``separator``.
+
+    ``doc_id`` must tell the documents apart: placements under a null id, and of ids that ``docs`` doesn't have, are left
+    out; of rows that share an id the one with the least text counts. A bin's text has ``capacity`` words at most, so no
+    group is large. Empty tables give no rows.
+    """
+    need(docs, "doc_id", "text")
+    once = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"))
+    pieces = placed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("bin_id", "slot", "start_word", "n_words")).alias("pieces"))
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    cut = once.join(pieces, "doc_id").select("doc_id", words.alias("words"), F.explode("pieces").alias("p"))
+    cut = cut.select("p.bin_id", "p.slot", "doc_id", F.array_join(F.slice("words", F.col("p.start_word").cast("int") + 1, F.col("p.n_words").cast("int")), " ").alias("piece"))
+    bins = cut.groupBy("bin_id").agg(F.array_sort(F.collect_list(F.struct("slot", "piece", "doc_id"))).alias("ps"))
+    return bins.select("bin_id", F.array_join(F.col("ps.piece"), separator).alias("text"), F.col("ps.doc_id").alias("doc_ids"))

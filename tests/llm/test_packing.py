@@ -53,6 +53,23 @@ def test_all_words_are_placed_once_and_no_bin_is_over(spark):
     assert got.n_words.sum() > 0.85 * 100 * got.bin_id.nunique()
 
 
+def test_bins_are_laid_out(spark):
+    r = random.Random(2)
+    texts = [" \n ".join(f"d{i}w{k}" for k in range(r.choice([1, 5, 40, 70, 250]))) for i in range(60)]
+    docs = docs_of(spark, [*texts, (None, "no id"), (99, None)])
+    placed = packing.pack(docs, capacity=100, shard_docs=20)
+    bins = packing.lay_out(docs, placed).collect()
+    every = " ".join(b.text for b in bins).split()
+    assert sorted(every) == sorted(w for t in texts for w in t.split())
+    assert all(len(b.text.split()) <= 100 for b in bins)
+    slots = {(p.bin_id, p.slot): p for p in placed.where("doc_id IS NOT NULL").collect()}
+    for b in bins:
+        own = [slots[key] for key in sorted(k for k in slots if k[0] == b.bin_id)]
+        assert b.doc_ids == [p.doc_id for p in own]
+        assert b.text.split("\n\n") == [" ".join(texts[p.doc_id].split()[p.start_word : p.start_word + p.n_words]) for p in own]
+    assert packing.lay_out(docs.limit(0), placed).count() == 0
+
+
 def test_large_ids_beside_null_ids(spark):
     big = (1 << 62) + 1
     assert {r.doc_id for r in packing.pack(docs_of(spark, [(big, "a b"), (None, "c")])).collect()} == {big, None}
