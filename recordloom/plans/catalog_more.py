@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import code, hashing, jsonx, text
 from ..operators import analytics, records, sampling, tags
+from ..operators.common import with_row_index
 from ..sources import readers, sinks
 from ..streaming import flows
-from . import generator, nl2code, validation
+from . import generator, nl2code, sample_to_dataset, validation
 from .catalog import DRAW, FILLED, PHRASE, QUERIES, RECORD_JOB, SQL, STRIP, U, _case, _folder, _stream_of, query
 from .config import DEFAULT_EVOLUTION, AutoConfig, DataField, DataModel, DataSource, Tag, Tags
 from .model import REFLECTION, SYSTEM, OfflineModel, infer
@@ -360,6 +361,80 @@ def named_pipeline(orders):
     return steps.replaced("filter", lambda df: df.where("o_totalprice > 1000")).run(orders)
 
 
+# Samples
+
+
+_SAMPLE = """WITH lines AS (SELECT '{"title":"' || c_name || '","body":"' || c_mktsegment || '"}' AS line FROM customer),
+picked AS (SELECT line, md5(concat_ws('|', '0', line)) AS h FROM lines ORDER BY h, line LIMIT 25), sample AS (SELECT string_agg(line, chr(10) ORDER BY h, line) AS sample FROM picked)"""
+
+
+@query("seed_proposals", "customer", sql=f"""
+{_SAMPLE}, asked AS (SELECT range AS worker, string_split({PHRASE(sample_to_dataset.COLUMNS, 'nl', worker='range::VARCHAR', sample='sample')}, ' ') AS said FROM range(0, 3), sample),
+cols AS (SELECT worker, i AS pos, said[i + 1] || '_' || said[i + 2] AS column_name, said AS vals FROM asked, (SELECT range::INT AS i FROM range(0, 4))),
+once AS (SELECT * FROM cols QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY worker, pos) = 1) SELECT column_name, vals FROM once ORDER BY pos DESC, worker LIMIT 3""")
+def seed_proposals(customer):
+    """What three workers propose for a sample of customers: the best three columns, and their values."""
+    sample = customer.select(F.col("c_name").alias("title"), F.col("c_mktsegment").alias("body"))
+    seeds = sample_to_dataset.propose(customer.sparkSession, sample, OfflineModel(), sample_to_dataset.Options())
+    return customer.sparkSession.createDataFrame(list(seeds.items()), "column_name string, vals array<string>")
+
+
+_ROWS = {"k": "'2'", "prompt": "'about ' || n_name", "seeds": """'{"n_name":"' || n_name || '"}'""", "columns": "'title, body'", "attempt": "'0'", "sample": """'{"title":"t"}'"""}
+
+
+@query("rows_for_seeds", "nation", sql=f"""
+SELECT {PHRASE(sample_to_dataset.ROWS, 'nl', **_ROWS)} AS title, {PHRASE(sample_to_dataset.ROWS, 'r0', **_ROWS)} AS body, n_name FROM nation
+UNION ALL SELECT {PHRASE(sample_to_dataset.ROWS, 'nl', **_ROWS)}, {PHRASE(sample_to_dataset.ROWS, 'r1', **_ROWS)}, n_name FROM nation""")
+def rows_for_seeds(nation):
+    """Two rows for each nation as a seed, checked for their columns, with the seed beside them."""
+    seeds = nation.select(F.col("n_nationkey").alias("id"), "n_name")
+    return sample_to_dataset.make_rows(seeds, ["n_name"], ["title", "body"], '{"title":"t"}', "about {n_name}", OfflineModel(), sample_to_dataset.Options())[1]
+
+
+# Settings
+
+
+@query("tags_in_yaml", "part", sql="SELECT p_brand AS value, CASE WHEN count(*) % 2 = 0 THEN count(*)::DOUBLE END AS weight, (SELECT count(DISTINCT p_brand) FROM part)::BIGINT AS diversity FROM part GROUP BY p_brand")
+def tags_in_yaml(part):
+    """A tag of all brands, some with weights, written as YAML and read again."""
+    import yaml
+
+    counts = part.groupBy("p_brand").agg(F.count("*").alias("n")).orderBy("p_brand").collect()  # a tag's values, as many as brands
+    tag = Tag("brand", [r["p_brand"] for r in counts], [float(r["n"]) if r["n"] % 2 == 0 else None for r in counts])
+    again = Tags.read(yaml.safe_load(Tags([tag]).to_yaml())["contextual_tags"])
+    rows = [(v, w, again.diversity()) for v, w in zip(again.tags[0].values, again.tags[0].weights, strict=True)]
+    return part.sparkSession.createDataFrame(rows, "value string, weight double, diversity bigint")
+
+
+@query("job_in_yaml", "nation", sql="SELECT n_name AS field, 'str' AS type, 'about ' || n_name AS description, 'json' AS validator, 3 AS num_examples FROM nation")
+def job_in_yaml(nation):
+    """A job with a field for each nation, written as YAML and read again."""
+    names = [r["n_name"] for r in nation.select("n_name").collect()]  # a job's fields: 25
+    job = DataModel(fields=[DataField(n, description=f"about {n}", validator="json") for n in names], num_examples=3)
+    again = DataModel.from_yaml(job.to_yaml())
+    return nation.sparkSession.createDataFrame([(f.name, f.type, f.description, f.validator, again.num_examples) for f in again.fields], "field string, type string, description string, validator string, num_examples int")
+
+
+@query("code_job_settings", "region", sql="SELECT r_regionkey, 'ManualConfig' AS kind, r_name AS domain, ['joins', 'windows'] AS topics FROM region")
+def code_job_settings(region):
+    """Domains and topics in YAML; the kind of settings is told by what they have."""
+    import yaml
+
+    from .config import load_code_config
+
+    keys = {r["r_name"]: r["r_regionkey"] for r in region.collect()}
+    config = load_code_config(yaml.safe_dump({"code_lang": "sql", "complexity_levels": ["easy"], "domain_and_topics": {n: ["joins", "windows"] for n in keys}}))
+    tree, _ = nl2code.tag_tree(config, OfflineModel())
+    return region.sparkSession.createDataFrame([(keys[d], type(config).__name__, d, t) for d, t in tree.items()], "r_regionkey int, kind string, domain string, topics array<string>")
+
+
+@query("shuffled_rows", "nation", sql="SELECT n_nationkey, row_number() OVER (ORDER BY md5(concat_ws('|', '3', n_nationkey)), n_nationkey) - 1 AS place FROM nation")
+def shuffled_rows(nation):
+    """All rows in drawn order, with their places."""
+    shuffled = sampling.shuffle_rows(nation.select("n_nationkey"), "n_nationkey", seed=3)
+    return with_row_index(shuffled.withColumn("h", hashing.digest(3, F.col("n_nationkey"))), "h", "n_nationkey", name="place").select("n_nationkey", "place")
+
+
 # Jobs
 
 _JOB = DataModel(

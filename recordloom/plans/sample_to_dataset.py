@@ -40,9 +40,8 @@ class Options:
 
 def _sample_text(sample: DataFrame, rows: int, seed: int) -> str:
     """Some rows of the sample as lines of JSON: no more than fit into a prompt."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in sample.columns])
-    picked = sampling.sample_without_replacement(sample.withColumn("__key", key), rows, "__key", seed)
-    return "\n".join(r[0] for r in picked.select(F.to_json(F.struct(*sample.columns))).collect())
+    lines = sample.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sample.columns])).alias("line"))
+    return "\n".join(r["line"] for r in sampling.sample_without_replacement(lines, rows, "line", seed).collect())
 
 
 def propose(spark: SparkSession, sample: DataFrame, client: ModelClient, o: Options) -> dict[str, list[str]]:
@@ -117,19 +116,13 @@ def generation_prompt(sample: DataFrame, seeds: dict[str, list[str]], client: Mo
     return f"{prompt}\nUse this context:\n{wanted}\nExamples of the format:\n{rows}\nThere are only these columns: {sample.columns}"
 
 
-def run(spark: SparkSession, sample: DataFrame, client: ModelClient, options: Options = Options(), prompt: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The generated rows, in drawn order, and the same with the seed columns; the prompt template comes from the model if none is given. Answers without rows, or whose rows together have other names than the sample's columns, are asked for again."""
-    o = options
-    new = tags.scrub_names(sample.columns)
-    sample = tags.zip_rename(sample, [new[c] for c in sample.columns])
-    columns = sample.columns
-    seeds = expand(propose(spark, sample, client, o), client, o.retries)
-    names = list(seeds)
-    each = sampling.seed_permutations(spark, seeds, o.max_permutations, o.seed)
-    each = saved(sampling.first_seeds(each, o.num_records, o.rows_per_seed))
-    shown = _sample_text(sample, o.sample_rows, o.seed)
-    prompt = prompt or generation_prompt(sample, seeds, client, o)
-    todo, made = each, None
+def make_rows(seeds: DataFrame, names: list[str], columns: list[str], shown: str, prompt: str, client: ModelClient, o: Options) -> tuple[DataFrame, DataFrame]:
+    """Rows for each of the ``seeds`` (``id`` and ``names``), in drawn order, and the same with the seeds; ``shown`` are the lines of the sample, ``prompt`` the template.
+
+    An answer without rows, or whose rows together have other names than ``columns``, is asked for again, as often as the
+    options say; seeds without a good answer give no rows.
+    """
+    todo, made = seeds, None
     for attempt in range(o.retries):
         seed_text = F.to_json(F.struct(*names)) if names else F.lit("{}")
         ask = text.render(ROWS, {"k": str(o.rows_per_seed), "prompt": text.render(prompt, {n: F.col(f"`{n}`") for n in names}), "seeds": seed_text, "columns": ", ".join(columns), "attempt": str(attempt), "sample": shown})
@@ -143,6 +136,21 @@ def run(spark: SparkSession, sample: DataFrame, client: ModelClient, options: Op
         todo = saved(todo.join(fine, "id", "left_anti"))
         if todo.isEmpty():
             break
-    joined = saved(made.withColumn("__place", F.xxhash64("id", *columns)).join(each, "id"))
+    joined = saved(made.withColumn("__place", F.xxhash64("id", *columns)).join(seeds, "id"))
     joined = sampling.shuffle_rows(joined, "__place", o.seed)
     return joined.select(*columns), joined.select(*columns, *[F.col(f"`{n}`") for n in names])
+
+
+def run(spark: SparkSession, sample: DataFrame, client: ModelClient, options: Options = Options(), prompt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The generated rows, in drawn order, and the same with the seed columns; the prompt template comes from the model if none is given. Answers without rows, or whose rows together have other names than the sample's columns, are asked for again."""
+    o = options
+    new = tags.scrub_names(sample.columns)
+    sample = tags.zip_rename(sample, [new[c] for c in sample.columns])
+    columns = sample.columns
+    seeds = expand(propose(spark, sample, client, o), client, o.retries)
+    names = list(seeds)
+    each = sampling.seed_permutations(spark, seeds, o.max_permutations, o.seed)
+    each = saved(sampling.first_seeds(each, o.num_records, o.rows_per_seed))
+    shown = _sample_text(sample, o.sample_rows, o.seed)
+    prompt = prompt or generation_prompt(sample, seeds, client, o)
+    return make_rows(each, names, columns, shown, prompt, client, o)
