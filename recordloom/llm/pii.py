@@ -236,7 +236,7 @@ def labelled() -> list[tuple[list[str], list[int]]]:
 
 def train(rows: list[tuple[list[str], list[int]]], rounds: int = 80, l2: float = 1e-4) -> CRF:
     """Maximum likelihood by full-batch gradients (forward and backward over all sentences at once) with Adam, from the first ``TRAIN_ROWS`` sentences."""
-    rows = [(words, tags) for words, tags in rows[:TRAIN_ROWS] if words]
+    rows = sorted(((words, tags) for words, tags in rows[:TRAIN_ROWS] if words), key=lambda row: -len(row[0]))
     if not rows:
         raise ValueError("no labelled sentences")
     k = len(LABELS)
@@ -269,30 +269,27 @@ def train(rows: list[tuple[list[str], list[int]]], rounds: int = 80, l2: float =
     inner = mask[:, 1:]
     np.add.at(gold_step, (gold[:, :-1][inner], gold[:, 1:][inner]), 1)
 
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
+    longer = mask.sum(axis=0)  # the longest sentences come first: so many have a word at a place
     for t in range(1, rounds + 1):
         flat = np.zeros((batch * length, k))
         flat[slot_[heads]] = np.add.reduceat(emit[feat_], heads, axis=0)
         e = flat.reshape(batch, length, k)
         e[silent, 1:] = NEVER
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for i in range(1, length):
-            on = mask[:, i]
-            alpha[:, i] = alpha[:, i - 1]
-            alpha[on, i] = lse(alpha[on, i - 1][:, :, None] + step[None], 1) + e[on, i]
-        total = lse(alpha[:, -1], 1)
-        for i in range(length - 2, -1, -1):
-            on = mask[:, i + 1]
-            beta[on, i] = lse(step[None] + (e[on, i + 1] + beta[on, i + 1])[:, None, :], 2)
-        p = np.exp(alpha + beta - total[:, None, None]) * mask[..., None]
+        # Forward and backward chances, put to a sum of one at each place: the scales cancel in what is summed below.
+        own, move = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(step - step.max())
+        alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones((batch, length, 1))
+        for i in range(length):
+            m = longer[i]
+            now = own[:m, i] if i == 0 else alpha[:m, i - 1] @ move * own[:m, i]
+            scale[:m, i] = now.sum(axis=1, keepdims=True)
+            alpha[:m, i] = now / scale[:m, i]
         pair = np.zeros((k, k))
-        for i in range(1, length):
-            on = mask[:, i]
-            pair += np.exp(alpha[on, i - 1][:, :, None] + step[None] + (e[on, i] + beta[on, i])[:, None, :] - total[on][:, None, None]).sum(axis=0)
+        for i in range(length - 1, 0, -1):
+            m = longer[i]
+            ahead = own[:m, i] * beta[:m, i] / scale[:m, i]
+            beta[:m, i - 1] = ahead @ move.T
+            pair += move * (alpha[:m, i - 1].T @ ahead)
+        p = alpha * beta * mask[..., None]
         grad_emit = np.add.reduceat((gold_one - p).reshape(-1, k)[slot_[by_feature]], ends, axis=0)
         grads = [grad_emit / batch - l2 * emit, (gold_step - pair) / batch - l2 * step]
         for j, (weights, g) in enumerate(zip((emit, step), grads, strict=True)):
