@@ -112,7 +112,8 @@ def _names(code: str | None) -> str | None:
         elif isinstance(x, (ast.Import, ast.ImportFrom)):
             for a in x.names:
                 star |= a.name == "*"
-                imported[(a.asname or a.name).split(".")[0]] = x.lineno
+                if not (isinstance(x, ast.ImportFrom) and x.module == "__future__"):
+                    imported[(a.asname or a.name).split(".")[0]] = x.lineno
     missing = unbound(table, set()) - always
     level = "warning" if star else "error"
     out = [f"{level}: undefined name {n} (line {line})" for n, line in sorted(used.items()) if n in missing]

@@ -45,21 +45,26 @@ def _respond(df: DataFrame, prompt: Column, out: str, client: ModelClient, job:
     return asked.withColumns({"bytes_read": F.col("bytes_read") + F.col("__read"), "bytes_written": F.col("bytes_written") + F.col("__written")}).drop("__prompt", "__read", "__written")
 
 
+def _done_with(job: DataModel, context: list[str]) -> list[str]:
+    """Context columns that no later prompt needs, so that they aren't written with each answer: all, unless records are evolved."""
+    return [] if job.evolution.rate and job.evolution_generations else context
+
+
 def generate(df: DataFrame, job: DataModel, client: ModelClient, context: list[str]) -> DataFrame:
-    """A map ``record`` for each context, from one prompt or from one for each field in turn."""
+    """A map ``record`` for each context, from one prompt or from one for each field in turn; without the context, unless records are to be evolved."""
     shown = text.format_record(_fields_of(context))
     if job.generation_strategy == "record":
         descriptions = text.fields_description([(f.name, f.type, f.description) for f in job.fields])
         prompt = text.render(RECORD, {"instructions": job.generation_instructions, "fields": ", ".join(f.name for f in job.fields), "descriptions": descriptions, "context": shown, "attempt": F.col("attempt")})
         df = _respond(df, prompt, "__response", client, job, params={"temperature": 0.7, "max_tokens": 4096})
-        return saved(df.withColumn("record", text.parse_fields(F.col("__response"))).drop("__response"))
+        return saved(df.withColumn("record", text.parse_fields(F.col("__response"))).drop("__response", *_done_with(job, context)))
     for k, f in enumerate(job.fields):
         so_far = text.format_record({g.name: F.col(f"__field_{i}") for i, g in enumerate(job.fields[:k])})
         prompt = text.render(FIELD, {"instructions": job.generation_instructions, "fields": f.name, "about": f"{f.type}: {f.description}", "context": shown, "so_far": so_far, "attempt": F.col("attempt")})
         df = _respond(df, prompt, f"__field_{k}", client, job, params={"max_tokens": 2048}, whole=f.store_full_reflection)
         df = saved(df.withColumn(f"__field_{k}", text.parse_first_field(F.col(f"__field_{k}"))))
     made = F.create_map(*[x for k, f in enumerate(job.fields) for x in (F.lit(f.name), F.col(f"__field_{k}"))])
-    return df.withColumn("record", made).drop(*[f"__field_{k}" for k in range(len(job.fields))])
+    return df.withColumn("record", made).drop(*[f"__field_{k}" for k in range(len(job.fields))], *_done_with(job, context))
 
 
 def evolve(df: DataFrame, job: DataModel, client: ModelClient, context: list[str], seed: int) -> DataFrame:
@@ -157,7 +162,8 @@ def run(spark: SparkSession, job: DataModel, client: ModelClient, seed: int = 0,
         tries = missing if k == 0 else missing + missing // 2 + 4
         slots = spark.range(done, done + tries).select(F.col("id").alias("attempt"), F.pmod("id", F.lit(n_contexts)).alias("slot"))
         df = slots.join(ctx, "slot").withColumn("bytes_read", F.lit(0).cast("long")).withColumn("bytes_written", F.lit(0).cast("long"))
-        df = saved(validate(evolve(generate(df, job, client, columns), job, client, columns, seed), job, client))
+        made = evolve(generate(df, job, client, columns), job, client, columns, seed).drop(*columns)
+        df = saved(validate(made, job, client))
         tried = df if tried is None else tried.unionByName(df)
         valid = df.where("valid").count()
         if valid > missing:  # the attempts after the last that is needed don't count
@@ -166,8 +172,9 @@ def run(spark: SparkSession, job: DataModel, client: ModelClient, seed: int = 0,
         done += tries
         successes += valid
     if tried is None:
-        tried = ctx.limit(0).withColumns({"attempt": F.lit(0).cast("long"), "bytes_read": F.lit(0), "bytes_written": F.lit(0), "valid": F.lit(True), "reason": F.lit("")} | {f"__v{k}": F.lit("") for k in range(len(names))})
-    out = records.merged(tried.where("valid").select("attempt", *[F.col(f"`{c}`") for c in columns], *[f"__v{k}" for k in range(len(names))]), ["attempt", *columns], {n: F.col(f"__v{k}") for k, n in enumerate(names)})
+        tried = ctx.select("slot").limit(0).withColumns({"attempt": F.lit(0).cast("long"), "bytes_read": F.lit(0).cast("long"), "bytes_written": F.lit(0).cast("long"), "valid": F.lit(True), "reason": F.lit("")} | {f"__v{k}": F.lit("") for k in range(len(names))})
+    whole = tried.where("valid").select("attempt", "slot", *[f"__v{k}" for k in range(len(names))]).join(ctx.select("slot", *[F.col(f"`{c}`") for c in columns]), "slot")
+    out = records.merged(whole, ["attempt", *columns], {n: F.col(f"__v{k}") for k, n in enumerate(names)})
     size = F.octet_length(F.to_json(F.struct(*[F.col(f"__v{k}").alias(n) for k, n in enumerate(names)])))
     attempts = tried.select("attempt", "slot", "valid", "reason", "bytes_read", "bytes_written", ((F.col("bytes_read") + F.col("bytes_written")) / size).alias("overhead"))
     return Result(out, attempts, successes, done - successes)

@@ -237,6 +237,29 @@ def test_first_rows_of_keys(spark):
     assert sorted(map(tuple, tags.keep_first(df, "k", "o").collect()), key=repr) == [("a", 1, "x"), ("b", 1, "y"), (None, 4, "m")]
 
 
+def test_a_cluster_must_name_the_shared_folder():
+    class Session:
+        def __init__(self, master, named=None):
+            self.conf, self.sparkContext, self.set_to = self, self, None
+            self.master, self.named = master, named
+
+        def get(self, key, default):
+            return self.named
+
+        def getCheckpointDir(self):
+            return self.set_to
+
+        def setCheckpointDir(self, where):
+            self.set_to = where
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]", "k8s://x"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            common.shared_dir(Session(master))
+        assert common.shared_dir(Session(master, "hdfs:///shared")) == "hdfs:///shared"
+    alone = Session("local[4]")
+    assert common.shared_dir(alone) == alone.set_to
+
+
 def test_joins_are_broadcast_by_bytes(spark):
     plan = lambda most: spark.range(10).join(common.small(spark.range(5).withColumn("t", F.repeat(F.lit("x"), 1000)), most), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan(10_000)
