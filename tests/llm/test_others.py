@@ -2,7 +2,6 @@ import gzip
 import random
 from itertools import combinations
 
-import numpy as np
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
