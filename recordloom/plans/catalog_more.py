@@ -56,7 +56,7 @@ def growing_artifact(nation):
     path = _folder(nation.sparkSession, "growing")
     for k in (0, 1, 2, 1):
         sinks.append_batch(nation.where(F.col("n_nationkey") % 3 == k).select("n_nationkey", "n_name"), path, k)
-    return sinks.read_batches(nation.sparkSession, path, "n_nationkey bigint, n_name string")
+    return sinks.read_batches(nation.sparkSession, path, f"n_nationkey {nation.schema['n_nationkey'].dataType.simpleString()}, n_name string")
 
 
 @query("text_of_lines", "nation", sql="""SELECT string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', chr(10) ORDER BY n_nationkey) AS jsonl FROM nation""")
@@ -219,7 +219,7 @@ def ranked_seeds(part):
     return tags.rank_top(ranked, 12, "quality_rank", "p_partkey").select("p_brand", "p_partkey")
 
 
-@query("longest_names", "nation", sql="SELECT n_nationkey, greatest(4, length(n_name)) AS widest FROM nation")
+@query("longest_names", "nation", sql="SELECT n_nationkey, greatest(4, length(n_name))::INT AS widest FROM nation")
 def longest_names(nation):
     return nation.select("n_nationkey", analytics.longest_name(F.create_map(F.lit("name"), F.lit(1), F.col("n_name"), F.lit(2))).alias("widest"))
 
@@ -336,14 +336,14 @@ def usage_by_role(conversations):
     return analytics.usage(conversations.withColumn("asked", F.col("role")), "role", "asked", "text")
 
 
-@query("model_settings", "region", sql="SELECT r_regionkey, map(['temperature', 'top_p'], ['0.7', '0.9']) AS params FROM region")
+@query("model_settings", "region", sql="SELECT r_regionkey, ['temperature=0.7', 'top_p=0.9'] AS params FROM region")
 def model_settings(region):
     """A configured model's settings without those that name it and its server."""
     from .model import call_params, find_by_tags, registry
 
     config = [{"model_name": "one", "params": {"model": "x", "api_base": "http://x", "temperature": 0.7, "top_p": 0.9}, "tags": ["nl", "small"]}, {"model_name": "two", "params": {"model": "y"}, "tags": ["nl"]}]
     first = find_by_tags(registry(config), ["nl", "small"])[0]
-    return region.select("r_regionkey", F.create_map(*[F.lit(str(x)) for pair in call_params(first).items() for x in pair]).alias("params"))
+    return region.select("r_regionkey", F.array(*[F.lit(f"{k}={v}") for k, v in sorted(call_params(first).items())]).alias("params"))
 
 
 @query("prompt_sizes", "region", sql="SELECT r_regionkey, strlen('Write.') + strlen('q') + strlen('str') + strlen('wæs') + strlen('Improve.') AS bytes FROM region")
