@@ -96,6 +96,12 @@ VALIDATORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def asks_model(field: DataField) -> bool:
+    """Whether a field's validator is none of ``VALIDATORS``."""
+    name = (field.validator or "").split(":")[0]
+    return bool(name) and name.lower() not in VALIDATORS
+
+
 def field_error(df: DataFrame, field: DataField, value: str, out: str, client: ModelClient, job: DataModel) -> DataFrame:
     """``df`` with the validator's message for a column of values, or null. Names that aren't in ``VALIDATORS`` ask the model."""
     name, *params = (field.validator or "").split(":")
@@ -108,7 +114,7 @@ def field_error(df: DataFrame, field: DataField, value: str, out: str, client: M
 
 
 def validate(df: DataFrame, job: DataModel, client: ModelClient) -> DataFrame:
-    """``valid`` and ``reason``: fields in order, each with one repair, stopping at the first that fails; then the judge."""
+    """``valid`` and ``reason``: fields in order, each with one repair, stopping at the first that fails; then the judge. What it gives is kept in the shared folder."""
     names = [f.name for f in job.fields]
     df = df.withColumns({f"__v{k}": F.try_element_at("record", F.lit(n)) for k, n in enumerate(names)})
     df = df.withColumn("reason", F.coalesce(*[F.when(F.col(f"__v{k}").isNull(), F.lit(f"field {n} is missing")) for k, n in enumerate(names)], F.lit(None).cast("string")))
@@ -116,12 +122,13 @@ def validate(df: DataFrame, job: DataModel, client: ModelClient) -> DataFrame:
         if not f.validator:
             continue
         value = f"__v{k}"
-        df = saved(field_error(df.withColumn("__try", F.when(F.col("reason").isNull(), F.col(value))), f, "__try", "__error", client, job))
+        kept = saved if asks_model(f) else (lambda checked: checked)  # only answers are worth keeping by themselves
+        df = kept(field_error(df.withColumn("__try", F.when(F.col("reason").isNull(), F.col(value))), f, "__try", "__error", client, job))
         task = {"sql": "fix_sql", "python": "fix_python"}.get(f.validator.split(":")[0].lower(), "correct")
         prompt = F.when(F.col("__error").isNotNull(), text.render(REPAIR, {"kind": f.type.upper(), "task": task, "error": F.col("__error"), "content": F.col(value)}))
         df = saved(_respond(df, prompt, "__fixed", client, job, "code", {"temperature": 0.2}, whole=f.store_full_reflection))
         changed = F.col("__fixed").isNotNull() & (F.col("__fixed") != F.col(value))
-        df = saved(field_error(df.withColumn("__try", F.when(changed, F.col("__fixed"))), f, "__try", "__again", client, job))
+        df = kept(field_error(df.withColumn("__try", F.when(changed, F.col("__fixed"))), f, "__try", "__again", client, job))
         failed = F.col("__error").isNotNull() & (~F.coalesce(changed, F.lit(False)) | F.col("__again").isNotNull())
         df = df.withColumn("reason", F.coalesce("reason", F.when(failed, F.coalesce("__again", "__error"))))
         df = df.withColumn(value, F.when(F.col("__error").isNotNull() & changed, F.col("__fixed")).otherwise(F.col(value))).drop("__try", "__error", "__fixed", "__again")
@@ -163,7 +170,7 @@ def run(spark: SparkSession, job: DataModel, client: ModelClient, seed: int = 0,
         slots = spark.range(done, done + tries).select(F.col("id").alias("attempt"), F.pmod("id", F.lit(n_contexts)).alias("slot"))
         df = slots.join(ctx, "slot").withColumn("bytes_read", F.lit(0).cast("long")).withColumn("bytes_written", F.lit(0).cast("long"))
         made = evolve(generate(df, job, client, columns), job, client, columns, seed).drop(*columns)
-        df = saved(validate(made, job, client))
+        df = validate(made, job, client)
         tried = df if tried is None else tried.unionByName(df)
         valid = df.where("valid").count()
         if valid > missing:  # the attempts after the last that is needed don't count
