@@ -1,9 +1,10 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from recordloom.llm import decontaminate, packing, simhash
 
-from .helpers import docs_of, duck, rows
+from .helpers import awkward, docs_of, duck, rows
 from .test_lines import brute_dedup
 from .test_simhash import brute as brute_groups
 
@@ -47,3 +48,27 @@ def test_all_but_the_last_stage_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_empty_and_awkward_tables_pass_all_stages(spark, tmp_path):
+    _, items = tables(spark, str(tmp_path / "some"))
+    for name, docs in (("none", docs_of(spark, [])), ("odd", awkward(spark))):
+        where = str(tmp_path / name)
+        docs.write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, None), (9, ""), (None, items[0])], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted({r.doc_id for r in got if r.doc_id is not None}) == [4, 5, 6, 7]
+    assert sum(r.n_words for r in got if r.doc_id == 5) == 60_000
+    assert sum(r.doc_id is None for r in got) == 1
+    assert sum(r.doc_id == 4 for r in got) == 2
+
+
+def test_only_the_last_table_is_left_in_the_shared_folder(spark, tmp_path):
+    from recordloom.llm.common import shared_dir
+
+    tables(spark, str(tmp_path))
+    before = set(Path(shared_dir(spark)).glob("pipeline-*"))
+    corpus_pipeline.run(spark, str(tmp_path))
+    (new,) = set(Path(shared_dir(spark)).glob("pipeline-*")) - before
+    assert [p.name for p in new.iterdir() if p.is_dir()] == ["4"]
