@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -15,15 +15,27 @@ from .common import need
 def log_of_turns(conversations: DataFrame) -> DataFrame:
     """The event log (``conv_id, seq, kind, msg, role, text``) of a table of turns (``conv_id, turn, role, text``).
 
-    Each turn is a ``start`` event and one ``delta`` for each of its lines. A null text is a turn without deltas.
+    Each turn is a ``start`` event, a draft that doesn't last, and one ``delta`` for each line of its text. An assistant's
+    draft is followed by a message that another role begins on it, and then regenerated, which drops that message; other
+    drafts are edited into the first line. So what the turns say is left, through all kinds of events. ``msg`` is the
+    turn as text. A null text is a turn whose draft is emptied and has no deltas.
     """
     need(conversations, "conv_id", "turn", "role", "text")
-    lines = F.split("text", "\n")
-    deltas = F.transform(lines, lambda line, i: F.struct(F.lit("delta").alias("kind"), F.when(i > 0, F.concat(F.lit("\n"), line)).otherwise(line).alias("text")))
-    start = F.array(F.struct(F.lit("start").alias("kind"), F.lit("").alias("text")))
-    events = F.posexplode(F.concat(start, F.coalesce(deltas, F.array().cast("array<struct<kind:string,text:string>>"))))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("msg"), "role", events.alias("step", "event"))
-    return rows.select("conv_id", F.struct("msg", "step").alias("seq"), F.col("event.kind").alias("kind"), "msg", "role", F.col("event.text").alias("text"))
+
+    def event(kind: str, text: Column, aside: bool = False) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(aside).alias("aside"))
+
+    lines, draft = F.coalesce(F.split("text", "\n"), F.array(F.lit(""))), F.lit("...")
+    begun = F.array(event("start", F.lit("")), event("delta", draft))
+    regenerated = F.array(event("start", F.lit(""), True), event("delta", draft, True), event("regenerate", F.get(lines, F.lit(0))))
+    edited = F.array(event("edit", F.get(lines, F.lit(0))))
+    deltas = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda line: event("delta", F.concat(F.lit("\n"), line)))
+    events = F.posexplode(F.concat(begun, F.when(F.col("role") == "assistant", regenerated).otherwise(edited), deltas))
+    turn = F.col("turn").cast("long")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), "role", events.alias("step", "event"))
+    msg = F.when(F.col("event.aside"), F.concat(F.coalesce(F.col("turn").cast("string"), F.lit("")), F.lit("+"))).otherwise(F.col("turn").cast("string"))
+    role = F.when(F.col("event.aside"), F.lit("user")).otherwise(F.col("role"))
+    return rows.select("conv_id", F.struct("turn", "step").alias("seq"), F.col("event.kind").alias("kind"), msg.alias("msg"), role.alias("role"), F.col("event.text").alias("text"))
 
 
 class Fold:
@@ -65,7 +77,8 @@ def render_log(log: DataFrame) -> DataFrame:
     """``conv_id``, ``n_messages`` and ``rendered`` for each conversation of an event log.
 
     The log is partitioned by conversation, sorted by ``seq`` and folded by :class:`Fold`. One task folds a conversation in
-    its order, event by event, and holds its final messages only; as ``rendered`` is one value, they have 2 GB at most. Events of one ``seq`` (ties) are taken in the order of their other columns, so repeated rows
+    its order, event by event, and holds its final messages only; as ``rendered`` is one value,
+    they have 2 GB at most. Events of one ``seq`` (ties) are taken in the order of their other columns, so repeated rows
     count each. Events without ``conv_id`` are dropped; a null ``seq`` comes first; a null ``msg`` is a message like others;
     a null role is ``unknown``; null and empty texts add nothing; very long texts are kept whole. A conversation of which
     no message is left has 0 messages. An empty log gives no rows. Other columns don't matter, whatever their names.

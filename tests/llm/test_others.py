@@ -47,6 +47,17 @@ def test_turns_are_their_sql_and_nulls_are_defined(spark):
     assert chat.render_log(chat.log_of_turns(turns.limit(0))).count() == 0
 
 
+def test_the_log_of_turns_has_drafts_that_do_not_last(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a\n\nb"), (1, 1, "assistant", "c\nd\n"), (1, 2, "assistant", None), (1, None, "tool", "..."), (1, -1, "assistant", "...")], "conv_id long, turn long, role string, text string")
+    log = chat.log_of_turns(turns).cache()
+    assert {k for (k,) in rows(log.select("kind").distinct())} == {"start", "delta", "edit", "regenerate"}
+    assert log.where("kind = 'start'").count() == 8  # three of them for messages that a regeneration drops
+    said = {None: ("tool", "..."), -1: ("assistant", "..."), 0: ("user", "a\n\nb"), 1: ("assistant", "c\nd\n"), 2: ("assistant", "")}
+    assert rows(chat.render_log(log)) == [(1, 5, "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in said.values()))]
+    numbered = sorted((tuple(r) for r in log.collect()), key=lambda e: (e[1][0] is not None, e[1][0] or 0, e[1][1]))
+    assert rows(chat.render_log(log)) == brute_chat([(c, i, *rest) for i, (c, _, *rest) in enumerate(numbered)])
+
+
 def test_null_messages_leave_large_numbers_apart(spark):
     big = 1 << 53
     events = [(big, 0, "start", big, "user", "a"), (big, 1, "start", big + 1, "user", "b"), (big, 2, "start", None, "tool", "c"), (big, 3, "delta", big + 1, None, "d" * 300_000), (big + 1, 0, "start", 1, None, None)]
