@@ -1,6 +1,8 @@
 import random
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordloom.llm import common, simhash
@@ -72,6 +74,77 @@ def test_near_pairs_are_all_within_the_radius():
     assert across == {(i, j) for i, j in want if i < half <= j}
 
 
+@pytest.mark.parametrize("group", [1, 2, 3])
+@pytest.mark.parametrize("radius", [5, 40, 70])
+def test_no_near_pair_is_lost_by_parts_and_few_pairs_are_compared(monkeypatch, group, radius):
+    monkeypatch.setattr(simhash, "FILL", 4)
+    groups = simhash.groups_of(radius, group)
+    parts = [p for g in groups for p in g]
+    assert sorted((p.word, p.shift + b) for p in parts for b in range(p.bits)) == [(w, b) for w in range(4) for b in range(64)]
+    assert max(p.bits for p in parts) <= simhash.PART_BITS
+    r = np.random.default_rng(group)
+    base = r.integers(0, 1 << 63, (10_000, 4), dtype=np.uint64)
+    bits = np.unpackbits(base.view(np.uint8), axis=1)
+    for k in range(1000):  # partners at the radius and around it
+        bits[k + 1000] = bits[k]
+        bits[k + 1000, r.choice(256, radius + r.integers(-1, 3), replace=False)] ^= 1
+    words = np.packbits(bits, axis=1).view(np.uint64).T
+    near = np.flatnonzero(np.bitwise_count(words[:, :1000] ^ words[:, 1000:2000]).sum(axis=0) <= radius)
+    found, pairs = set(), 0
+    for at, part in enumerate(parts):
+        for value in range(1 << part.bits):
+            rep = np.flatnonzero(part.of(words) == value)
+            if not len(rep):
+                continue
+            cell = pa.table({"cell": [at << 48 | value << 40] * len(rep), "second": [False] * len(rep), "rep": rep, **{f"s{k}": words[k, rep].view(np.int64) for k in range(4)}})
+            with count_pairs() as compared:
+                out = simhash.compare(cell, groups, radius)
+            found |= set(zip(out["v"].to_pylist(), out["u"].to_pylist(), strict=True))
+            pairs += compared[0]
+    assert {(k, k + 1000) for k in near.tolist()} <= found
+    if radius == simhash.RADIUS and group > 1:
+        assert pairs < 0.25 * words.shape[1] ** 2 / 2
+
+
+@contextmanager
+def count_pairs():
+    plain, total = simhash.near_pairs, [0]
+
+    def counted(a, pa_, b, pb, radius, same):
+        total[0] += len(a) * len(b)
+        return plain(a, pa_, b, pb, radius, same)
+
+    simhash.near_pairs = counted
+    try:
+        yield total
+    finally:
+        simhash.near_pairs = plain
+
+
+@pytest.mark.parametrize(("many", "block"), [(10**6, 1 << 18), (0, 1 << 18), (10**6, 5), (0, 5)])
+def test_parts_give_the_groups_of_brute_force(spark, monkeypatch, many, block):
+    texts, _ = corpus()
+    base = [f"c{i}" for i in range(200)]
+    texts += [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(60)]  # one large group, in the same cells
+    for name, few in (("FILL", 1), ("SLAB", 4), ("PENDING", 1)):
+        monkeypatch.setattr(simhash, name, few)
+    assert rows(simhash.near_duplicates(docs_of(spark, texts), block=block, all_pairs=0, many=many)) == brute(texts, simhash.RADIUS)
+
+
+def test_large_groups_take_few_comparisons():
+    r = np.random.default_rng(9)
+    bits = np.repeat(np.unpackbits(r.integers(0, 1 << 63, (1, 4), dtype=np.uint64).view(np.uint8))[None], 6000, axis=0)
+    for row in bits:
+        row[r.choice(256, 12, replace=False)] ^= 1
+    words = np.packbits(bits, axis=1).view(np.uint64).T
+    cell = pa.table({"cell": [0] * 6000, "second": [False] * 6000, "rep": np.arange(6000), **{f"s{k}": np.ascontiguousarray(words[k]).view(np.int64) for k in range(4)}})
+    with count_pairs() as compared:
+        out = simhash.compare(cell, simhash.groups_of(simhash.RADIUS, 0), simhash.RADIUS)
+    assert out["u"].to_pylist() == list(range(1, 6000))
+    assert set(out["v"].to_pylist()) == {0}
+    assert compared[0] < 6000 * 6000 / 5
+
+
 def test_hot_signatures_and_rows_without_ids_are_spread(spark, monkeypatch):
     texts, _ = corpus()
     docs = docs_of(spark, [*texts, *[texts[0]] * 40])
