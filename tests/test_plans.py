@@ -182,3 +182,30 @@ def test_pipelines_cover_their_tables(spark, tmp_path):
     assert catalog.QUERIES["tag_pipeline"](spark, str(tmp_path)).count() == 9
     for name in ("evolution_generations", "aaa_pipeline"):
         assert {r.id for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+
+
+def test_populations_stay_in_the_rows_of_their_items(spark):
+    """Equal and null ids are items of their own, and nothing but the answers' files is shuffled."""
+    items = spark.createDataFrame([(1, "one", "c"), (1, "two", "c"), (None, "three", None), (4, None, "d")], "id long, text string, context string")
+    got = evolution.evolve(items, OfflineModel(), evolution.EvolutionOptions(population=3))
+    alone = {t: evolution.evolve(items.where(F.col("text") == t), OfflineModel(), evolution.EvolutionOptions(population=3)).first().text for t in ("one", "two", "three")}
+    assert sorted((r.id or 0, r.text or "") for r in got.collect()) == sorted([(1, alone["one"]), (1, alone["two"]), (0, alone["three"]), (4, "")])
+    assert got.columns == ["id", "context", "text"] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrays_of_prompts(spark):
+    asked = apply_model(spark.sql("SELECT array('TASK: text', NULL) AS p UNION ALL SELECT NULL UNION ALL SELECT array()"), "p", "o", OfflineModel())
+    one = OfflineModel().answer("TASK: text", "nl")
+    assert sorted((r.o for r in asked.collect()), key=repr) == sorted([[one, None], None, []], key=repr)
+
+
+def test_small_tables_are_spread_over_all_slots(spark, tmp_path):
+    """One file with one group of rows is one task, however many rows it has."""
+    from recordloom.operators.common import spread
+
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).withColumn("p", F.lit("TASK: text"))
+    assert df.rdd.getNumPartitions() < 4 and spread(df).rdd.getNumPartitions() >= 4
+    rows = apply_model(df, "p", "o", OfflineModel()).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(rows) >= 4 and max(r["count"] for r in rows) < 50_000 and sum(r["count"] for r in rows) == 100_000
+    assert spread(df.repartition(1)).rdd.getNumPartitions() == 1 and spread(df.limit(0)).count() == 0
