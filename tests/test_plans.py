@@ -209,3 +209,17 @@ def test_small_tables_are_spread_over_all_slots(spark, tmp_path):
     rows = apply_model(df, "p", "o", OfflineModel()).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
     assert len(rows) >= 4 and max(r["count"] for r in rows) < 50_000 and sum(r["count"] for r in rows) == 100_000
     assert spread(df.repartition(1)).rdd.getNumPartitions() == 1 and spread(df.limit(0)).count() == 0
+
+
+def _busy_tasks(df):
+    """The most rows that one task has, and how many tasks have any."""
+    counts = [r["count"] for r in df.withColumn("__part", F.spark_partition_id()).groupBy("__part").count().collect()]
+    return max(counts), len(counts)
+
+
+def test_calls_for_a_small_file_run_in_all_slots(spark, tmp_path):
+    from recordloom.plans import catalog
+
+    spark.range(40_000).selectExpr("id AS p_partkey", "concat('Brand#', id % 5) AS p_brand", "uuid() AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    most, tasks = _busy_tasks(catalog.QUERIES["offline_inference"](spark, str(tmp_path)))
+    assert tasks >= 4 and most < 20_000
