@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+_QUOTED = re.compile(r"""['"`]|--|/\*""")
+
 
 def statements(script: str) -> list[str]:
     """Parts between semicolons that aren't within quotes or comments; blank ones are dropped."""
+    if not _QUOTED.search(script):
+        return [x for part in script.split(";") if (x := part.strip())]
     out, start, i, n = [], 0, 0, len(script)
     while i < n:
         c = script[i]

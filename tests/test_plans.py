@@ -223,3 +223,12 @@ def test_calls_for_a_small_file_run_in_all_slots(spark, tmp_path):
     spark.range(40_000).selectExpr("id AS p_partkey", "concat('Brand#', id % 5) AS p_brand", "uuid() AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     most, tasks = _busy_tasks(catalog.QUERIES["offline_inference"](spark, str(tmp_path)))
     assert tasks >= 4 and most < 20_000
+
+
+@pytest.mark.parametrize("name", ["sqlite_execution", "python_syntax"])
+def test_checks_of_a_small_file_run_in_all_slots(spark, tmp_path, name):
+    from recordloom.plans import catalog
+
+    spark.range(40_000).selectExpr("id AS p_partkey", "cast(id % 7 AS int) AS p_size", "uuid() AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    most, tasks = _busy_tasks(catalog.QUERIES[name](spark, str(tmp_path)))
+    assert tasks >= 4 and most < 20_000
