@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code
+from ..operators.common import spread
 
 #: Methods for Python: a column of code to a column of errors, null if there are none.
 PYTHON: dict[str, Callable[[Column], Column]] = {
@@ -21,6 +22,7 @@ PYTHON: dict[str, Callable[[Column], Column]] = {
 
 def python_checks(df: DataFrame, column: str, methods: dict[str, Callable[[Column], Column]] = PYTHON) -> DataFrame:
     """``is_valid_python_with_<method>`` and ``<method>_error`` for each method."""
+    df = spread(df)
     for name, check in methods.items():
         df = df.withColumn(f"{name}_error", check(F.col(column))).withColumn(f"is_valid_python_with_{name}", F.col(f"{name}_error").isNull())
     return df

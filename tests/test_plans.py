@@ -225,7 +225,7 @@ def test_calls_for_a_small_file_run_in_all_slots(spark, tmp_path):
     assert tasks >= 4 and most < 20_000
 
 
-@pytest.mark.parametrize("name", ["sqlite_execution", "python_syntax"])
+@pytest.mark.parametrize("name", ["sqlite_execution", "python_syntax", "sql_methods_part"])
 def test_checks_of_a_small_file_run_in_all_slots(spark, tmp_path, name):
     from recordloom.plans import catalog
 
